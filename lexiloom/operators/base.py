@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import warnings
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
@@ -54,13 +55,13 @@ def dense(long: DataFrame, width: int, value: Column, group: tuple[str, ...] = (
     return wide.select(*group, F.array(*cells).cast("array<double>").alias("features"))
 
 
-def sparse(long: DataFrame) -> DataFrame:
-    """(key, features): struct of sorted ``indices`` and their ``values``."""
+def sparse(long: DataFrame, group: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(group, features): struct of sorted ``indices`` and their ``values``."""
     cells = F.sort_array(F.collect_list(
         F.when(F.col("component").isNotNull(), F.struct(F.col("component").cast("int").alias("i"),
                                                         F.col("value").alias("v")))))
-    listed = long.groupBy("key").agg(cells.alias("_c"))
-    return listed.select("key", F.struct(F.transform("_c", lambda c: c["i"]).alias("indices"),
+    listed = long.groupBy(*group).agg(cells.alias("_c"))
+    return listed.select(*group, F.struct(F.transform("_c", lambda c: c["i"]).alias("indices"),
                                          F.transform("_c", lambda c: c["v"]).alias("values")).alias("features"))
 
 
@@ -190,6 +191,9 @@ def categories_table(estimator: EncoderEstimator, df: DataFrame) -> DataFrame:
     if choice == "most_frequent":
         return keys.orderBy(F.desc("count"), "key").limit(n)
     if choice == "k-means":
+        if keys.count() <= n:
+            warnings.warn(f"Dimensionality reduction will not be applied: no more than {n} categories")
+            return keys
         return kmeans_prototypes(keys, n, estimator.get("seed"))
     if list(choice) != sorted(choice):
         raise ValueError("Unsorted categories are not yet supported")

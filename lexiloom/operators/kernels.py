@@ -117,3 +117,32 @@ class FisherKernelEncoder(_Kernel):
         base = [everything - own.get(r["component"], 0.0)
                 for r in cats.orderBy("component").select("component").collect()]
         return self.kernel_model(FisherModel, cats, index, base=base, compare=self.get("compare"))
+
+
+class LinearMixtureModel(_KernelModel):
+    """One topic per category with the linear score counts . beta - 1."""
+
+    def encode(self, keys: DataFrame) -> DataFrame:
+        scores = dense(self.matched(keys), self.width, F.col("count") * F.col("n"))
+        linear = F.transform("features", lambda s: s - 1)
+        theta = F.array(*[F.lit(float(t)) for t in self.meta["theta"]])
+        joint = F.zip_with("linear", theta, lambda s, t: s * t)
+        total = F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)
+        out = "linear" if self.meta["fisher"] else "joint"
+        return (scores.select("key", linear.alias("linear")).withColumn("joint", joint)
+                .select("key", F.transform(out, lambda s: F.try_divide(s, total)).alias("features")))
+
+
+class LinearMixtureEncoder(_Kernel):
+    """The mixture with every category as a topic and no refinement rounds."""
+
+    fisher = param("fisher", "emit score / sum instead of score * theta / sum", TypeConverters.toBoolean)
+    defaults = {**_Kernel.defaults, "fisher": True}
+
+    def _fit(self, df):
+        cats, terms = self.categories_with_terms(df)
+        size = terms.groupBy("key").agg(F.sum("n").alias("size"))
+        index = terms.join(size, "key").select("term", "component", (F.col("n") / F.col("size")).alias("n"))
+        counts = [r["count"] for r in cats.orderBy("component").select("count").collect()]
+        theta = [c / sum(counts) for c in counts]
+        return self.kernel_model(LinearMixtureModel, cats, index, theta=theta, fisher=self.get("fisher"))
