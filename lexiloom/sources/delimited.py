@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,24 +35,42 @@ def scan_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encodin
     return df
 
 
-def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: StructType | str | None = None) -> DataFrame:
-    """One delimited file whose header follows ``skip`` lines.
+def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: StructType | str | None = None,
+                  sep: str = ",") -> DataFrame:
+    """Delimited files whose header follows ``skip`` lines.
 
-    Lines are numbered in file order and the first ones dropped; the reader then parses
-    the remaining lines, so the scan stays distributed.
+    Lines are dropped by their place in the first block of each file, in one pass and
+    for any number of files; the JVM then parses the rest. All files share a header.
     """
-    numbered = spark.read.text(path).rdd.map(lambda row: row[0]).zipWithIndex()
-    lines = numbered.filter(lambda pair: pair[1] >= skip).keys()
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(lines)
+    lines = spark.read.text(path)
+    if schema is None:
+        header = lines.limit(skip + 1).collect()[skip]["value"]
+        names = next(csv.reader([header], delimiter=sep))
+        schema = ", ".join(f"`{n}` string" for n in names)
+
+    def body(batches):
+        place, seen = None, 0
+        for batch in batches:
+            keep = []
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+                if (file, start) != place:
+                    place, seen = (file, start), 0
+                keep.append(start > 0 or seen > skip)
+                seen += 1
+            yield batch.select(["value"]).filter(pa.array(keep))
+
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"),
+                          F.col("_metadata.file_block_start").alias("start"))
+    shape = schema if isinstance(schema, str) else schema.simpleString()[len("struct<"):-1]
+    parsed = F.from_csv("value", shape, {"sep": sep, "escape": '"'})
+    return placed.mapInArrow(body, "value string").select(parsed.alias("row")).select("row.*")
 
 
 def scan_tagged_files(spark: SparkSession, paths: list[str], columns: list[str],
                       tags: dict[str, str], tag_column: str = "status", **options) -> DataFrame:
-    """Project the columns of many files, tag rows by a mark in the file name, dedupe."""
+    """Project the columns of many files, tag rows by a mark in the file path, dedupe."""
     scanned = scan_csv(spark, paths, **options)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     tag = F.lit(None).cast("string")
     for mark, value in reversed(tags.items()):
         tag = F.when(name.contains(mark), value).otherwise(tag)
