@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sources", "preparation", "joins", "text")
+FAMILIES = ("sources", "preparation", "joins", "text", "encoders", "topics", "reduction", "evaluation", "models",
+            "streams")
 
 
 

@@ -83,8 +83,8 @@ def label_encode(spark, sf_dir):
 
 
 def drop_rare_classes(spark, sf_dir):
-    out = prep.label_encode(table(spark, sf_dir, "documents"), "source", prep.RARE_CLASS)
-    return out.select("doc_id", "source", "label")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("class"))
+    return prep.label_encode(docs, "class", prep.RARE_CLASS).select("doc_id", "class", "label")
 
 
 def derive_boolean(spark, sf_dir):
@@ -202,8 +202,9 @@ ORACLES = {
     "shuffle": "SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || '|11')) - 1 AS place FROM orders",
     "label_encode": "SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS label FROM part",
     "drop_rare_classes": """
-        SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS label FROM documents
-        WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 20)""",
+        WITH d AS (SELECT doc_id, source || '-' || lang AS class FROM documents)
+        SELECT doc_id, class, dense_rank() OVER (ORDER BY class) - 1 AS label FROM d
+        WHERE class IN (SELECT class FROM d GROUP BY 1 HAVING count(*) > 20)""",
     "derive_boolean": "SELECT o_orderkey, o_orderstatus = 'F' AS finished FROM orders",
     "filter_values": """
         SELECT event_id, event_type, user_id, value FROM events

@@ -38,7 +38,8 @@ def scan_csv_skip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         head = ["Report", "Prepared for tests", "", "s_suppkey,s_name,s_nationkey,s_acctbal"]
         yield pa.RecordBatch.from_arrays([pa.array(head)], names=["value"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
 
     lines.mapInArrow(with_preamble, "value string").write.text(path)
     return scan_csv_skip(spark, path, 3, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
