@@ -13,6 +13,18 @@ def distinct_keys(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def distinct_texts(df: DataFrame, column: str) -> DataFrame:
+    """(key, text, count) with a digest as key, for columns of long texts.
+
+    Rows exploded from a text then carry 32 bytes instead of the text itself.
+    """
+    return distinct_keys(df, column).select(F.md5("key").alias("key"), F.col("key").alias("text"), "count")
+
+
+def _text(keys: DataFrame):
+    return F.col("text") if "text" in keys.columns else F.col("key")
+
+
 def category_counts(df: DataFrame, column: str) -> DataFrame:
     """(key, count, frequency)."""
     counts = distinct_keys(df, column)
@@ -46,14 +58,14 @@ def term_counts(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int =
 
     Grouping by (key, term) reuses the partitioning by key that ``distinct_keys`` left.
     """
-    exploded = keys.select("key", F.explode(tokens(F.col("key"), analyzer, lo, hi)).alias("term"))
+    exploded = keys.select("key", F.explode(tokens(_text(keys), analyzer, lo, hi)).alias("term"))
     return exploded.groupBy("key", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
 def term_presence(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4) -> DataFrame:
     """(key, term): which terms occur."""
     return keys.select(
-        "key", F.explode(F.array_distinct(tokens(F.col("key"), analyzer, lo, hi))).alias("term"))
+        "key", F.explode(F.array_distinct(tokens(_text(keys), analyzer, lo, hi))).alias("term"))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -82,7 +94,7 @@ def idf_weights(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int =
     """(term, df, idf) fitted on rows: every distinct string weighs its count."""
     total = keys.agg(F.sum("count")).scalar()
     terms = keys.select(
-        "count", F.explode(F.array_distinct(tokens(F.col("key"), analyzer, lo, hi))).alias("term"))
+        "count", F.explode(F.array_distinct(tokens(_text(keys), analyzer, lo, hi))).alias("term"))
     df = terms.groupBy("term").agg(F.sum("count").alias("df"))
     return df.select("term", "df", (F.ln(total / F.col("df")) + 1).alias("idf"))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.param import TypeConverters
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.murmur import hash_bucket, minhash_signature
+from lexiloom.functions.murmur import minhash_signature
+from lexiloom.functions.sparse import term_vector
 from lexiloom.functions.text import padded_ngram_set, tokens
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, param, small, sparse
 from lexiloom.operators.counts import idf_weights
@@ -14,20 +15,46 @@ from lexiloom.operators.ranking import dense_ordinals
 from lexiloom.session import checkpointed
 
 
-def indexed_counts(keys: DataFrame, terms: DataFrame | None, n_terms: int, analyzer: str, lo: int,
-                   hi: int, extra: tuple[str, ...] = (), offset: int = 0) -> DataFrame:
-    """(key, extra..., component, value): term counts by vocabulary index or hash bucket.
+# Largest vocabulary collected and sent to the tasks; beyond it terms are joined.
+LOCAL_TERMS = 1_000_000
 
-    Every key keeps at least one row; terms outside the vocabulary become null.
+
+def indexed_counts(keys: DataFrame, terms: DataFrame, analyzer: str, lo: int, hi: int) -> DataFrame:
+    """(key, component, value): term counts by vocabulary index, by a join on the term.
+
+    Every key keeps at least one row; terms outside the vocabulary become null. The
+    exploded rows carry a digest instead of the string, which may be a long text.
     """
-    exploded = keys.select("key", *extra, F.explode_outer(tokens(F.col("key"), analyzer, lo, hi)).alias("term"))
-    counted = exploded.groupBy("key", *extra, "term").agg(F.count("term").cast("double").alias("value"))
-    if terms is None:
-        index = F.when(F.col("term").isNotNull(), hash_bucket(F.coalesce("term", F.lit("")), n_terms) + offset)
-        hashed = counted.withColumn("component", index)
-        return hashed.groupBy("key", *extra, "component").agg(F.sum("value").alias("value"))
-    known = terms.select("term", (F.col("ordinal") + offset).alias("component"))
-    return counted.join(small(known, n_terms), "term", "left").select("key", *extra, "component", "value")
+    named = keys.select("key", F.unhex(F.md5("key")).alias("_id"))
+    exploded = named.select("_id", F.explode_outer(tokens(F.col("key"), analyzer, lo, hi)).alias("term"))
+    counted = exploded.groupBy("_id", "term").agg(F.count("term").cast("double").alias("value"))
+    found = counted.join(terms.select("term", F.col("ordinal").alias("component")), "term", "left")
+    return found.join(named, "_id").select("key", "component", "value")
+
+
+class Terms:
+    """How strings become term vectors: the analyzer and a vocabulary or hash width."""
+
+    def __init__(self, meta: dict, table: DataFrame | None = None, weights: bool = False):
+        self.analyzer, self.lo, self.hi, self.width = meta["analyzer"], meta["lo"], meta["hi"], meta["width"]
+        self.table, self.weighted = table, weights
+        self._sent = None
+
+    @property
+    def local(self) -> bool:
+        return self.table is None or self.width <= LOCAL_TERMS
+
+    def lookup(self):
+        """The vocabulary (and weights) broadcast once; its size is bounded by ``local``."""
+        if self.table is not None and self._sent is None:
+            rows = self.table.orderBy("ordinal").toArrow()
+            weights = rows["idf"].to_numpy() if self.weighted else None
+            vocabulary = rows["term"].combine_chunks().cast("string")
+            self._sent = self.table.sparkSession.sparkContext.broadcast((vocabulary, weights))
+        return self._sent
+
+    def vector(self, text, offset: int = 0):
+        return term_vector(tokens(text, self.analyzer, self.lo, self.hi), self.width, offset, self.lookup())
 
 
 def fitted_vocabulary(keys: DataFrame, analyzer: str, lo: int, hi: int) -> tuple[DataFrame, int]:
@@ -40,15 +67,21 @@ def fitted_vocabulary(keys: DataFrame, analyzer: str, lo: int, hi: int) -> tuple
 class TermCountModel(EncoderModel):
     """Sparse counts over a fitted vocabulary, or over hash buckets."""
 
-    def encode_long(self, keys: DataFrame) -> DataFrame:
-        m = self.meta
-        terms = self.tables.get("terms")
-        long = indexed_counts(keys, terms, m["width"], m["analyzer"], m["lo"], m["hi"])
-        return long.filter("component is not null")
+    weighted = False
+
+    def terms(self) -> Terms:
+        if not hasattr(self, "_terms"):
+            self._terms = Terms(self.meta, self.tables.get("terms"), self.weighted)
+        return self._terms
 
     def encode(self, keys: DataFrame) -> DataFrame:
-        m = self.meta
-        return sparse(indexed_counts(keys, self.tables.get("terms"), m["width"], m["analyzer"], m["lo"], m["hi"]))
+        terms = self.terms()
+        if terms.local:
+            return keys.select("key", terms.vector(F.col("key")).alias("features"))
+        return sparse(self.joined(indexed_counts(keys, terms.table, terms.analyzer, terms.lo, terms.hi)))
+
+    def joined(self, counts: DataFrame) -> DataFrame:
+        return counts
 
     def feature_names(self):
         if "terms" not in self.tables:
@@ -59,18 +92,13 @@ class TermCountModel(EncoderModel):
 class TfIdfModel(TermCountModel):
     """tf * idf over the fitted vocabulary, rows of unit length."""
 
-    def encode(self, keys: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
+    weighted = True
 
-        m = self.meta
-        counts = indexed_counts(keys, self.tables["terms"], m["width"], m["analyzer"], m["lo"], m["hi"])
-        weights = self.tables["weights"].select(F.col("ordinal").alias("component"), "idf")
-        raw = counts.join(small(weights, m["width"]), "component", "left").withColumn(
-            "_w", F.col("value") * F.col("idf"))
+    def joined(self, counts: DataFrame) -> DataFrame:
+        weights = self.tables["terms"].select(F.col("ordinal").alias("component"), "idf")
+        raw = counts.join(weights, "component", "left").withColumn("_w", F.col("value") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("key")))
-        return sparse(raw.select("key", "component", (F.col("_w") / norm).alias("value")))
-
-    encode_long = EncoderModel.encode_long
+        return raw.select("key", "component", (F.col("_w") / norm).alias("value"))
 
 
 class TermCountEncoder(EncoderEstimator):
@@ -99,8 +127,7 @@ class TfIdfEncoder(TermCountEncoder):
         idf = idf_weights(keys, analyzer, lo, hi)
         weights = checkpointed(dense_ordinals(idf, "term", keep=["idf"]))
         meta = {"analyzer": analyzer, "lo": lo, "hi": hi, "width": weights.count()}
-        return self.build(TfIdfModel({"terms": weights.select("term", "ordinal"),
-                                      "weights": weights.select("ordinal", "idf")}, meta))
+        return self.build(TfIdfModel({"terms": weights}, meta))
 
 
 class MinHashModel(EncoderModel):

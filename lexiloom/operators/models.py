@@ -140,15 +140,28 @@ def cross_validated(estimator: Estimator, grid: list, task: str, label: str, see
                           numFolds=N_FOLDS, seed=seed, parallelism=parallelism)
 
 
+class BestOf(Estimator, Params):
+    """A tuned estimator whose fit is the winner itself, usable as a pipeline stage."""
+
+    def __init__(self, search: CrossValidator):
+        super().__init__()
+        self.search = search
+
+    def _fit(self, df: DataFrame) -> Model:
+        return self.search.fit(df).bestModel
+
+
 def linear_model(task: str, features: str, label: str, weight: str | None, seed: int) -> Estimator:
     """L2-penalised linear model, penalty chosen by 3-fold cross-validation."""
     if task == "regression":
         ridge = LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0)
-        return cross_validated(ridge, ParamGridBuilder().addGrid(ridge.regParam, RIDGE_PENALTIES).build(), task, label, seed)
+        grid = ParamGridBuilder().addGrid(ridge.regParam, RIDGE_PENALTIES).build()
+        return BestOf(cross_validated(ridge, grid, task, label, seed))
     logistic = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=100)
     if weight is not None:
         logistic = logistic.setWeightCol(weight)
-    return cross_validated(logistic, ParamGridBuilder().addGrid(logistic.regParam, LOGISTIC_PENALTIES).build(), task, label, seed)
+    grid = ParamGridBuilder().addGrid(logistic.regParam, LOGISTIC_PENALTIES).build()
+    return BestOf(cross_validated(logistic, grid, task, label, seed))
 
 
 def boosting(task: str, features: str, label: str, seed: int, trees: int = N_TREES):

@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.sparse import term_vector
+from lexiloom.functions.text import char_ngrams
+
 # Width of the hashed n-gram space in which strings are clustered.
 HASH_WIDTH = 128
 
 
 def hashed_profiles(keys: DataFrame, width: int = HASH_WIDTH, lo: int = 2, hi: int = 4) -> DataFrame:
-    """(key, count, features): hashed n-gram counts of each distinct string."""
-    from lexiloom.operators.base import dense
-    from lexiloom.operators.grams import indexed_counts
-
-    long = indexed_counts(keys, None, width, "char", lo, hi, extra=("count",))
-    return dense(long, width, F.col("value"), ("key", "count"))
+    """(key, count, features): hashed n-gram counts of each distinct string, sparse."""
+    return keys.select("key", "count", term_vector(char_ngrams(F.col("key"), lo, hi), width).alias("features"))
 
 
 def kmeans_prototypes(keys: DataFrame, k: int, seed: int = 0, width: int = HASH_WIDTH) -> DataFrame:
     """(key, count) of the distinct strings closest to the centres; may be fewer than k."""
     profiles = hashed_profiles(keys, width).persist()
-    points = profiles.withColumn("_v", array_to_vector("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", weightCol="count").fit(points)
-    centers = [c.tolist() for c in model.clusterCenters()]
-    nearest = profiles.agg(*[
-        F.min(F.struct(_squared_distance(c).alias("d"), "key", "count")).alias(f"c{i}")
-        for i, c in enumerate(centers)]).first()
+    to_vector = F.udf(lambda f: SparseVector(width, f["indices"], f["values"]), VectorUDT())
+    points = profiles.select("count", to_vector("features").alias("_v"))
+    centers = np.array(KMeans(k=k, seed=seed, featuresCol="_v", weightCol="count").fit(points).clusterCenters())
+
+    def nearest(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lists = table["features"].combine_chunks().field("indices")
+            row = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            dense = np.zeros((len(table), width))
+            values = table["features"].combine_chunks().field("values").flatten()
+            dense[row, lists.flatten().to_numpy(zero_copy_only=False)] = values.to_numpy(zero_copy_only=False)
+            distance = ((dense ** 2).sum(axis=1)[:, None] + (centers ** 2).sum(axis=1) - 2 * dense @ centers.T)
+            names = np.array(table["key"].to_pylist(), dtype=object)
+            best = [min(zip(distance[:, j], names, range(len(names)))) for j in range(len(centers))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(centers))), pa.array([float(d) for d, _, _ in best]),
+                 pa.array([name for _, name, _ in best]), table["count"].combine_chunks().take([i for _, _, i in best])],
+                names=["center", "distance", "key", "count"])
+
+    close = profiles.mapInArrow(nearest, "center bigint, distance double, key string, count bigint")
+    best = close.groupBy("center").agg(F.min(F.struct("distance", "key", "count")).alias("best"))
+    chosen = sorted({(r["best"]["key"], r["best"]["count"]) for r in best.collect()})
     profiles.unpersist()
-    chosen = sorted({(row["key"], row["count"]) for row in nearest})
     return keys.sparkSession.createDataFrame(chosen, "key string, count bigint")
-
-
-def _squared_distance(center):
-    literal = F.array(*[F.lit(x) for x in center])
-    terms = F.zip_with("features", literal, lambda x, c: (x - c) * (x - c))
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)

@@ -16,8 +16,9 @@ from pyspark.ml.param import TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.base import EncoderEstimator, EncoderModel, param, sparse
-from lexiloom.operators.grams import fitted_vocabulary, indexed_counts
+from lexiloom.functions.sparse import side_by_side
+from lexiloom.operators.base import EncoderEstimator, EncoderModel, param
+from lexiloom.operators.grams import Terms, fitted_vocabulary
 
 # Largest K x V that is broadcast and held by the driver (64 MB of doubles).
 MAX_CELLS = 8_000_000
@@ -31,24 +32,17 @@ TINY = 1e-10
 # --- sparse rows -----------------------------------------------------------------------
 
 
-def blocks_of(model_meta: dict, tables: dict) -> list[tuple]:
-    """(vocabulary or None, width, analyzer, lo, hi, offset) of each block of columns."""
-    out, offset = [], 0
-    for block in model_meta["blocks"]:
-        out.append((tables.get(block["terms"]), block["width"], block["analyzer"], block["lo"], block["hi"], offset))
-        offset += block["width"]
-    return out
+def blocks_of(meta: dict, tables: dict) -> list[Terms]:
+    """The blocks of columns a model counts, in order."""
+    return [Terms(block, tables.get(block["terms"])) for block in meta["blocks"]]
 
 
-def term_rows(keys: DataFrame, blocks: list[tuple]) -> DataFrame:
-    """(key, count, features): the blocks' counts side by side, columns offset by block."""
-    weighted = keys if "count" in keys.columns else keys.withColumn("count", F.lit(1).cast("bigint"))
-    parts = [indexed_counts(weighted, terms, width, analyzer, lo, hi, ("count",), offset)
-             for terms, width, analyzer, lo, hi, offset in blocks]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    return sparse(long, ("key", "count"))
+def term_rows(keys: DataFrame, blocks: list[Terms]) -> DataFrame:
+    """(key, count, features): the blocks' counts side by side, indices offset by block."""
+    starts = np.concatenate(([0], np.cumsum([b.width for b in blocks])))
+    vectors = [b.vector(F.col("key"), int(start)) for b, start in zip(blocks, starts)]
+    count = F.col("count") if "count" in keys.columns else F.lit(1).cast("bigint")
+    return keys.select("key", count.alias("count"), side_by_side(vectors).alias("features"))
 
 
 class Rows:
@@ -57,26 +51,31 @@ class Rows:
     def __init__(self, weight, starts, sizes, idx, val):
         self.weight, self.sizes, self.idx, self.val = weight, sizes, idx, val
         self.n = len(weight)
-        self.row = np.repeat(np.arange(self.n), sizes)
         self._full = np.flatnonzero(sizes)
         self._starts = (starts - (starts[0] if len(starts) else 0))[self._full]
 
     def by_row(self, entries: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, *entries.shape[1:]))
+        """Sum entries (..., nnz) of each row; topics lead, so sums run along memory."""
+        out = np.zeros((*entries.shape[:-1], self.n))
         if len(self._full):
-            out[self._full] = np.add.reduceat(entries, self._starts, axis=0)
+            out[..., self._full] = np.add.reduceat(entries, self._starts, axis=-1)
         return out
 
+    def spread(self, by_row: np.ndarray) -> np.ndarray:
+        """Repeat values (..., n) of the rows for their entries."""
+        return np.repeat(by_row, self.sizes, axis=-1)
+
     def by_term(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum entries (k, nnz) of each term that occurs."""
         if not len(self.idx):
             return self.idx, entries
         order = np.argsort(self.idx, kind="stable")
         terms, first = np.unique(self.idx[order], return_index=True)
-        return terms, np.add.reduceat(entries[order], first, axis=0)
+        return terms, np.add.reduceat(entries[:, order], first, axis=1)
 
 
 def chunks(batch: pa.RecordBatch, k: int):
-    """Yield (first row, Rows) with a bounded number of entries."""
+    """Yield Rows with a bounded number of entries."""
     features = batch.column("features")
     lists = features.field("indices")
     idx = lists.flatten().to_numpy(zero_copy_only=False)
@@ -89,13 +88,13 @@ def chunks(batch: pa.RecordBatch, k: int):
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + budget, side="right")) - 1)
         last = min(last, len(sizes), first + budget)
         span = slice(starts[first], starts[last])
-        yield first, Rows(weight[first:last], starts[first:last], sizes[first:last], idx[span], val[span])
+        yield Rows(weight[first:last], starts[first:last], sizes[first:last], idx[span], val[span])
         first = last
 
 
 def accumulate(rows: DataFrame, k: int, width: int, n_extra: int, state: dict,
                step: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Sum a step's statistics: (V x K per term, n_extra x K beside them).
+    """Sum a step's statistics: (K x V per term, K x n_extra beside them).
 
     Tasks add up their own rows first and emit only the terms they met.
     """
@@ -103,28 +102,25 @@ def accumulate(rows: DataFrame, k: int, width: int, n_extra: int, state: dict,
     sent = spark.sparkContext.broadcast(state)
 
     def partial(batches):
-        terms, extra = np.zeros((width, k)), np.zeros((n_extra, k))
+        sums = np.zeros((k, width + n_extra))
         for batch in batches:
-            for _, part in chunks(batch, k):
-                (index, sums), beside = step(part, sent.value)
-                terms[index] += sums
-                extra += beside
-        met = np.flatnonzero(terms.any(axis=1))
-        keys = np.concatenate((met, width + np.arange(n_extra)))
-        table = np.concatenate((terms[met], extra))
+            for part in chunks(batch, k):
+                (index, by_term), beside = step(part, sent.value)
+                sums[:, index] += by_term
+                sums[:, width:] += beside
+        met = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), *[pa.array(np.ascontiguousarray(table[:, j])) for j in range(k)]],
-            names=["term", *[f"s{j}" for j in range(k)]])
+            [pa.array(met), *[pa.array(sums[j, met]) for j in range(k)]], names=["term", *[f"s{j}" for j in range(k)]])
 
     schema = "term bigint, " + ", ".join(f"s{j} double" for j in range(k))
     summed = rows.select("count", "features").mapInArrow(partial, schema).groupBy("term").agg(
         *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
     table = summed.toArrow()
     sent.unpersist()
-    out = np.zeros((width + n_extra, k))
+    out = np.zeros((k, width + n_extra))
     if table.num_rows:
-        out[table["term"].to_numpy()] = np.stack([table[f"s{j}"].to_numpy() for j in range(k)], axis=1)
-    return out[:width], out[width:]
+        out[:, table["term"].to_numpy()] = np.stack([table[f"s{j}"].to_numpy() for j in range(k)])
+    return out[:, :width], out[:, width:]
 
 
 def map_rows(rows: DataFrame, k: int, state: dict, step: Callable) -> DataFrame:
@@ -133,11 +129,11 @@ def map_rows(rows: DataFrame, k: int, state: dict, step: Callable) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            parts = [step(part, sent.value) for _, part in chunks(batch, k)]
-            codes = np.concatenate(parts) if parts else np.zeros((0, k))
+            parts = [step(part, sent.value) for part in chunks(batch, k)]
+            codes = np.concatenate(parts, axis=1).T if parts else np.zeros((0, k))
             offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], type=pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))],
+                [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(codes).ravel()))],
                 names=["key", "features"])
 
     return rows.mapInArrow(encode, "key string, features array<double>")
@@ -149,35 +145,40 @@ def map_rows(rows: DataFrame, k: int, state: dict, step: Callable) -> DataFrame:
 def poisson_activations(rows: Rows, s: dict, max_iter: int) -> np.ndarray:
     """Multiplicative updates of each row's activations until its relative change is small."""
     w = s["W"]
-    inner = (1 + 1 / s["scale"]) if s["rescale"] else w.sum(axis=1) + 1 / s["scale"]
+    inner = (1 + 1 / s["scale"]) if s["rescale"] else w.sum(axis=1)[:, None] + 1 / s["scale"]
     bias = (s["shape"] - 1) / inner
-    h = np.tile((np.maximum(TINY, rows.by_row(rows.val)) / len(w))[:, None], len(w))
-    gathered = w.T[rows.idx]
+    h = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
+    gathered = w[:, rows.idx]
     moving = np.ones(rows.n, dtype=bool)
     for _ in range(max_iter):
-        ratio = rows.val / np.einsum("ek,ek->e", h[rows.row], gathered)
-        new = h * rows.by_row(gathered * ratio[:, None]) / inner + bias
-        change = ((new - h) ** 2).sum(axis=1) / (h ** 2).sum(axis=1)
-        h[moving] = new[moving]
+        ratio = rows.val / (rows.spread(h) * gathered).sum(axis=0)
+        new = h * rows.by_row(gathered * ratio) / inner + bias
+        change = ((new - h) ** 2).sum(axis=0) / (h ** 2).sum(axis=0)
+        h[:, moving] = new[:, moving]
         moving &= change > s["eps"] ** 2
         if not moving.any():
             break
     return h
 
 
+def fitted_counts(rows: Rows, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Expected count of each entry."""
+    return (rows.spread(h) * w[:, rows.idx]).sum(axis=0)
+
+
 def poisson_statistics(rows: Rows, s: dict):
     h = poisson_activations(rows, s, s["e_steps"])
-    ratio = rows.val / np.einsum("ek,ek->e", h[rows.row], s["W"].T[rows.idx])
-    weighted = h * rows.weight[:, None]
-    return rows.by_term(weighted[rows.row] * ratio[:, None]), weighted.sum(axis=0, keepdims=True)
+    ratio = rows.val / fitted_counts(rows, h, s["W"])
+    weighted = h * rows.weight
+    return rows.by_term(rows.spread(weighted) * ratio), weighted.sum(axis=1, keepdims=True)
 
 
 def poisson_pass(rows: DataFrame, state: dict, a: np.ndarray, b: np.ndarray, rho: float):
     """One update of (W, A, B) from a set of rows; returns new arrays."""
     k, width = state["W"].shape
     terms, activations = accumulate(rows, k, width, 1, state, poisson_statistics)
-    a = rho * a + state["W"] * terms.T
-    b = rho * b + activations[0][:, None]
+    a = rho * a + state["W"] * terms
+    b = rho * b + activations
     w = a / b
     if state["rescale"]:
         size = w.sum(axis=1, keepdims=True)
@@ -201,7 +202,9 @@ class TopicModel(EncoderModel):
         return {**self.meta["state"], "W": self.weights()}
 
     def rows(self, keys: DataFrame) -> DataFrame:
-        return term_rows(keys, blocks_of(self.meta, self.tables))
+        if not hasattr(self, "_blocks"):
+            self._blocks = blocks_of(self.meta, self.tables)
+        return term_rows(keys, self._blocks)
 
 
 class GammaPoissonModel(TopicModel):
@@ -218,11 +221,10 @@ class GammaPoissonModel(TopicModel):
 
         def divergence(rows: Rows, s: dict):
             h = poisson_activations(rows, s, steps)
-            fitted = np.einsum("ek,ek->e", h[rows.row], s["W"].T[rows.idx])
-            inside = rows.by_row(rows.val * np.log(rows.val / fitted) - rows.val)
-            total = inside + h @ s["W"].sum(axis=1)
-            nothing = (np.zeros(0, np.int64), np.zeros((0, len(s["W"]))))
-            return nothing, np.full((1, len(s["W"])), (rows.weight * total).sum())
+            inside = rows.by_row(rows.val * np.log(rows.val / fitted_counts(rows, h, s["W"])) - rows.val)
+            total = inside + s["W"].sum(axis=1) @ h
+            nothing = (np.zeros(0, np.int64), np.zeros((len(s["W"]), 0)))
+            return nothing, np.full((len(s["W"]), 1), (rows.weight * total).sum())
 
         _, extra = accumulate(self.rows(keys), self.width, self.meta["terms"], 1, self.state(), divergence)
         return float(extra[0, 0])
@@ -386,18 +388,17 @@ class GammaPoissonEncoder(_TopicEncoder):
 def frobenius_activations(rows: Rows, s: dict) -> np.ndarray:
     w = s["W"]
     gram = w @ w.T
-    gathered = w.T[rows.idx]
-    target = rows.by_row(gathered * rows.val[:, None])
-    h = np.tile((np.maximum(TINY, rows.by_row(rows.val)) / len(w))[:, None], len(w))
+    target = rows.by_row(w[:, rows.idx] * rows.val)
+    h = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
     for _ in range(s["e_steps"]):
-        h = h * target / np.maximum(h @ gram, TINY)
+        h = h * target / np.maximum(gram @ h, TINY)
     return h
 
 
 def frobenius_statistics(rows: Rows, s: dict):
     h = frobenius_activations(rows, s)
-    weighted = h * rows.weight[:, None]
-    return rows.by_term(weighted[rows.row] * rows.val[:, None]), weighted.T @ h
+    weighted = h * rows.weight
+    return rows.by_term(rows.spread(weighted) * rows.val), weighted @ h.T
 
 
 class NmfModel(TopicModel):
@@ -419,7 +420,7 @@ class NmfEncoder(_TopicEncoder):
         state = {"e_steps": self.get("eSteps")}
         for _ in range(self.get("maxIter")):
             hv, hh = accumulate(rows, len(w), meta["terms"], len(w), {**state, "W": w}, frobenius_statistics)
-            new = w * hv.T / np.maximum(hh @ w, TINY)
+            new = w * hv / np.maximum(hh @ w, TINY)
             change = np.linalg.norm(new - w) / np.linalg.norm(w)
             w = new
             if change < self.get("tol"):
@@ -434,19 +435,19 @@ class NmfEncoder(_TopicEncoder):
 
 def mixture_scores(rows: Rows, s: dict) -> tuple[np.ndarray, np.ndarray]:
     """log P(string | topic), and with the topic's own probability added."""
-    log_likelihood = rows.by_row(np.log(s["W"]).T[rows.idx] * rows.val[:, None]) - 1
-    return log_likelihood, log_likelihood + np.log(s["theta"])
+    log_likelihood = rows.by_row(np.log(s["W"])[:, rows.idx] * rows.val) - 1
+    return log_likelihood, log_likelihood + np.log(s["theta"])[:, None]
 
 
 def log_total(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1, keepdims=True)
-    return top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
+    top = scores.max(axis=0)
+    return top + np.log(np.exp(scores - top).sum(axis=0))
 
 
 def mixture_statistics(rows: Rows, s: dict):
     _, joint = mixture_scores(rows, s)
-    posterior = np.exp(joint - log_total(joint)) * rows.weight[:, None]
-    return rows.by_term(posterior[rows.row] * rows.val[:, None]), posterior.sum(axis=0, keepdims=True)
+    posterior = np.exp(joint - log_total(joint)) * rows.weight
+    return rows.by_term(rows.spread(posterior) * rows.val), posterior.sum(axis=1, keepdims=True)
 
 
 def mixture_codes(rows: Rows, s: dict) -> np.ndarray:
@@ -458,8 +459,8 @@ def mixture_pass(rows: DataFrame, beta: np.ndarray, theta: np.ndarray, n_rows: i
     """One round of expectation and smoothed maximisation."""
     k, width = beta.shape
     terms, mass = accumulate(rows, k, width, 1, {"W": beta, "theta": np.asarray(theta)}, mixture_statistics)
-    beta = (1 + terms.T) / (width + terms.sum(axis=0)[:, None])
-    return beta, (1 + mass[0]) / (k + n_rows)
+    beta = (1 + terms) / (width + terms.sum(axis=1, keepdims=True))
+    return beta, (1 + mass[:, 0]) / (k + n_rows)
 
 
 class MixtureModel(TopicModel):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import squeeze
 from lexiloom.operators import counts, prep
-from lexiloom.operators.grams import fitted_vocabulary
+from lexiloom.operators.grams import Terms, fitted_vocabulary
 from lexiloom.operators.topics import term_rows
 from lexiloom.plans.catalog.common import grams_sql, rounded, table
 
@@ -60,7 +60,8 @@ def hstack_features(spark, sf_dir):
     keys = counts.distinct_keys(table(spark, sf_dir, "part"), "p_name")
     chars, n_chars = fitted_vocabulary(keys, "char", 2, 4)
     words, n_words = fitted_vocabulary(keys, "word", 1, 1)
-    rows = term_rows(keys, [(chars, n_chars, "char", 2, 4, 0), (words, n_words, "word", 1, 1, n_chars)])
+    rows = term_rows(keys, [Terms({"analyzer": "char", "lo": 2, "hi": 4, "width": n_chars}, chars),
+                            Terms({"analyzer": "word", "lo": 1, "hi": 1, "width": n_words}, words)])
     cells = rows.select("key", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
     return cells.select("key", F.col("c.indices").cast("bigint").alias("component"), rounded("c.values").alias("value"))
 

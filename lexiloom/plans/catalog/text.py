@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.sparse import term_vector
 from lexiloom.functions.text import char_ngrams, padded_ngram_set, word_tokens
 from lexiloom.operators import counts
-from lexiloom.operators.grams import indexed_counts
 from lexiloom.plans.catalog.common import grams_sql, murmur_sql, padded_grams_sql, rounded, table
 
 
@@ -40,14 +40,25 @@ def ngram_presence(spark, sf_dir):
     return counts.term_presence(_names(spark, sf_dir))
 
 
-def ngram_vocabulary(spark, sf_dir):
-    return counts.vocabulary(counts.term_counts(counts.distinct_keys(table(spark, sf_dir, "benchmark"), "text")))
+def word_vocabulary(spark, sf_dir):
+    return counts.vocabulary(counts.term_counts(counts.distinct_texts(table(spark, sf_dir, "documents"), "text"), "word", 1, 1))
 
 
 def hashed_ngrams(spark, sf_dir):
     keys = counts.distinct_keys(table(spark, sf_dir, "customer"), "c_name")
-    out = indexed_counts(keys, None, 128, "char", 2, 4).filter("component is not null")
-    return out.select("key", "component", rounded("value").alias("value"))
+    return _cells(keys.select("key", term_vector(char_ngrams(F.col("key")), 128).alias("features")))
+
+
+def hashed_ngrams_texts(spark, sf_dir):
+    """Hashed n-grams of whole texts; checked against brute force in the tests."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = docs.select(F.col("doc_id").alias("key"), term_vector(char_ngrams(F.col("text")), 4096).alias("features"))
+    return _cells(vectors)
+
+
+def _cells(vectors):
+    cells = vectors.select("key", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
+    return cells.select("key", F.col("c.indices").cast("bigint").alias("component"), rounded("c.values").alias("value"))
 
 
 def _rounded_tfidf(df):
@@ -59,14 +70,12 @@ def ngram_tfidf(spark, sf_dir):
 
 
 def word_tfidf(spark, sf_dir):
-    talks = counts.distinct_keys(table(spark, sf_dir, "conversations"), "text")
-    out = counts.tfidf(talks, "word", 1, 1)
-    return _rounded_tfidf(out.withColumn("key", F.md5("key")))
+    return _rounded_tfidf(counts.tfidf(counts.distinct_texts(table(spark, sf_dir, "documents"), "text"), "word", 1, 1))
 
 
 QUERIES = {
     "char_ngrams": char_ngrams_query, "padded_ngram_set": padded_ngram_set_query, "word_tokens": word_tokens_query,
-    **{f.__name__: f for f in (ngram_counts, ngram_presence, ngram_vocabulary, hashed_ngrams, ngram_tfidf, word_tfidf)}}
+    **{f.__name__: f for f in (ngram_counts, ngram_presence, word_vocabulary, hashed_ngrams, hashed_ngrams_texts, ngram_tfidf, word_tfidf)}}
 
 # The long texts: characters with their followers, so that no text is walked per n-gram.
 LONG_GRAMS = r"""
@@ -105,8 +114,8 @@ ORACLES = {
     "ngram_presence": f"""
         WITH keys AS (SELECT DISTINCT p_name AS key FROM part), g AS ({grams_sql('keys')})
         SELECT DISTINCT key, term FROM g""",
-    "ngram_vocabulary": f"""
-        WITH keys AS (SELECT DISTINCT text AS key FROM benchmark), g AS ({grams_sql('keys')})
+    "word_vocabulary": f"""
+        WITH g AS (SELECT key, unnest({WORDS.format('key')}) AS term FROM (SELECT DISTINCT text AS key FROM documents))
         SELECT term, count(*) AS count, count(DISTINCT key) AS df FROM g GROUP BY 1""",
     "hashed_ngrams": f"""
         WITH keys AS (SELECT DISTINCT c_name AS key FROM customer), g AS ({grams_sql('keys')}),
@@ -115,6 +124,6 @@ ORACLES = {
                count(*)::DOUBLE AS value
         FROM g JOIN hashed USING (term) GROUP BY 1, 2""",
     "ngram_tfidf": _tfidf_sql("SELECT p_name AS key, count(*) AS n FROM part GROUP BY 1", grams_sql("keys")),
-    "word_tfidf": _tfidf_sql("SELECT text AS key, count(*) AS n FROM conversations GROUP BY 1",
+    "word_tfidf": _tfidf_sql("SELECT text AS key, count(*) AS n FROM documents GROUP BY 1",
                              f"SELECT key, unnest({WORDS.format('key')}) AS term FROM keys", "md5(key)"),
 }
