@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.prep import stringify
 
-# Rows a table may have before it is no longer sent to every executor on our word.
-BROADCAST_ROWS = 200_000
 # Widest dense code built by pivoting.
 PIVOT_WIDTH = 10_000
 
@@ -35,11 +33,6 @@ def param(name: str, doc: str, converter=None) -> Param:
     return Param(Params._dummy(), name, doc, converter or TypeConverters.identity)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose counted size is small, else leave the join to the optimizer."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def dense(long: DataFrame, width: int, value: Column, group: tuple[str, ...] = ("key",)) -> DataFrame:
     """(group, features): sums of ``value`` by component as one array.
 
@@ -68,12 +61,13 @@ def sparse(long: DataFrame, group: tuple[str, ...] = ("key",)) -> DataFrame:
 class EncoderEstimator(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """One string column in, one vector column out."""
 
+    dedupe = param("dedupe", "encode distinct strings and join back", TypeConverters.toBoolean)
     handleUnknown = param("handleUnknown", "'ignore' or 'error' for strings not seen in fit")
     defaults: dict = {}
 
     def __init__(self, **kwargs):
         super().__init__()
-        self._setDefault(handleUnknown="ignore", **self.defaults)
+        self._setDefault(handleUnknown="ignore", dedupe=True, **self.defaults)
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
         if self.getOrDefault("handleUnknown") not in ("error", "ignore"):
             raise ValueError("handle_unknown should be either 'error' or 'ignore', "
@@ -90,6 +84,7 @@ class EncoderEstimator(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadab
     def build(self, model: "EncoderModel") -> "EncoderModel":
         model._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
         model.meta.setdefault("handle_unknown", self.get("handleUnknown"))
+        model.meta.setdefault("dedupe", self.get("dedupe"))
         return model
 
 
@@ -123,8 +118,21 @@ class EncoderModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
         return encoded.select("key", F.posexplode("features").alias("component", "value")).select(
             "key", F.col("component").cast("bigint").alias("component"), "value").filter("value <> 0")
 
+    def in_place(self, rows: DataFrame) -> DataFrame | None:
+        """Rows encoded without a shuffle, where the model can do so."""
+        return None
+
     def encode_rows(self, rows: DataFrame) -> DataFrame:
-        """Add ``features`` to rows that carry ``_key``."""
+        """Add ``features`` to rows that carry ``_key``.
+
+        A table is encoded once per distinct string; a stream, or a column set to
+        ``dedupe=False`` because its strings rarely repeat, in place.
+        """
+        if rows.isStreaming or not self.meta.get("dedupe", True):
+            placed = self.in_place(rows)
+            if placed is None:
+                raise ValueError(f"{type(self).__name__} cannot encode rows in place")
+            return placed
         encoded = self.encode(rows.select(F.col("_key").alias("key")).distinct())
         return rows.join(encoded.withColumnRenamed("key", "_key"), "_key", "left")
 

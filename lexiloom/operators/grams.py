@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from lexiloom.functions.murmur import minhash_signature
 from lexiloom.functions.sparse import term_vector
 from lexiloom.functions.text import padded_ngram_set, tokens
-from lexiloom.operators.base import EncoderEstimator, EncoderModel, param, small, sparse
+from lexiloom.operators.base import EncoderEstimator, EncoderModel, param, sparse
 from lexiloom.operators.counts import idf_weights
 from lexiloom.operators.ranking import dense_ordinals
-from lexiloom.session import checkpointed
+from lexiloom.session import checkpointed, small
 
 
 # Largest vocabulary collected and sent to the tasks; beyond it terms are joined.
@@ -80,6 +80,10 @@ class TermCountModel(EncoderModel):
             return keys.select("key", terms.vector(F.col("key")).alias("features"))
         return sparse(self.joined(indexed_counts(keys, terms.table, terms.analyzer, terms.lo, terms.hi)))
 
+    def in_place(self, rows: DataFrame) -> DataFrame | None:
+        if self.terms().local:
+            return rows.withColumn("features", self.terms().vector(F.col("_key")))
+
     def joined(self, counts: DataFrame) -> DataFrame:
         return counts
 
@@ -143,9 +147,8 @@ class MinHashModel(EncoderModel):
         filled = F.when(F.size(grams) == 0, spare).otherwise(grams)
         return df.withColumn("features", minhash_signature(filled, self.width))
 
-    def encode_rows(self, rows: DataFrame) -> DataFrame:
-        """A stream is hashed row by row; a table once per distinct string."""
-        return self._signed(rows, "_key") if rows.isStreaming else super().encode_rows(rows)
+    def in_place(self, rows: DataFrame) -> DataFrame:
+        return self._signed(rows, "_key")
 
 
 class MinHashEncoder(EncoderEstimator):
@@ -168,7 +171,7 @@ class WordVectorModel(EncoderModel):
         words = F.filter(F.split(F.regexp_replace("key", "\n", " "), r"[ \t\r\f\x0b\x00]+"), lambda w: w != "")
         exploded = keys.select("key", F.explode_outer(words).alias("word"))
         counted = exploded.groupBy("key", "word").agg(F.count("word").alias("_n"))
-        found = counted.join(small(self.tables["vectors"], self.meta["rows"]), "word", "left")
+        found = counted.join(small(self.tables["vectors"], self.meta["rows"], self.width), "word", "left")
         hits = F.sum(F.when(F.col("unit").isNotNull(), F.col("_n")))
         sums = found.groupBy("key").agg(hits.alias("_hits"), *[
             F.sum(F.col("_n") * F.col("unit")[i]).alias(f"_s{i}") for i in range(self.width)])

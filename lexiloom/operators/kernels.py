@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import char_ngrams
 from lexiloom.operators.base import (
-    EncoderEstimator, EncoderModel, HasCategories, categories_table, dense, param, small,
+    EncoderEstimator, EncoderModel, HasCategories, categories_table, dense, param, sparse, PIVOT_WIDTH,
 )
 from lexiloom.operators.counts import term_counts
 from lexiloom.operators.ranking import dense_ordinals
-from lexiloom.session import checkpointed
+from lexiloom.session import checkpointed, small
 
 
 class _KernelModel(EncoderModel):
@@ -25,7 +25,7 @@ class _KernelModel(EncoderModel):
         grams = char_ngrams(F.col("key"), self.meta["lo"], self.meta["hi"])
         sized = keys.select("key", F.size(grams).alias("size"), F.explode_outer(grams).alias("term"))
         counts = sized.groupBy("key", "size", "term").agg(F.count("term").alias("count"))
-        return counts.join(small(self.tables["index"], self.meta["rows"]), "term", "left")
+        return counts.join(small(self.tables["index"], self.meta["rows"], 5), "term", "left")
 
     def feature_names(self):
         return self.meta["names"]
@@ -35,6 +35,8 @@ class SimilarityModel(_KernelModel):
     """Multiset Jaccard of n-grams: shared / (all of both - shared)."""
 
     def encode(self, keys: DataFrame) -> DataFrame:
+        if self.width > PIVOT_WIDTH:
+            return self._sparse(keys)
         shared = dense(self.matched(keys), self.width, F.least("count", "n").cast("double"), ("key", "size"))
         sizes = F.array(*[F.lit(int(n)) for n in self.meta["sizes"]])
         jaccard = F.zip_with("features", sizes, lambda s, n: F.coalesce(
@@ -42,6 +44,15 @@ class SimilarityModel(_KernelModel):
         return shared.select("key", jaccard.alias("features"))
 
 
+    def _sparse(self, keys: DataFrame) -> DataFrame:
+        """With very many categories: only those that share an n-gram are stored."""
+        pairs = self.matched(keys).groupBy("key", "size", "component").agg(
+            F.sum(F.least("count", "n")).alias("s"))
+        sizes = self.tables["index"].groupBy("component").agg(F.sum("n").alias("m"))
+        joined = pairs.join(small(sizes, self.width), "component", "left")
+        return sparse(joined.withColumn("value", F.col("s") / (F.col("size") + F.col("m") - F.col("s"))))
+
+
 class FisherModel(_KernelModel):
     """K(i, j): sum over n-grams with equal counts in i and j of 1 / P(that count).
 

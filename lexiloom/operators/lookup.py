@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.numeric import finite
-from lexiloom.operators.base import (
-    EncoderEstimator, EncoderModel, HasCategories, categories_table, param, small,
-)
+from lexiloom.operators.base import EncoderEstimator, EncoderModel, HasCategories, categories_table, param
 from lexiloom.operators.prep import stringify
 from lexiloom.operators.ranking import dense_ordinals
-from lexiloom.session import checkpointed
+from lexiloom.session import checkpointed, small
 
 
 class _Joined(EncoderModel):
@@ -25,7 +23,7 @@ class _Joined(EncoderModel):
 
     def lookup(self, rows: DataFrame, table: str) -> DataFrame:
         codes = self.tables[table].withColumnRenamed("key", "_key")
-        return rows.join(small(codes, self.meta["rows"]), "_key", "left")
+        return rows.join(small(codes, self.meta["rows"], self.meta.get("cells", 1)), "_key", "left")
 
 
 # --- codes computed from a category's place in sorted order ---------------------------
@@ -250,7 +248,7 @@ class _Supervised(EncoderEstimator):
 
     def codes(self, table: DataFrame, default: list[float]) -> EncoderModel:
         codes = checkpointed(table)
-        meta = {"rows": codes.count(), "width": len(default), "default": default}
+        meta = {"rows": codes.count(), "cells": len(default), "width": len(default), "default": default}
         return self.build(CodeTableModel({"codes": codes}, meta))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.base import param
 from lexiloom.operators.metrics import evaluator
 from lexiloom.operators.ranking import lowest
+from lexiloom.session import settled
 
 # Tuning grids and network shapes.
 LEARNING_RATES_LEAVES = (0.1, 0.05, 0.5)
@@ -71,7 +72,7 @@ def balanced_weights(df: DataFrame, target: str, name: str = "weight") -> DataFr
     """Add n / (C * n_class); class sizes are aggregated first and joined."""
     sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
     weight = (sizes.agg(F.sum("_n") / F.count(F.lit(1))).scalar() / F.col("_n")).alias(name)
-    return df.join(sizes.select(target, weight), target)
+    return df.join(settled(sizes.select(target, weight)), target)
 
 
 def _kernel(x: np.ndarray, basis: np.ndarray, s: dict) -> np.ndarray:

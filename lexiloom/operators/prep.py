@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.ranking import dense_ordinals, lowest
 from lexiloom.roles import ColumnRoles
+from lexiloom.session import settled
 
 # The missing share that triggers a warning, and the smallest class kept.
 MISSING_WARNING = 0.15
@@ -88,7 +89,7 @@ def label_table(df: DataFrame, target: str, min_count: int | None = None) -> Dat
 
 def label_encode(df: DataFrame, target: str, min_count: int | None = None, label: str = "label") -> DataFrame:
     """Add the label; with ``min_count`` rows of classes at or below it are dropped."""
-    labels = label_table(df, target, min_count).select(target, F.col("label").alias(label))
+    labels = settled(label_table(df, target, min_count).select(target, F.col("label").alias(label)))
     return df.join(labels, target, "inner")
 
 

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.session import checkpointed
+from lexiloom.session import checkpointed, settled
 
 # Hex digits of the order key used as bucket: 16**4 buckets per group.
 BUCKET_DIGITS = 4
@@ -49,11 +49,12 @@ def flag_lowest(df: DataFrame, group: Sequence[str], order: Column, tie: Sequenc
     """Mark the ``quota`` first rows of each group by (order, tie).
 
     ``order`` is a hex digest; ``quota`` may use ``n_group``, the size of the group. The
-    cut table has one row per group, so the last join does not move the table.
+    cut table has one row per group and is settled first, so with few groups (folds,
+    classes) the last join does not move the table.
     """
     group, tie = list(group), list(tie)
     keyed = df.withColumn("_order", order)
-    cuts = _cuts(keyed, group, tie, quota)
+    cuts = settled(_cuts(keyed, group, tie, quota))
     place = F.struct("_order", *tie)
     if not group:
         inside = F.coalesce(place <= cuts.scalar(), F.lit(False))
@@ -71,7 +72,8 @@ def running_sums(df: DataFrame, order: str, values: Sequence[str], descending: b
     """Add ``cum_<value>`` over the whole table in order of the numeric column.
 
     ``order`` must be unique. Buckets come from approximate quantiles, so each holds
-    about the same number of rows whatever the distribution.
+    about the same number of rows whatever the distribution; their totals are at most
+    RANGE_BUCKETS rows.
     """
     cuts = df.approxQuantile(order, [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)], 0.0005)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -86,7 +88,7 @@ def running_sums(df: DataFrame, order: str, values: Sequence[str], descending: b
         F.col(order).desc() if descending else F.col(order)
     ).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(offsets, "_range")
+        placed.join(F.broadcast(offsets), "_range")
         .withColumns({f"cum_{v}": F.sum(v).over(within) + F.col(f"_o_{v}") for v in values})
         .drop("_range", *[f"_o_{v}" for v in values])
     )
@@ -107,6 +109,6 @@ def dense_ordinals(df: DataFrame, key: str, name: str = "ordinal", start: int =
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
-        ordered.withColumn("_part", part).join(offsets, "_part")
+        ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
         .select(key, *keep, (inside + F.col("_offset") + F.lit(start)).cast("bigint").alias(name))
     )

@@ -20,8 +20,8 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators.base import EncoderModel, small
-from lexiloom.session import checkpointed
+from lexiloom.operators.base import EncoderModel
+from lexiloom.session import checkpointed, small
 
 # Seeds of the reductions.
 PROJECTION_SEED = 35
@@ -90,7 +90,7 @@ def pca_directions(weighted: DataFrame, width: int, k: int) -> tuple[DataFrame,
 
 def project(long: DataFrame, directions: DataFrame, width: int, k: int) -> DataFrame:
     """(key, component, value) to (key, features) of length k."""
-    joined = long.join(small(directions, width), "component")
+    joined = long.join(small(directions, width, k), "component")
     sums = joined.groupBy("key").agg(*[F.sum(F.col("value") * F.col("w")[j]).alias(f"s{j}") for j in range(k)])
     return sums.select("key", F.array(*[f"s{j}" for j in range(k)]).alias("features"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.ranking import flag_lowest
+from lexiloom.session import settled
 
 
 def fold_order(ids: Sequence[str], seed: int, fold: Column | str = "fold") -> Column:
@@ -47,7 +48,9 @@ def rare_category_split(df: DataFrame, column: str, n_splits: int, test_size: fl
     upto = F.sum("_rows").over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
     limit = F.floor(total * F.lit(test_size))
     room = sizes.select("_n", F.floor((limit - upto + F.col("_rows")) / F.col("_n")).alias("_room"))
-    placed = with_folds(cats.join(room, "_n"), n_splits).withColumn("_room", F.greatest("_room", F.lit(0)))
+    placed = with_folds(cats.join(settled(room), "_n"), n_splits).withColumn("_room", F.greatest("_room", F.lit(0)))
     order = fold_order([column], seed)
     inside = flag_lowest(placed, ["fold", "_n", "_room"], order, [column], F.col("_room"), "is_test")
-    return with_folds(df, n_splits).join(inside.select(column, "fold", "is_test"), [column, "fold"])
+    held = inside.filter("is_test").groupBy(column).agg(F.collect_list("fold").alias("_held"))
+    flagged = with_folds(df.join(held, column, "left"), n_splits)
+    return flagged.withColumn("is_test", F.coalesce(F.array_contains("_held", F.col("fold")), F.lit(False))).drop("_held")

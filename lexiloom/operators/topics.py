@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.param import TypeConverters
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.sparse import side_by_side
@@ -37,12 +37,15 @@ def blocks_of(meta: dict, tables: dict) -> list[Terms]:
     return [Terms(block, tables.get(block["terms"])) for block in meta["blocks"]]
 
 
+def block_vector(text: Column, blocks: list[Terms]) -> Column:
+    starts = np.concatenate(([0], np.cumsum([b.width for b in blocks])))
+    return side_by_side([b.vector(text, int(start)) for b, start in zip(blocks, starts)])
+
+
 def term_rows(keys: DataFrame, blocks: list[Terms]) -> DataFrame:
     """(key, count, features): the blocks' counts side by side, indices offset by block."""
-    starts = np.concatenate(([0], np.cumsum([b.width for b in blocks])))
-    vectors = [b.vector(F.col("key"), int(start)) for b, start in zip(blocks, starts)]
     count = F.col("count") if "count" in keys.columns else F.lit(1).cast("bigint")
-    return keys.select("key", count.alias("count"), side_by_side(vectors).alias("features"))
+    return keys.select("key", count.alias("count"), block_vector(F.col("key"), blocks).alias("features"))
 
 
 class Rows:
@@ -74,15 +77,13 @@ class Rows:
         return terms, np.add.reduceat(entries[:, order], first, axis=1)
 
 
-def chunks(batch: pa.RecordBatch, k: int):
+def chunks(features: pa.StructArray, weight: np.ndarray, k: int):
     """Yield Rows with a bounded number of entries."""
-    features = batch.column("features")
     lists = features.field("indices")
     idx = lists.flatten().to_numpy(zero_copy_only=False)
     val = features.field("values").flatten().to_numpy(zero_copy_only=False)
     sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    weight = batch.column("count").to_numpy(zero_copy_only=False).astype(float)
     first, budget = 0, max(1, CHUNK_CELLS // k)
     while first < len(sizes):
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + budget, side="right")) - 1)
@@ -104,7 +105,8 @@ def accumulate(rows: DataFrame, k: int, width: int, n_extra: int, state: dict,
     def partial(batches):
         sums = np.zeros((k, width + n_extra))
         for batch in batches:
-            for part in chunks(batch, k):
+            weight = batch.column("count").to_numpy(zero_copy_only=False).astype(float)
+            for part in chunks(batch.column("features"), weight, k):
                 (index, by_term), beside = step(part, sent.value)
                 sums[:, index] += by_term
                 sums[:, width:] += beside
@@ -123,20 +125,18 @@ def accumulate(rows: DataFrame, k: int, width: int, n_extra: int, state: dict,
     return out[:, :width], out[:, width:]
 
 
-def map_rows(rows: DataFrame, k: int, state: dict, step: Callable) -> DataFrame:
-    """(key, features): ``step`` gives each sparse row its dense code."""
-    sent = rows.sparkSession.sparkContext.broadcast(state)
+def topic_codes(vector: Column, spark: SparkSession, k: int, state: dict, step: Callable) -> Column:
+    """Dense code that ``step`` gives each sparse row, as a column."""
+    sent = spark.sparkContext.broadcast(state)
 
-    def encode(batches):
-        for batch in batches:
-            parts = [step(part, sent.value) for part in chunks(batch, k)]
-            codes = np.concatenate(parts, axis=1).T if parts else np.zeros((0, k))
-            offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], type=pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(codes).ravel()))],
-                names=["key", "features"])
+    @F.arrow_udf("array<double>")
+    def encode(features: pa.Array) -> pa.Array:
+        parts = [step(part, sent.value) for part in chunks(features, np.ones(len(features)), k)]
+        codes = np.concatenate(parts, axis=1).T if parts else np.zeros((0, k))
+        offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * k, type=pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(codes).ravel()))
 
-    return rows.mapInArrow(encode, "key string, features array<double>")
+    return encode(vector)
 
 
 # --- gamma-Poisson ---------------------------------------------------------------------
@@ -201,17 +201,30 @@ class TopicModel(EncoderModel):
     def state(self) -> dict:
         return {**self.meta["state"], "W": self.weights()}
 
-    def rows(self, keys: DataFrame) -> DataFrame:
+    def step(self) -> Callable:
+        """The function from (Rows, state) to codes (K x n)."""
+        raise NotImplementedError
+
+    def blocks(self) -> list[Terms]:
         if not hasattr(self, "_blocks"):
             self._blocks = blocks_of(self.meta, self.tables)
-        return term_rows(keys, self._blocks)
+        return self._blocks
+
+    def encode(self, keys: DataFrame) -> DataFrame:
+        return self._coded(keys, "key").select("key", "features")
+
+    def in_place(self, rows: DataFrame) -> DataFrame:
+        return self._coded(rows, "_key")
+
+    def _coded(self, df: DataFrame, key: str) -> DataFrame:
+        vector = block_vector(F.col(key), self.blocks())
+        return df.withColumn("features", topic_codes(vector, df.sparkSession, self.width, self.state(), self.step()))
 
 
 class GammaPoissonModel(TopicModel):
-    def encode(self, keys: DataFrame) -> DataFrame:
+    def step(self) -> Callable:
         steps = self.meta["transform_steps"]
-        return map_rows(self.rows(keys), self.width, self.state(),
-                        lambda rows, s: poisson_activations(rows, s, steps))
+        return lambda rows, s: poisson_activations(rows, s, steps)
 
     def score(self, df: DataFrame) -> float:
         """Generalised Kullback-Leibler divergence, every row counted."""
@@ -226,7 +239,7 @@ class GammaPoissonModel(TopicModel):
             nothing = (np.zeros(0, np.int64), np.zeros((len(s["W"]), 0)))
             return nothing, np.full((len(s["W"]), 1), (rows.weight * total).sum())
 
-        _, extra = accumulate(self.rows(keys), self.width, self.meta["terms"], 1, self.state(), divergence)
+        _, extra = accumulate(term_rows(keys, self.blocks()), self.width, self.meta["terms"], 1, self.state(), divergence)
         return float(extra[0, 0])
 
     def topic_labels(self, n_top: int = 3) -> DataFrame:
@@ -251,17 +264,23 @@ def start_rows(rows: DataFrame, k: int, width: int, seed: int) -> np.ndarray:
     race = -F.ln(uniform) / F.col("count")
     few = rows.orderBy(race, "key").limit(CANDIDATES_PER_TOPIC * k).collect()
     rng = np.random.RandomState(seed)
-    dense = np.zeros((len(few), width))
-    for i, row in enumerate(few):
-        dense[i, row["features"]["indices"]] = row["features"]["values"]
-    chosen = [rng.randint(len(few))]
-    distance = ((dense - dense[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k:
+    sizes = np.array([len(row["features"]["indices"]) for row in few])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    flat = lambda name, kind: np.concatenate([np.array(row["features"][name], dtype=kind) for row in few])
+    rows = Rows(np.ones(len(few)), starts, sizes, flat("indices", np.int64), flat("values", float))
+    square = rows.by_row(rows.val ** 2)
+    out = np.zeros((k, width))
+    distance = np.full(len(few), np.inf)
+    for i in range(k):
         total = distance.sum()
-        pick = rng.choice(len(few), p=distance / total) if total > 0 else rng.randint(len(few))
-        chosen.append(pick)
-        distance = np.minimum(distance, ((dense - dense[pick]) ** 2).sum(axis=1))
-    return dense[chosen]
+        if 0 < total < np.inf:
+            pick = rng.choice(len(few), p=distance / total)
+        else:
+            pick = rng.randint(len(few))
+        out[i, few[pick]["features"]["indices"]] = few[pick]["features"]["values"]
+        apart = square + square[pick] - 2 * rows.by_row(rows.val * out[i, rows.idx])
+        distance = np.maximum(np.minimum(distance, apart), 0)
+    return out
 
 
 class _TopicEncoder(EncoderEstimator):
@@ -402,8 +421,8 @@ def frobenius_statistics(rows: Rows, s: dict):
 
 
 class NmfModel(TopicModel):
-    def encode(self, keys: DataFrame) -> DataFrame:
-        return map_rows(self.rows(keys), self.width, self.state(), frobenius_activations)
+    def step(self) -> Callable:
+        return frobenius_activations
 
 
 class NmfEncoder(_TopicEncoder):
@@ -464,8 +483,8 @@ def mixture_pass(rows: DataFrame, beta: np.ndarray, theta: np.ndarray, n_rows: i
 
 
 class MixtureModel(TopicModel):
-    def encode(self, keys: DataFrame) -> DataFrame:
-        return map_rows(self.rows(keys), self.width, self.state(), mixture_codes)
+    def step(self) -> Callable:
+        return mixture_codes
 
     def state(self) -> dict:
         return {**super().state(), "theta": np.array(self.meta["theta"])}

@@ -53,7 +53,8 @@ def hashed_ngrams_texts(spark, sf_dir):
     """Hashed n-grams of whole texts; checked against brute force in the tests."""
     docs = table(spark, sf_dir, "documents")
     vectors = docs.select(F.col("doc_id").alias("key"), term_vector(char_ngrams(F.col("text")), 4096).alias("features"))
-    return _cells(vectors)
+    return _cells(vectors).groupBy("component").agg(
+        F.sum("value").cast("bigint").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
 
 
 def _cells(vectors):

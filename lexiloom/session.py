@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,6 +42,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexiloom/{name}-{uuid.uuid4().hex}"
 
 
+# Cells (rows x numbers per row) a table may have to be sent to every executor: 32 MB.
+BROADCAST_CELLS = 4_000_000
+
+
+def small(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
+    """Broadcast a table whose counted size is small, else leave the join to the optimizer."""
+    return F.broadcast(df) if rows * max(width, 1) <= BROADCAST_CELLS else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint a derived side table, count it, and broadcast it if it is small.
+
+    An aggregate's size is unknown before it runs, and a planned shuffle join would write
+    the whole other side to disk even when the aggregate turns out to be tiny.
+    """
+    kept = checkpointed(df)
+    return small(kept, kept.count(), len(kept.columns))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     spark = df.sparkSession

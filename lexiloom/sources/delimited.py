@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,13 +53,20 @@ def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: StructType
     def body(batches):
         place, seen = None, 0
         for batch in batches:
-            keep = []
-            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
-                if (file, start) != place:
-                    place, seen = (file, start), 0
-                keep.append(start > 0 or seen > skip)
-                seen += 1
-            yield batch.select(["value"]).filter(pa.array(keep))
+            n = batch.num_rows
+            if not n:
+                continue
+            file = batch.column("file").dictionary_encode()
+            codes, start = file.indices.to_numpy(), batch.column("start").to_numpy()
+            edge = np.flatnonzero((np.diff(codes) != 0) | (np.diff(start) != 0)) + 1
+            line = np.arange(n)
+            bounds = [0, *edge.tolist(), n]
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                here = (file.dictionary[codes[low]].as_py(), start[low])
+                seen = seen if here == place else 0
+                line[low:high] += seen - low
+                place, seen = here, seen + high - low
+            yield batch.select(["value"]).filter(pa.array((start > 0) | (line > skip)))
 
     placed = lines.select("value", F.col("_metadata.file_path").alias("file"),
                           F.col("_metadata.file_block_start").alias("start"))
