@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder as IndexToVector
 from pyspark.ml.param import TypeConverters
 from pyspark.sql import Column, DataFrame
@@ -57,30 +59,20 @@ def backward_contrast(i: Column, j: Column, k: int) -> Column:
 CONTRASTS = {"sum": sum_contrast, "helmert": helmert_contrast, "backward": backward_contrast}
 
 
-def polynomial_contrasts(i: Column, k: int) -> Column:
-    """Orthonormal polynomials of degree 1..k-1 on k equally spaced levels.
+# Most levels for polynomial contrasts, whose k x (k - 1) matrix is made on the driver.
+MAX_POLYNOMIAL_LEVELS = 2_000
 
-    The three-term recurrence of the discrete Chebyshev polynomials gives each row from
-    its own level, so no k x k matrix is built.
+
+def polynomial_contrasts(k: int) -> np.ndarray:
+    """Orthonormal polynomials of degree 1..k-1 on k equally spaced levels, one row each.
+
+    They are the eigenvectors of the tridiagonal matrix of their recurrence, a stable way
+    to high degrees; leading coefficients are positive.
     """
-    x = 2.0 * i - float(k - 1)
-    start = F.struct(
-        F.lit(0.0).alias("prev"), F.lit(k ** -0.5).cast("double").alias("last"),
-        F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, d: Column) -> Column:
-        n = d.cast("double")
-        ratio = lambda m: (F.lit(float(k * k)) - (m + 1) * (m + 1)) * (2 * m + 1) / (2 * m + 3)
-        up = F.sqrt(ratio(n))
-        forward = (2 * n + 1) / (n + 1) / up * x * acc["last"]
-        back = F.when(d == 0, 0.0).otherwise(
-            n * (F.lit(float(k * k)) - n * n) / (n + 1) / up
-            / F.sqrt(F.when(d == 0, 1.0).otherwise(ratio(n - 1))) * acc["prev"])
-        new = forward - back
-        return F.struct(acc["last"].alias("prev"), new.alias("last"),
-                        F.concat(acc["out"], F.array(new)).alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 2)), start, step, lambda acc: acc["out"])
+    n = np.arange(1, k)
+    off = 0.5 * np.sqrt((k ** 2 - n ** 2) / (4 - 1 / n ** 2))
+    _, vectors = np.linalg.eigh(np.diag(off, 1) + np.diag(off, -1))
+    return (vectors * np.sign(vectors[0])).T[:, 1:]
 
 
 class OrdinalCodeModel(_Joined):
@@ -90,11 +82,8 @@ class OrdinalCodeModel(_Joined):
         kind, k = self.meta["kind"], self.meta["k"]
         if kind == "base_n":
             return positional_digits(ordinal + 1, self.meta["base"], self.width)
-        if kind == "polynomial":
-            contrast = polynomial_contrasts(ordinal, k)
-        else:
-            formula = CONTRASTS[kind]
-            contrast = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda j: formula(ordinal, j, k))
+        formula = CONTRASTS[kind]
+        contrast = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda j: formula(ordinal, j, k))
         if self.meta["intercept"]:
             return F.concat(F.array(F.lit(1.0)), contrast)
         return contrast
@@ -129,11 +118,26 @@ class ContrastEncoder(_Ordinal):
         ordinals, k = self.ordinals(self.keys(df))
         if k < 2:
             raise ValueError("contrasts need at least two categories")
+        if self.get("kind") == "polynomial":
+            return self._polynomial(ordinals, k)
         meta = {"kind": self.get("kind"), "k": k, "rows": k, "intercept": self.get("intercept"),
                 "width": k - 1 + int(self.get("intercept"))}
         return self.build(OrdinalCodeModel({"ordinals": ordinals}, meta))
 
 
+    def _polynomial(self, ordinals: DataFrame, k: int) -> EncoderModel:
+        if k > MAX_POLYNOMIAL_LEVELS:
+            raise ValueError(f"polynomial contrasts of {k} levels exceed {MAX_POLYNOMIAL_LEVELS}")
+        matrix = polynomial_contrasts(k)
+        if self.get("intercept"):
+            matrix = np.concatenate((np.ones((k, 1)), matrix), axis=1)
+        table = pa.table({"ordinal": pa.array(np.arange(k)), "code": pa.array(list(matrix))})
+        codes = ordinals.join(ordinals.sparkSession.createDataFrame(table), "ordinal").select("key", "code")
+        width = matrix.shape[1]
+        meta = {"rows": k, "cells": width, "width": width, "default": [0.0] * width}
+        return self.build(CodeTableModel({"codes": checkpointed(codes)}, meta))
+
+
 class BaseNEncoder(_Ordinal):
     """1-based place in sorted order, written in base n; unseen strings are 0."""
 

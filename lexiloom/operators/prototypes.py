@@ -22,8 +22,14 @@ def hashed_profiles(keys: DataFrame, width: int = HASH_WIDTH, lo: int = 2, hi: i
 
 
 def kmeans_prototypes(keys: DataFrame, k: int, seed: int = 0, width: int = HASH_WIDTH) -> DataFrame:
-    """(key, count) of the distinct strings closest to the centres; may be fewer than k."""
-    profiles = hashed_profiles(keys, width).persist()
+    """(key, count) of the distinct strings closest to the centres; may be fewer than k.
+
+    The clustering draws its start by partition, so strings are placed and ordered first:
+    the result then does not depend on how the table was partitioned.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keys.repartition(parts, "key").sortWithinPartitions("key")
+    profiles = hashed_profiles(placed, width).persist()
     to_vector = F.udf(lambda f: SparseVector(width, f["indices"], f["values"]), VectorUDT())
     points = profiles.select("count", to_vector("features").alias("_v"))
     centers = np.array(KMeans(k=k, seed=seed, featuresCol="_v", weightCol="count").fit(points).clusterCenters())

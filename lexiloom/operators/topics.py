@@ -363,10 +363,16 @@ class GammaPoissonEncoder(_TopicEncoder):
             raise ValueError(f"Initialization method {init} does not exist.")
         return w / w.sum(axis=1, keepdims=True)
 
-    def batch_memory(self, n_rows: int) -> float:
+    def schedule(self, n_rows: int) -> tuple[int, float]:
+        """Weight updates per pass, and the memory each keeps.
+
+        A small table gets the updates its batches of ``batchSize`` rows would give; a
+        large one stops at ``macroBatches``, with the memory of a pass unchanged.
+        """
+        batches = min(self.get("macroBatches"), -(-n_rows // self.get("batchSize")))
         if self.isSet("r") or not self.isSet("rho"):
-            return (self.get("r") if self.isSet("r") else 0.7) ** (1 / self.get("macroBatches"))
-        return self.get("rho") ** (n_rows / (self.get("batchSize") * self.get("macroBatches")))
+            return batches, (self.get("r") if self.isSet("r") else 0.7) ** (1 / batches)
+        return batches, self.get("rho") ** (n_rows / (self.get("batchSize") * batches))
 
     def begin(self, df: DataFrame, keys: DataFrame):
         hashed = self.get("nFeatures") if self.get("hashing") else 0
@@ -385,15 +391,15 @@ class GammaPoissonEncoder(_TopicEncoder):
     def _fit(self, df):
         keys = self.keys(df)
         meta, tables, rows, w = self.begin(df, keys)
-        n_rows, batches = rows.agg(F.sum("count")).first()[0], self.get("macroBatches")
-        rho = self.batch_memory(n_rows)
+        batches, rho = self.schedule(rows.agg(F.sum("count")).first()[0])
         a = np.full(w.shape, TINY)
         b = a.copy()
         which = F.pmod(F.xxhash64("key"), F.lit(batches))
         for done in range(1, self.get("maxIter") + 1):
             for batch in range(batches):
                 before = w
-                w, a, b = poisson_pass(rows.filter(which == batch), {**self.prior(), "W": w}, a, b, rho)
+                chosen = rows.filter(which == batch) if batches > 1 else rows
+                w, a, b = poisson_pass(chosen, {**self.prior(), "W": w}, a, b, rho)
             change = np.linalg.norm(w - before) / np.linalg.norm(before)
             if change < self.get("tol") and done >= self.get("minIter"):
                 break
