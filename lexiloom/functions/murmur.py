@@ -75,9 +75,11 @@ def hash_bucket(term: Column, n_features: int) -> Column:
     return bucket(term)
 
 
-def minhash_signature(grams: Column, n_components: int) -> Column:
+def minhash_signature(grams: Column, n_components: int, spare: list[str] | None = None) -> Column:
     """Minimum of each seeded hash over a gram list, scaled to [0, 1].
 
+    ``spare`` are the grams an empty list stands for.
+
     Row-local, so it runs unchanged on a stream. Each distinct gram of a batch is
     hashed once per seed.
     """
@@ -88,12 +90,16 @@ def minhash_signature(grams: Column, n_components: int) -> Column:
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
         sizes = lists.value_lengths().to_numpy()
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if n else np.zeros(0, np.int64)
+        full = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[full]
         groups = byte_groups(coded.dictionary)
+        spared = byte_groups(pa.array(spare or [""]))
         out = np.empty((n, n_components))
         for seed in range(n_components):
-            hashed = murmur3(groups, len(coded.dictionary), seed)
-            out[:, seed] = np.minimum.reduceat(hashed[codes], starts) if n else 0
+            out[:, seed] = murmur3(spared, len(spare or [""]), seed).min()
+            if len(full):
+                hashed = murmur3(groups, len(coded.dictionary), seed)
+                out[full, seed] = np.minimum.reduceat(hashed[codes], starts)
         out /= 2**32 - 1
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * n_components, type=pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))

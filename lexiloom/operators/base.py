@@ -23,6 +23,7 @@ from pyspark.ml.util import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells, sparse_cells
 from lexiloom.operators.prep import stringify
 
 # Widest dense code built by pivoting.
@@ -50,10 +51,10 @@ def dense(long: DataFrame, width: int, value: Column, group: tuple[str, ...] = (
 
 def sparse(long: DataFrame, group: tuple[str, ...] = ("key",)) -> DataFrame:
     """(group, features): struct of sorted ``indices`` and their ``values``."""
-    cells = F.sort_array(F.collect_list(
+    pairs = F.sort_array(F.collect_list(
         F.when(F.col("component").isNotNull(), F.struct(F.col("component").cast("int").alias("i"),
                                                         F.col("value").alias("v")))))
-    listed = long.groupBy(*group).agg(cells.alias("_c"))
+    listed = long.groupBy(*group).agg(pairs.alias("_c"))
     return listed.select(*group, F.struct(F.transform("_c", lambda c: c["i"]).alias("indices"),
                                          F.transform("_c", lambda c: c["v"]).alias("values")).alias("features"))
 
@@ -111,12 +112,8 @@ class EncoderModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
         """(key, component, value) without zeros; keys of zero rows are left out."""
         encoded = self.encode(keys)
         if encoded.schema["features"].dataType.typeName() == "struct":
-            cells = F.arrays_zip("features.indices", "features.values")
-            return encoded.select("key", F.explode(cells).alias("_c")).select(
-                "key", F.col("_c.indices").cast("bigint").alias("component"),
-                F.col("_c.values").alias("value"))
-        return encoded.select("key", F.posexplode("features").alias("component", "value")).select(
-            "key", F.col("component").cast("bigint").alias("component"), "value").filter("value <> 0")
+            return sparse_cells(encoded, ["key"])
+        return cells(encoded, ["key"], "features").filter("value <> 0")
 
     def in_place(self, rows: DataFrame) -> DataFrame | None:
         """Rows encoded without a shuffle, where the model can do so."""

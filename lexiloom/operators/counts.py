@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import exploded
 from lexiloom.functions.text import tokens
 
 
@@ -58,14 +59,13 @@ def term_counts(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int =
 
     Grouping by (key, term) reuses the partitioning by key that ``distinct_keys`` left.
     """
-    exploded = keys.select("key", F.explode(tokens(_text(keys), analyzer, lo, hi)).alias("term"))
-    return exploded.groupBy("key", "term").agg(F.count(F.lit(1)).alias("count"))
+    terms = exploded(keys, ["key"], tokens(_text(keys), analyzer, lo, hi), "term")
+    return terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
 def term_presence(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4) -> DataFrame:
     """(key, term): which terms occur."""
-    return keys.select(
-        "key", F.explode(F.array_distinct(tokens(_text(keys), analyzer, lo, hi))).alias("term"))
+    return exploded(keys, ["key"], F.array_distinct(tokens(_text(keys), analyzer, lo, hi)), "term")
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -93,8 +93,7 @@ def tfidf(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4,
 def idf_weights(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4) -> DataFrame:
     """(term, df, idf) fitted on rows: every distinct string weighs its count."""
     total = keys.agg(F.sum("count")).scalar()
-    terms = keys.select(
-        "count", F.explode(F.array_distinct(tokens(_text(keys), analyzer, lo, hi))).alias("term"))
+    terms = exploded(keys, ["count"], F.array_distinct(tokens(_text(keys), analyzer, lo, hi)), "term")
     df = terms.groupBy("term").agg(F.sum("count").alias("df"))
     return df.select("term", "df", (F.ln(total / F.col("df")) + 1).alias("idf"))
 

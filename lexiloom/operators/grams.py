@@ -6,6 +6,7 @@ from pyspark.ml.param import TypeConverters
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import exploded
 from lexiloom.functions.murmur import minhash_signature
 from lexiloom.functions.sparse import term_vector
 from lexiloom.functions.text import padded_ngram_set, tokens
@@ -59,7 +60,7 @@ class Terms:
 
 def fitted_vocabulary(keys: DataFrame, analyzer: str, lo: int, hi: int) -> tuple[DataFrame, int]:
     """(term, ordinal) in sorted order, and its size."""
-    terms = keys.select(F.explode(F.array_distinct(tokens(F.col("key"), analyzer, lo, hi))).alias("term"))
+    terms = exploded(keys, [], F.array_distinct(tokens(F.col("key"), analyzer, lo, hi)), "term")
     table = checkpointed(dense_ordinals(terms.distinct(), "term"))
     return table, table.count()
 
@@ -142,10 +143,8 @@ class MinHashModel(EncoderModel):
 
     def _signed(self, df: DataFrame, key: str) -> DataFrame:
         lo, hi = self.meta["lo"], self.meta["hi"]
-        grams = padded_ngram_set(F.col(key), lo, hi)
-        spare = padded_ngram_set(F.lit("na"), lo, hi)
-        filled = F.when(F.size(grams) == 0, spare).otherwise(grams)
-        return df.withColumn("features", minhash_signature(filled, self.width))
+        spare = [" na "[i:i + n] for n in range(lo, hi + 1) for i in range(5 - n)]
+        return df.withColumn("features", minhash_signature(padded_ngram_set(F.col(key), lo, hi), self.width, spare))
 
     def in_place(self, rows: DataFrame) -> DataFrame:
         return self._signed(rows, "_key")

@@ -20,6 +20,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells
 from lexiloom.operators.base import EncoderModel
 from lexiloom.session import checkpointed, small
 
@@ -72,8 +73,7 @@ def svd_directions(weighted: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def weighted_mean(weighted: DataFrame, width: int) -> list[float]:
-    cells = weighted.select("count", F.posexplode("features").alias("component", "x"))
-    sums = cells.groupBy("component").agg((F.sum(F.col("count") * F.col("x")) / F.sum("count")).alias("mean"))
+    sums = cells(weighted, ["count"], "features", value="x").groupBy("component").agg((F.sum(F.col("count") * F.col("x")) / F.sum("count")).alias("mean"))
     means = {r["component"]: r["mean"] for r in sums.collect()}
     return [means.get(i, 0.0) for i in range(width)]
 

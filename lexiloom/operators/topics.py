@@ -16,6 +16,7 @@ from pyspark.ml.param import TypeConverters
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells, exploded
 from lexiloom.functions.sparse import side_by_side
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, param
 from lexiloom.operators.grams import Terms, fitted_vocabulary
@@ -249,7 +250,7 @@ class GammaPoissonModel(TopicModel):
         words = self.tables["words"].select(F.col("word").alias("key"))
         encoded = self.encode(words)
         share = F.col("weight") / F.aggregate("features", F.lit(0.0), lambda s, x: s + F.abs(x))
-        long = encoded.select(F.col("key").alias("word"), "features", F.posexplode("features").alias("topic", "weight"))
+        long = cells(encoded, [F.col("key").alias("word"), "features"], "features", "topic", "weight")
         return topic_top_words(long.select("topic", "word", share.alias("weight")), n_top)
 
 
@@ -384,7 +385,7 @@ class GammaPoissonEncoder(_TopicEncoder):
     def finish(self, df: DataFrame, keys: DataFrame, meta: dict, tables: dict, w: np.ndarray) -> GammaPoissonModel:
         from lexiloom.functions.text import word_tokens
 
-        words = keys.select(F.explode(word_tokens(F.col("key"))).alias("word")).distinct()
+        words = exploded(keys, [], word_tokens(F.col("key")), "word").distinct()
         meta = {**meta, "width": len(w), "state": self.prior(), "transform_steps": self.get("transformSteps")}
         return self.build(GammaPoissonModel({**tables, "weights": self.weights_table(df, w), "words": words}, meta))
 

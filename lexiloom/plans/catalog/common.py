@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells
+from lexiloom.session import spread
+
 # Constants of the published 32-bit MurmurHash3, in decimal for SQL.
 C1, C2, ADD, F1, F2 = 3432918353, 461845907, 3864292196, 2246822507, 3266489909
 MASK = 4294967295
@@ -14,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def rounded(col: Column | str, places: int = 6) -> Column:
     """Double at fixed precision without negative zero."""
     x = F.col(col) if isinstance(col, str) else col
@@ -22,9 +30,7 @@ def rounded(col: Column | str, places: int = 6) -> Column:
 
 def long_codes(encoded: DataFrame, places: int = 6) -> DataFrame:
     """(key, features) to (key, component, value)."""
-    cells = encoded.select("key", F.posexplode("features").alias("component", "value"))
-    return cells.select("key", F.col("component").cast("bigint").alias("component"),
-                        rounded("value", places).alias("value"))
+    return cells(encoded, ["key"], "features").withColumn("value", rounded("value", places))
 
 
 def codes_of(model, df: DataFrame, column: str, places: int = 6) -> DataFrame:

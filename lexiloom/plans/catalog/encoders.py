@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import exploded
 from lexiloom.operators.grams import MinHashEncoder, WordVectorEncoder
 from lexiloom.operators.kernels import FisherKernelEncoder, SimilarityEncoder
 from lexiloom.operators.lookup import (
@@ -98,7 +99,7 @@ def pretrained_vectors(spark, sf_dir):
     from lexiloom.operators.ranking import dense_ordinals
 
     part = table(spark, sf_dir, "part")
-    words = part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    words = exploded(part, [], F.split("p_name", " "), "word").distinct()
     vectors = dense_ordinals(words, "word", "vec_id").join(table(spark, sf_dir, "embeddings"), "vec_id").select(
         "word", F.col("embedding").alias("vector"))
     model = WordVectorEncoder(vectors=vectors, **columns("p_name")).fit(part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import sparse_cells
 from lexiloom.functions.text import squeeze
 from lexiloom.operators import counts, prep
 from lexiloom.operators.grams import Terms, fitted_vocabulary
@@ -62,8 +63,7 @@ def hstack_features(spark, sf_dir):
     words, n_words = fitted_vocabulary(keys, "word", 1, 1)
     rows = term_rows(keys, [Terms({"analyzer": "char", "lo": 2, "hi": 4, "width": n_chars}, chars),
                             Terms({"analyzer": "word", "lo": 1, "hi": 1, "width": n_words}, words)])
-    cells = rows.select("key", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
-    return cells.select("key", F.col("c.indices").cast("bigint").alias("component"), rounded("c.values").alias("value"))
+    return sparse_cells(rows, ["key"]).withColumn("value", rounded("value"))
 
 
 QUERIES = {f.__name__: f for f in (

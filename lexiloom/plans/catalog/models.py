@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells
 from lexiloom.operators import models
 from lexiloom.operators.models import Nystroem
 from lexiloom.operators.splits import stratified_split
@@ -38,8 +39,7 @@ def _points(spark, sf_dir, target, dims=None):
 def column_transformer_query(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     coded = column_transformer(PART_ROLES, "MinHashEncoder").fit(part).transform(part)
-    cells = coded.select(F.posexplode(vector_to_array("_raw")).alias("component", "value"))
-    return cells.groupBy(F.col("component").cast("bigint").alias("component")).agg(rounded(F.sum("value"), 3).alias("total"))
+    return cells(coded, [], vector_to_array("_raw")).groupBy("component").agg(rounded(F.sum("value"), 3).alias("total"))
 
 
 def _predictions(model, points):
@@ -97,8 +97,7 @@ def nystroem(spark, sf_dir):
     points = _points(spark, sf_dir, F.col("label").cast("double"))
     approx = Nystroem(inputCol="features", outputCol="kernel", nComponents=40, degree=2, seed=3).fit(points)
     coded = approx.transform(points)
-    return coded.select("vec_id", F.posexplode(vector_to_array("kernel")).alias("component", "value")).select(
-        "vec_id", F.col("component").cast("bigint").alias("component"), rounded("value", 4).alias("value"))
+    return cells(coded, ["vec_id"], vector_to_array("kernel")).withColumn("value", rounded("value", 4))
 
 
 def nystroem_linear(spark, sf_dir):

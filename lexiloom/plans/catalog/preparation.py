@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells, exploded
 from lexiloom.functions.numeric import parse_percent, parse_thousands, safe_ln
 from lexiloom.operators import counts, prep
 from lexiloom.plans.catalog.common import rounded, table
@@ -136,9 +137,8 @@ def multi_encode_column(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     pipeline = multi_encoder("p_type", ["OneHotEncoder", "BinaryEncoder", "HashingEncoder"], "features")
     encoded = pipeline.fit(part).transform(part)
-    cells = encoded.select("p_type", F.posexplode(vector_to_array("features")).alias("component", "value"))
-    return cells.groupBy("p_type", F.col("component").cast("bigint").alias("component")).agg(
-        rounded(F.sum("value")).alias("total"))
+    long = cells(encoded, ["p_type"], vector_to_array("features"))
+    return long.groupBy("p_type", "component").agg(rounded(F.sum("value")).alias("total"))
 
 
 def category_counts(spark, sf_dir):
@@ -162,7 +162,7 @@ def class_balance(spark, sf_dir):
 
 def topic_top_words(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    words = part.select(F.col("p_type").alias("topic"), F.explode(F.split("p_name", " ")).alias("word"))
+    words = exploded(part, [F.col("p_type").alias("topic")], F.split("p_name", " "), "word")
     weights = words.groupBy("topic", "word").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return counts.topic_top_words(weights, 3)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells
 from lexiloom.operators.grams import MinHashEncoder
 from lexiloom.operators.lookup import TargetMeanEncoder
 from lexiloom.operators.topics import GammaPoissonEncoder
@@ -32,8 +33,7 @@ def drained(spark, stream, name):
 def minhash_stream(spark, sf_dir):
     model = MinHashEncoder(nComponents=10, **columns("c_name")).fit(table(spark, sf_dir, "customer"))
     coded = encode_stream(model, stream_of(spark, sf_dir, "customer"))
-    cells = coded.select("c_custkey", F.posexplode(vector_to_array("code")).alias("component", "value"))
-    out = cells.select("c_custkey", F.col("component").cast("bigint").alias("component"), rounded("value", 9).alias("value"))
+    out = cells(coded, ["c_custkey"], vector_to_array("code")).withColumn("value", rounded("value", 9))
     return drained(spark, out, "minhash")
 
 

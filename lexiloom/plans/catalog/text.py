@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import exploded, sparse_cells
 from lexiloom.functions.sparse import term_vector
 from lexiloom.functions.text import char_ngrams, padded_ngram_set, word_tokens
 from lexiloom.operators import counts
-from lexiloom.plans.catalog.common import grams_sql, murmur_sql, padded_grams_sql, rounded, table
+from lexiloom.plans.catalog.common import grams_sql, murmur_sql, padded_grams_sql, rounded, table, texts
 
 
 def char_ngrams_query(spark, sf_dir):
     """Occurrences of every n-gram over the whole texts."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.explode(char_ngrams(F.col("text"))).alias("term")).groupBy("term").agg(
+    docs = texts(spark, sf_dir, "documents")
+    return exploded(docs, [], char_ngrams(F.col("text")), "term").groupBy("term").agg(
         F.count(F.lit(1)).alias("count"))
 
 
 def padded_ngram_set_query(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    return customers.select("c_custkey", F.explode(padded_ngram_set(F.col("c_name"))).alias("term"))
+    return exploded(customers, ["c_custkey"], padded_ngram_set(F.col("c_name")), "term")
 
 
 def word_tokens_query(spark, sf_dir):
-    talks = table(spark, sf_dir, "conversations")
-    return talks.select("conv_id", "turn", F.explode(word_tokens(F.col("text"))).alias("word")).groupBy(
-        "conv_id", "turn", "word").agg(F.count(F.lit(1)).alias("count"))
+    talks = texts(spark, sf_dir, "conversations")
+    words = exploded(talks, ["conv_id", "turn"], word_tokens(F.col("text")), "word")
+    return words.groupBy("conv_id", "turn", "word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _names(spark, sf_dir):
@@ -51,15 +52,14 @@ def hashed_ngrams(spark, sf_dir):
 
 def hashed_ngrams_texts(spark, sf_dir):
     """Hashed n-grams of whole texts; checked against brute force in the tests."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     vectors = docs.select(F.col("doc_id").alias("key"), term_vector(char_ngrams(F.col("text")), 4096).alias("features"))
     return _cells(vectors).groupBy("component").agg(
         F.sum("value").cast("bigint").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
 
 
 def _cells(vectors):
-    cells = vectors.select("key", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
-    return cells.select("key", F.col("c.indices").cast("bigint").alias("component"), rounded("c.values").alias("value"))
+    return sparse_cells(vectors, ["key"]).withColumn("value", rounded("value"))
 
 
 def _rounded_tfidf(df):

@@ -61,6 +61,16 @@ def settled(df: DataFrame) -> DataFrame:
     return small(kept, kept.count(), len(kept.columns))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows that carry much work each over all cores.
+
+    Only an input of fewer partitions than cores is moved, such as one small file; a
+    large table has more and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     spark = df.sparkSession
