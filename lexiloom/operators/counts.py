@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import exploded
 from lexiloom.functions.text import tokens
+from lexiloom.session import settled
 
 
 def distinct_keys(df: DataFrame, column: str) -> DataFrame:
@@ -80,10 +81,11 @@ def tfidf(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4,
 
     ``keys`` holds (key, count): n and df count rows, as a fit on the column does. Pass
     ``weights`` from :func:`idf_weights` to encode other strings with a fitted table.
+    Weights small enough to broadcast leave the terms where their key put them.
     """
     counts = term_counts(keys, analyzer, lo, hi)
     if weights is None:
-        weights = idf_weights(keys, analyzer, lo, hi)
+        weights = settled(idf_weights(keys, analyzer, lo, hi))
     weighted = counts.join(weights.select("term", "idf"), "term").select(
         "key", "term", (F.col("count") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("key")))

@@ -65,6 +65,11 @@ class Rows:
             out[..., self._full] = np.add.reduceat(entries, self._starts, axis=-1)
         return out
 
+    def take(self, which: np.ndarray) -> "Rows":
+        """The rows a mask selects."""
+        sizes, inside = self.sizes[which], np.repeat(which, self.sizes)
+        return Rows(self.weight[which], np.cumsum(sizes) - sizes, sizes, self.idx[inside], self.val[inside])
+
     def spread(self, by_row: np.ndarray) -> np.ndarray:
         """Repeat values (..., n) of the rows for their entries."""
         return np.repeat(by_row, self.sizes, axis=-1)
@@ -148,18 +153,19 @@ def poisson_activations(rows: Rows, s: dict, max_iter: int) -> np.ndarray:
     w = s["W"]
     inner = (1 + 1 / s["scale"]) if s["rescale"] else w.sum(axis=1)[:, None] + 1 / s["scale"]
     bias = (s["shape"] - 1) / inner
-    h = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
-    gathered = w[:, rows.idx]
-    moving = np.ones(rows.n, dtype=bool)
+    out = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
+    h, place, gathered = out, np.arange(rows.n), w[:, rows.idx]
     for _ in range(max_iter):
         ratio = rows.val / (rows.spread(h) * gathered).sum(axis=0)
         new = h * rows.by_row(gathered * ratio) / inner + bias
-        change = ((new - h) ** 2).sum(axis=0) / (h ** 2).sum(axis=0)
-        h[:, moving] = new[:, moving]
-        moving &= change > s["eps"] ** 2
-        if not moving.any():
+        moving = ((new - h) ** 2).sum(axis=0) > s["eps"] ** 2 * (h ** 2).sum(axis=0)
+        out[:, place] = h = new
+        if not moving.all():
+            rows, h, place = rows.take(moving), h[:, moving], place[moving]
+            gathered = w[:, rows.idx]
+        if not len(place):
             break
-    return h
+    return out
 
 
 def fitted_counts(rows: Rows, h: np.ndarray, w: np.ndarray) -> np.ndarray:
