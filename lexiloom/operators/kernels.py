@@ -28,7 +28,7 @@ class _KernelModel(EncoderModel):
         return counts.join(small(self.tables["index"], self.meta["rows"], 5), "term", "left")
 
     def feature_names(self):
-        return self.meta["names"]
+        return [r["key"] for r in self.tables["categories"].orderBy("component").toLocalIterator()]
 
 
 class SimilarityModel(_KernelModel):
@@ -86,17 +86,22 @@ class _Kernel(EncoderEstimator, HasCategories):
 
     def kernel_model(self, cls, cats: DataFrame, index: DataFrame, **meta) -> EncoderModel:
         index = checkpointed(index)
-        names = [r["key"] for r in cats.orderBy("component").collect()]
-        meta |= {"rows": index.count(), "width": len(names), "names": names,
-                 "lo": self.get("ngramMin"), "hi": self.get("ngramMax")}
-        return self.build(cls({"index": index}, meta))
+        meta |= {"rows": index.count(), "width": cats.count(), "lo": self.get("ngramMin"), "hi": self.get("ngramMax")}
+        return self.build(cls({"index": index, "categories": cats.select("key", "component")}, meta))
+
+    def bounded(self, cats: DataFrame) -> None:
+        """Kernels whose every entry differs from zero need a dense code."""
+        k = cats.count()
+        if k > PIVOT_WIDTH:
+            raise ValueError(f"a dense code of {k} categories is not supported, restrict them to prototypes")
 
 
 class SimilarityEncoder(_Kernel):
     def _fit(self, df):
         cats, terms = self.categories_with_terms(df)
         grams = F.size(char_ngrams(F.col("key"), self.get("ngramMin"), self.get("ngramMax")))
-        sizes = [r[0] for r in cats.orderBy("component").select(grams).collect()]
+        few = cats.orderBy("component").limit(PIVOT_WIDTH)
+        sizes = [r[0] for r in few.select(grams).collect()]
         return self.kernel_model(SimilarityModel, cats, terms.select("term", "component", "n"), sizes=sizes)
 
 
@@ -111,6 +116,7 @@ class FisherKernelEncoder(_Kernel):
         if self.get("compare") not in ("count", "presence") or self.get("theta") not in ("uniform", "frequency"):
             raise ValueError("compare is count or presence, theta is uniform or frequency")
         cats, terms = self.categories_with_terms(df)
+        self.bounded(cats)
         presence, uniform = self.get("compare") == "presence", self.get("theta") == "uniform"
         held = terms.select("term", "component", (F.lit(1) if presence else F.col("n")).alias("n"),
                             (F.lit(1) if uniform else F.col("count")).cast("bigint").alias("mass"))
@@ -152,6 +158,7 @@ class LinearMixtureEncoder(_Kernel):
 
     def _fit(self, df):
         cats, terms = self.categories_with_terms(df)
+        self.bounded(cats)
         size = terms.groupBy("key").agg(F.sum("n").alias("size"))
         index = terms.join(size, "key").select("term", "component", (F.col("n") / F.col("size")).alias("n"))
         counts = [r["count"] for r in cats.orderBy("component").select("count").collect()]

@@ -236,6 +236,10 @@ class CodeTableModel(_Joined):
         return found.withColumn("features", self.unknown(F.col("code"), F.col("_key"), default)).drop("code")
 
 
+# Most classes of a target, each of which becomes a column.
+MAX_CLASSES = 10_000
+
+
 class _Supervised(EncoderEstimator):
     labelCol = param("labelCol", "target column", TypeConverters.toString)
     task = param("task", "regression, binary or multiclass", TypeConverters.toString)
@@ -244,7 +248,9 @@ class _Supervised(EncoderEstimator):
         """Rows (key, y0, y1, ...): the target itself, or one 0/1 column per class."""
         key, y = stringify(F.col(self.getInputCol())).alias("key"), F.col(self.get("labelCol"))
         if self.get("task") == "multiclass":
-            classes = [r[0] for r in df.select(y).distinct().orderBy(y).collect()]
+            classes = [r[0] for r in df.select(y).distinct().orderBy(y).limit(MAX_CLASSES + 1).collect()]
+            if len(classes) > MAX_CLASSES:
+                raise ValueError(f"more than {MAX_CLASSES} classes; is the target numeric?")
             columns = [(y == F.lit(c)).cast("double").alias(f"y{i}") for i, c in enumerate(classes)]
         else:
             classes, columns = [None], [y.cast("double").alias("y0")]

@@ -21,7 +21,11 @@ RANGE_BUCKETS = 512
 
 
 def _cuts(df: DataFrame, group: Sequence[str], tie: Sequence[str], quota: Column) -> DataFrame:
-    """Per group the (order, tie) of the last row inside its quota."""
+    """Per group the (order, tie) of the last row inside its quota.
+
+    One bucket per group holds the cut; the table is reduced to those buckets by a
+    broadcast join before anything is shuffled or ranked.
+    """
     group = list(group)
     bucket = F.substring("_order", 1, BUCKET_DIGITS)
     counts = df.groupBy(*group, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
@@ -36,7 +40,7 @@ def _cuts(df: DataFrame, group: Sequence[str], tie: Sequence[str], quota: Column
     ).select(*group, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_rest"))
     inside = (
         df.select(*group, "_order", *tie).withColumn("_bucket", bucket)
-        .join(edge, [*group, "_bucket"])
+        .join(settled(edge), [*group, "_bucket"])
         .withColumn("_rank", F.row_number().over(
             Window.partitionBy(*group, "_bucket").orderBy("_order", *tie)))
     )

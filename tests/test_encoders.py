@@ -243,3 +243,25 @@ def test_save_and_load(words, tmp_path):
     fitted.write().overwrite().save(str(tmp_path / "m"))
     loaded = PipelineModel.load(str(tmp_path / "m"))
     assert coded(loaded, words) == coded(fitted, words)
+
+
+def test_hot_string(spark):
+    """One string in a third of the rows, every other row its own."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("s"),
+                                  (F.col("id") % 2).cast("double").alias("y"))
+    for encoder in (OneHotEncoder(**IO), TargetMeanEncoder(labelCol="y", **IO), MinHashEncoder(nComponents=2, **IO),
+                    TfIdfEncoder(**IO), SimilarityEncoder(categories="most_frequent", nPrototypes=2, **IO)):
+        out = encoder.fit(df).transform(df)
+        assert out.count() == 3000 and out.filter("code is null").count() == 0
+        assert out.filter("s = 'hot'").select(F.count_distinct(F.hash(vector_to_array("code")))).first()[0] == 1
+
+
+def test_too_many_categories(words, monkeypatch):
+    from lexiloom.operators import kernels, lookup
+
+    monkeypatch.setattr(kernels, "PIVOT_WIDTH", 3)
+    with pytest.raises(ValueError, match="prototypes"):
+        FisherKernelEncoder(**IO).fit(words)
+    monkeypatch.setattr(lookup, "MAX_CLASSES", 2)
+    with pytest.raises(ValueError, match="classes"):
+        ClassFrequencyEncoder(**IO).fit(words)

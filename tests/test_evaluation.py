@@ -128,3 +128,11 @@ def test_factory(points):
         models.build_estimator("KNN", "binary", "features", "label", 3)
     with pytest.raises(ValueError, match="classification"):
         models.build_estimator("MLP", "regression", "features", "label", 3)
+
+
+def test_only_the_cut_buckets_are_shuffled(spark):
+    """With few groups the table itself meets broadcast joins only."""
+    df = spark.range(5000).withColumn("y", F.col("id") % 2)
+    out = splits.stratified_split(df, ["id"], "y", 2, 0.5, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
