@@ -14,11 +14,15 @@ SCORE_NAMES = {"regression": "r2", "binary": "av-prec", "multiclass": "accuracy"
 
 
 def r2(df: DataFrame, target: str, prediction: str) -> DataFrame:
-    """One row: 1 - residual sum of squares / total sum of squares."""
+    """One row: 1 - residual sum of squares / total sum of squares.
+
+    A constant target scores 1 when it is met exactly and 0 otherwise.
+    """
     y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
     mean = df.agg(F.avg(y)).scalar()
     residual, total = F.sum((y - p) * (y - p)), F.sum((y - mean) * (y - mean))
-    return df.agg((1 - residual / total).alias("r2"))
+    flat = F.when(residual == 0, 1.0).otherwise(0.0)
+    return df.agg(F.coalesce(1 - F.try_divide(residual, total), flat).alias("r2"))
 
 
 def accuracy(df: DataFrame, target: str, prediction: str) -> DataFrame:
@@ -28,14 +32,15 @@ def accuracy(df: DataFrame, target: str, prediction: str) -> DataFrame:
 def average_precision(df: DataFrame, target: str, score: str) -> DataFrame:
     """One row: sum over distinct scores of the recall step times the precision.
 
+    Without any positive row the score is 0.
     Rows collapse to distinct scores first; the running sums over them are distributed.
     """
     positive = F.col(target).cast("double")
     points = df.groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.sum(positive).alias("hits"), F.count(F.lit(1)).cast("double").alias("rows"))
     curve = running_sums(points, "_s", ["hits", "rows"], descending=True)
-    area = F.sum(F.col("hits") * F.col("cum_hits") / F.col("cum_rows")) / F.sum("hits")
-    return curve.agg(area.alias("average_precision"))
+    area = F.try_divide(F.sum(F.col("hits") * F.col("cum_hits") / F.col("cum_rows")), F.sum("hits"))
+    return curve.agg(F.coalesce(area, F.lit(0.0)).alias("average_precision"))
 
 
 class AveragePrecisionEvaluator(Evaluator):

@@ -94,4 +94,4 @@ def _run_folds(folds: DataFrame, roles: ColumnRoles, run: dict, classes: int, s:
                                 run["reduction"], s.n_components, classifier, fold, vectors)
 
     with ThreadPoolExecutor(s.concurrent_folds) as pool:
-        return list(pool.map(inheritable_thread_target(one), range(s.n_splits)))
+        return list(pool.map(inheritable_thread_target(folds.sparkSession)(one), range(s.n_splits)))

@@ -136,3 +136,9 @@ def test_only_the_cut_buckets_are_shuffled(spark):
     out = splits.stratified_split(df, ["id"], "y", 2, 0.5, 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_scores_of_constant_targets(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, 1.0, 3.0)], "y int, t double, p double")
+    assert metrics.average_precision(df, "y", "p").first()[0] == 0.0
+    assert metrics.r2(df, "t", "p").first()[0] == 0.0 and metrics.r2(df, "t", "t").first()[0] == 1.0
