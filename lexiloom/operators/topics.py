@@ -20,6 +20,7 @@ from lexiloom.functions.arrays import cells, exploded
 from lexiloom.functions.sparse import side_by_side
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, param
 from lexiloom.operators.grams import Terms, fitted_vocabulary
+from lexiloom.session import checkpointed, spread
 
 # Largest K x V that is broadcast and held by the driver (64 MB of doubles).
 MAX_CELLS = 8_000_000
@@ -300,6 +301,10 @@ class _TopicEncoder(EncoderEstimator):
     tol = param("tol", "stop when the weights change less", TypeConverters.toFloat)
     shared = {"nTopics": 10, "analyzer": "char", "ngramMin": 2, "ngramMax": 4, "seed": 18, "maxIter": 5, "tol": 1e-4}
 
+    def kept_keys(self, df: DataFrame) -> DataFrame:
+        """Distinct strings aggregated once, kept reliably, on at least as many partitions as cores."""
+        return spread(checkpointed(self.keys(df)))
+
     def columns(self, keys: DataFrame, hashed: int = 0, add_words: bool = False) -> tuple[dict, dict]:
         """Blocks of term columns and the vocabularies behind them."""
         shapes = [(self.get("analyzer"), self.get("ngramMin"), self.get("ngramMax"))]
@@ -396,7 +401,7 @@ class GammaPoissonEncoder(_TopicEncoder):
         return self.build(GammaPoissonModel({**tables, "weights": self.weights_table(df, w), "words": words}, meta))
 
     def _fit(self, df):
-        keys = self.keys(df)
+        keys = self.kept_keys(df)
         meta, tables, rows, w = self.begin(df, keys)
         batches, rho = self.schedule(rows.agg(F.sum("count")).first()[0])
         a = np.full(w.shape, TINY)
@@ -445,7 +450,7 @@ class NmfEncoder(_TopicEncoder):
     defaults = {**_TopicEncoder.shared, "maxIter": 20, "eSteps": 30}
 
     def _fit(self, df):
-        keys = self.keys(df)
+        keys = self.kept_keys(df)
         meta, tables = self.columns(keys)
         rows = term_rows(keys, blocks_of(meta, tables)).persist()
         w = start_rows(rows, self.get("nTopics"), meta["terms"], self.get("seed")) + 0.1
@@ -529,7 +534,7 @@ class MixtureEncoder(_TopicEncoder):
         return counts / size, np.array([row["count"] for row in rows]) / k
 
     def _fit(self, df):
-        keys = self.keys(df)
+        keys = self.kept_keys(df)
         meta, tables = self.columns(keys)
         rows = term_rows(keys, blocks_of(meta, tables)).persist()
         beta, theta = self.start(keys, meta, tables)
