@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm import fingerprints, pair_bpe, url_rules
+from lexiloom.llm import fingerprints, language, packing, pair_bpe, quality, token_files, url_rules
 from lexiloom.llm.common import table
+from lexiloom.session import scratch_path
 
 # The rules that the URL query judges by.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -28,7 +34,23 @@ def op6_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.json"), digest_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_url_rules, op6_pair_bpe)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "corpus")
+    token_files.write_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.read_corpus(spark, path).select(
+        "doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_fingerprints, op4_url_rules, op6_pair_bpe, op7_token_files, op8_quality,
+                                  op9_language)}
 
 ORACLES = {
     "op3_fingerprints": r"""
