@@ -55,12 +55,12 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def joined(texts: list[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes in one array, each text followed by ``gap`` zero bytes, and where each text starts (plus the end)."""
+def joined(texts: list[bytes], gap: int = 0, fill: bytes = b"\0") -> tuple[np.ndarray, np.ndarray]:
+    """All bytes in one array, each text followed by ``gap`` filling bytes, and where each text starts (plus the end)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + gap
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(sizes, out=starts[1:])
-    return np.frombuffer((b"\0" * gap).join(texts) + b"\0" * gap, np.uint8), starts
+    return np.frombuffer((fill * gap).join(texts) + fill * gap * bool(texts), np.uint8), starts
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,3 +78,30 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_rng = np.random.default_rng(20240229)
+_LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class Digests:
+    """64-bit digests of any stretch of a byte array, from one polynomial sum over all of it."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        if len(_powers[0]) < n:
+            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                steps = np.full(max(n, 1 << 20), base, np.uint64)
+                steps[0] = 1
+                _powers[k] = np.multiply.accumulate(steps)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(_LETTER[data] * _powers[0][:n - 1], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stop] - self.sums[start]) * _powers[1][start])
+
+    def grams(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return mixed((self.sums[size:] - self.sums[:n]) * _powers[1][:n])

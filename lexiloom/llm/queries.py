@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import fingerprints, language, packing, pair_bpe, quality, token_files, url_rules
+from lexiloom.llm import (fingerprints, language, near_duplicates, packing, pair_bpe, quality, suffixes, token_files,
+                          url_rules)
 from lexiloom.llm.common import table
 from lexiloom.session import scratch_path
 
@@ -19,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,11 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, rules).drop("url")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.encode_documents(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("byte_bpe_50k.json"), digest_only=True)
@@ -49,8 +59,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_fingerprints, op4_url_rules, op6_pair_bpe, op7_token_files, op8_quality,
-                                  op9_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_fingerprints, op4_url_rules, op5_suffixes,
+                                  op6_pair_bpe, op7_token_files, op8_quality, op9_language)}
 
 ORACLES = {
     "op3_fingerprints": r"""
