@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import (fingerprints, language, near_duplicates, packing, pair_bpe, quality, suffixes, token_files,
+from lexiloom.llm import (cap_filters, fingerprints, language, near_duplicates, packing, pair_bpe, quality, suffixes, token_files,
                           url_rules)
 from lexiloom.llm.common import table
 from lexiloom.session import scratch_path
@@ -59,8 +59,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_fingerprints, op4_url_rules, op5_suffixes,
-                                  op6_pair_bpe, op7_token_files, op8_quality, op9_language)}
+                                  op6_pair_bpe, op7_token_files, op8_quality, op9_language, op10_cap_filters)}
 
 ORACLES = {
     "op3_fingerprints": r"""
@@ -87,6 +91,29 @@ ORACLES = {
                  AS near_next
         FROM t JOIN sets o ON o.which = 'own' AND o.doc_id = t.doc_id JOIN sets c ON c.which = 'edited' AND c.doc_id = t.doc_id
         JOIN sets x ON x.which = 'next' AND x.doc_id = t.doc_id""",
+    "op10_cap_filters": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        good AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+                 AND list_dot_product(x, x) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a, good b
+                  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links,
+               (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id,
+               vec_id = (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS kept FROM v""",
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+              FROM w, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS t(i) WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (shingle)
+                  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id WHERE x.doc_id <> y.doc_id
+                  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n) - count(*))),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = w.doc_id AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.a = w.doc_id""",
     "op4_url_rules": r"""
         WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
             ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
