@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexiloom.llm.common import Digests, joined, mixed, slices, texts_of, written
 from lexiloom.llm.ngram_features import digest
@@ -325,23 +326,29 @@ def across(found: DataFrame) -> DataFrame:
     return heads.filter((F.col("kind") == HEAD) & F.col("same")).select("doc", "twin", "start", "stop")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc, twin (tells texts of one id apart) and text without nulls."""
+def _keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc, twin (tells texts of one id apart), text without nulls, and with ``carry`` all other columns in ``row``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    row = [F.struct(*rest, F.col("text").isNull().alias("_null_text")).alias("row")] if carry else []
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("twin"),
-                       text.alias("text"))
+                       text.alias("text"), *row)
 
 
 def _squeezed(keyed: DataFrame) -> DataFrame:
-    """The texts compressed, as they are to cross a shuffle."""
+    """The texts compressed, as they are to cross a shuffle; other columns stay as they are."""
+    at = keyed.columns.index("text")
+    names = [*keyed.columns[:at], "squeezed", *keyed.columns[at + 1:]]
+    fields = [f if f.name != "text" else StructField("squeezed", BinaryType()) for f in keyed.schema.fields]
+
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("twin"), pa.array([press.compress(x) for x in texts_of(batch)], pa.binary())],
-                ["doc", "twin", "squeezed"])
+            columns = list(batch.columns)
+            columns[at] = pa.array([press.compress(x) for x in texts_of(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return keyed.mapInArrow(squeeze, "doc long, twin long, squeezed binary")
+    return keyed.mapInArrow(squeeze, StructType(fields))
 
 
 def _make_units(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -424,36 +431,57 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain) of every row of ``docs``.
-
-    A null text counts as empty. Texts shorter than LENGTH bytes keep everything. A null doc_id comes before all
-    others. Rows with the same id and text are one document and get the same result; rows with the same id and
-    different texts are different documents, in the order of a digest. An empty table gives an empty result.
-    """
+def _cut(docs: DataFrame, carry: bool) -> DataFrame:
+    """doc, n_bytes, n_removed, n_spans, kept and, with ``carry``, row of every row of ``docs``."""
     spans = repeated_spans(docs)
     by_text = (spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
                .select("doc", "twin", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")))
-    both = _squeezed(_keyed(docs)).join(by_text, ["doc", "twin"], "left")
+    both = _squeezed(_keyed(docs, carry)).join(by_text, ["doc", "twin"], "left").drop("twin")
+    counts = [StructField(c, LongType()) for c in ("doc", "n_bytes", "n_removed", "n_spans")]
+    fields = [*counts, StructField("kept", BinaryType()), *(f for f in both.schema.fields if f.name == "row")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = zstandard.ZstdDecompressor()
         for batch in slices(batches, "squeezed", 1 << 20):
-            ids, sizes, removed, many, kept = [], [], [], [], []
-            for row in batch.to_pylist():
-                text = spread.decompress(row["squeezed"])
+            out: list[tuple] = []
+            for squeezed, starts, stops in zip(*(batch.column(c).to_pylist() for c in ("squeezed", "starts", "stops"))):
+                text = spread.decompress(squeezed)
                 edge = np.zeros(len(text) + 1, np.int64)
-                if row["starts"]:
-                    np.add.at(edge, np.array(row["starts"]), 1)
-                    np.add.at(edge, np.array(row["stops"]), -1)
+                if starts:
+                    np.add.at(edge, np.array(starts), 1)
+                    np.add.at(edge, np.array(stops), -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                ids.append(None if row["doc"] == NO_ID else row["doc"])
-                sizes.append(len(text))
-                removed.append(int(gone.sum()))
-                many.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if removed[-1] else text)
+                removed, begun = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if removed else text
+                if carry and removed:  # the texts of a table hold whole characters only
+                    kept = kept.decode("utf-8", errors="ignore").encode()
+                out.append((len(text), removed, begun, kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip((ids, sizes, removed, many, kept), (*[pa.int64()] * 4, pa.binary()))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                [batch.column("doc"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), *([batch.column("row")] if carry else [])],
+                [f.name for f in fields])
+
+    return both.mapInArrow(cut, StructType(fields))
+
 
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain) of every row of ``docs``.
+
+    A null text counts as empty. Texts shorter than LENGTH bytes keep everything. A null doc_id comes before all
+    others. Rows with the same id and text are one document and get the same result; rows with the same id and
+    different texts are different documents, in the order of a digest. An empty table gives an empty result.
+    """
+    return _cut(docs, False).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, its texts without their repeated bytes and ``n_chars``, if there, counted anew.
+
+    Bytes of a character that lost some of its bytes go too. A null text stays null; a text that is repeated
+    throughout stays as an empty one.
+    """
+    text = F.when(~F.col("row._null_text"), F.col("kept").cast("string"))
+    made = _cut(docs, True).withColumn("text", text)
+    counted = lambda c: F.length("text").cast(docs.schema[c].dataType).alias(c)
+    return made.select(*(F.col("text") if c == "text" else counted(c) if c == "n_chars" else F.col(f"row.`{c}`")
+                         for c in docs.columns))
