@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import documents_of, slices, texts_of
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 1_000_000
 
 # The published split pattern of this vocabulary's family.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -44,14 +45,17 @@ class PairBpe:
             spec = json.load(file)
         letters = _byte_letters()
         vocabulary = spec["model"]["vocab"]
-        self.single = [0] * 256
+        self.single = np.zeros(256, np.int64)
         for letter, byte in letters.items():
             self.single[byte] = vocabulary[letter]
         self.pairs, self.merged = {}, []
+        self.first_ranks = np.full((256, 256), -1, np.int32)
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs[vocabulary[left], vocabulary[right]] = rank
             self.merged.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+            if len(left) == len(right) == 1:
+                self.first_ranks[letters[left], letters[right]] = rank
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pieces: list[bytes] = [b""] * (1 + max([*vocabulary.values(), *added.values()]))
         for text, number in vocabulary.items():
@@ -67,43 +71,52 @@ class PairBpe:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. Every merge makes a new token, so a merge never brings back a lower rank."""
-        single, pairs, merged = self.single, self.pairs, self.merged
-        symbols = [single[b] for word in words for b in word]
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        starts, at = [], 0
-        for word in words:
-            starts.append(at)
-            at += len(word)
-            if word:
-                before[starts[-1]] = after[at - 1] = -1
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0:
-                rank = pairs.get((symbols[p], symbols[q]))
-                if rank is not None:
-                    index.setdefault(rank, []).append(p)
-        active = list(index)
-        heapq.heapify(active)
+        pairs, merged = self.pairs, self.merged
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts = (ends - np.fromiter(map(len, words), np.int64, len(words))).tolist()
+        following, previous = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        following[ends[ends > 0] - 1] = -1
+        previous[[s for s, w in zip(starts, words) if w]] = -1
+        symbols, after, before = self.single[data].tolist(), following.tolist(), previous.tolist()
+        # The first entries of the index: positions grouped by the rank of the two bytes there.
+        ranks = self.first_ranks[data[:-1], data[1:]] if len(data) else np.zeros(0, np.int32)
+        ranks = np.where(following[:-1] < 0, -1, ranks)
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0):]
+        active, firsts = np.unique(ranks[order], return_index=True)
+        index = dict(zip(active.tolist(), (x.tolist() for x in np.split(order, firsts[1:]))))
+        active = active.tolist()  # ascending, so already a heap
+        find, push = pairs.get, heapq.heappush
         while active:
             rank = heapq.heappop(active)
             left, right, new = merged[rank]
-            for p in sorted(index.pop(rank)):
+            places = index.pop(rank)
+            places.sort()
+            for p in places:
                 q = after[p]
                 if q < 0 or symbols[p] != left or symbols[q] != right:
                     continue
                 symbols[p], symbols[q] = new, -1
                 after[p] = r = after[q]
-                for a, b in ((before[p], p), (p, r)):
-                    if a >= 0 and b >= 0:
-                        other = pairs.get((symbols[a], symbols[b]))
-                        if other is not None:
-                            if other not in index:
-                                index[other] = []
-                                heapq.heappush(active, other)
+                a = before[p]
+                if a >= 0:
+                    other = find((symbols[a], new))
+                    if other is not None:
+                        if other in index:
                             index[other].append(a)
+                        else:
+                            index[other] = [a]
+                            push(active, other)
                 if r >= 0:
                     before[r] = p
+                    other = find((new, symbols[r]))
+                    if other is not None:
+                        if other in index:
+                            index[other].append(p)
+                        else:
+                            index[other] = [p]
+                            push(active, other)
         out = []
         for start, word in zip(starts, words):
             ids, p = [], start if word else -1
@@ -115,8 +128,8 @@ class PairBpe:
 
     def _learn(self, units: list[bytes]) -> None:
         split = [[w.encode() for w in WORDS.findall(unit.decode())] for unit in units]
-        words = sorted({w for parts in split for w in parts})
-        ids = dict(zip(words, (np.array(x, "<u4").tobytes() for x in self.merge(words))))
+        words = list({w for parts in split for w in parts})
+        ids = dict(zip(words, (array("I", x).tobytes() for x in self.merge(words))))
         for unit, parts in zip(units, split):
             self.known[unit] = b"".join([ids[w] for w in parts])
 
@@ -141,7 +154,7 @@ class PairBpe:
             self.known[token] = ids
         new.difference_update(self.added)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in parts]
 
