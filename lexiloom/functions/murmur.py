@@ -64,17 +64,6 @@ def gram_buckets(values: pa.Array, n_features: int) -> np.ndarray:
     return np.abs(hashed.astype(np.int64)) % n_features
 
 
-def hash_bucket(term: Column, n_features: int) -> Column:
-    """Bucket of one term per row; equal terms of a batch are hashed once."""
-
-    @F.arrow_udf("bigint")
-    def bucket(terms: pa.Array) -> pa.Array:
-        coded = terms.dictionary_encode()
-        return pa.array(gram_buckets(coded.dictionary, n_features)[coded.indices.to_numpy()])
-
-    return bucket(term)
-
-
 def minhash_signature(grams: Column, n_components: int, spare: list[str] | None = None) -> Column:
     """Minimum of each seeded hash over a gram list, scaled to [0, 1].
 

@@ -71,8 +71,7 @@ class EncoderEstimator(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadab
         self._setDefault(handleUnknown="ignore", dedupe=True, **self.defaults)
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
         if self.getOrDefault("handleUnknown") not in ("error", "ignore"):
-            raise ValueError("handle_unknown should be either 'error' or 'ignore', "
-                             f"got {self.getOrDefault('handleUnknown')}")
+            raise ValueError(f"handleUnknown is 'error' or 'ignore', not {self.getOrDefault('handleUnknown')!r}")
 
     def get(self, name: str):
         return self.getOrDefault(name)
@@ -101,6 +100,10 @@ class EncoderModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
     def width(self) -> int:
         return self.meta["width"]
 
+    def parts(self) -> dict:
+        """Attributes that are fitted models themselves; they are saved and loaded with this one."""
+        return {}
+
     def feature_names(self) -> list[str]:
         return self.meta.get("names") or [f"{self.getInputCol()}_{i}" for i in range(self.width)]
 
@@ -148,7 +151,7 @@ class EncoderModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
     def unknown(self, code: Column, key: Column, fallback: Column) -> Column:
         """Fallback for strings without a code, or an error when so configured."""
         if self.meta.get("handle_unknown") == "error":
-            failed = F.raise_error(F.concat(F.lit("Found unknown category "), key))
+            failed = F.raise_error(F.concat(F.lit("not a fitted category: "), key))
             return F.when(code.isNull(), failed).otherwise(code)
         return F.coalesce(code, fallback)
 
@@ -169,17 +172,25 @@ class _TableWriter(MLWriter):
         model, cls = self.instance, type(self.instance)
         DefaultParamsWriter.saveMetadata(model, path, self.sparkSession, extraMetadata={
             "tables": sorted(model.tables), "meta": json.dumps(model.meta),
-            "model": f"{cls.__module__}:{cls.__name__}"})
+            "model": f"{cls.__module__}:{cls.__name__}",
+            "parts": {n: f"{type(p).__module__}:{type(p).__name__}" for n, p in model.parts().items()}})
         for name, table in model.tables.items():
             table.write.parquet(f"{path}/tables/{name}")
+        for name, part in model.parts().items():
+            part.write().save(f"{path}/parts/{name}")
+
+
+def _class(place: str):
+    module, name = place.split(":")
+    return getattr(importlib.import_module(module), name)
 
 
 class _TableReader(MLReader):
     def load(self, path: str) -> EncoderModel:
         loaded = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        module, name = loaded["model"].split(":")
         tables = {t: self.sparkSession.read.parquet(f"{path}/tables/{t}") for t in loaded["tables"]}
-        model = getattr(importlib.import_module(module), name)(tables, json.loads(loaded["meta"]))
+        parts = {n: _class(at).load(f"{path}/parts/{n}") for n, at in loaded.get("parts", {}).items()}
+        model = _class(loaded["model"])(tables, json.loads(loaded["meta"]), **parts)
         model._resetUid(loaded["uid"])
         DefaultParamsReader.getAndSetParams(model, loaded)
         return model
@@ -197,16 +208,16 @@ def categories_table(estimator: EncoderEstimator, df: DataFrame) -> DataFrame:
         return keys.orderBy(F.desc("count"), "key").limit(n)
     if choice == "k-means":
         if keys.count() <= n:
-            warnings.warn(f"Dimensionality reduction will not be applied: no more than {n} categories")
+            warnings.warn(f"all categories are kept: there are no more than {n}")
             return keys
         return kmeans_prototypes(keys, n, estimator.get("seed"))
     if list(choice) != sorted(choice):
-        raise ValueError("Unsorted categories are not yet supported")
+        raise ValueError("explicit categories must be sorted")
     explicit = df.sparkSession.createDataFrame([(c,) for c in choice], "key string")
     if estimator.get("handleUnknown") == "error":
         unknown = keys.join(explicit, "key", "left_anti").limit(20).collect()
         if unknown:
-            raise ValueError(f"Found unknown categories {[r['key'] for r in unknown]} during fit")
+            raise ValueError(f"strings outside the explicit categories: {[r['key'] for r in unknown]}")
     return explicit.join(keys, "key", "left").na.fill(0, ["count"])
 
 

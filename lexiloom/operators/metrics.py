@@ -32,11 +32,14 @@ def accuracy(df: DataFrame, target: str, prediction: str) -> DataFrame:
 def average_precision(df: DataFrame, target: str, score: str) -> DataFrame:
     """One row: sum over distinct scores of the recall step times the precision.
 
-    Without any positive row the score is 0.
+    Without any positive row the score is 0. A null or NaN score is an error.
     Rows collapse to distinct scores first; the running sums over them are distributed.
     """
     positive = F.col(target).cast("double")
-    points = df.groupBy(F.col(score).cast("double").alias("_s")).agg(
+    value = F.col(score).cast("double")
+    known = F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit(f"column {score} holds a null or NaN score"))
+                   .cast("double")).otherwise(value)
+    points = df.select(known.alias("_s"), F.col(target)).groupBy("_s").agg(
         F.sum(positive).alias("hits"), F.count(F.lit(1)).cast("double").alias("rows"))
     curve = running_sums(points, "_s", ["hits", "rows"], descending=True)
     area = F.try_divide(F.sum(F.col("hits") * F.col("cum_hits") / F.col("cum_rows")), F.sum("hits"))
@@ -65,4 +68,4 @@ def evaluator(task: str, label: str) -> Evaluator:
         return AveragePrecisionEvaluator(label)
     if task == "multiclass":
         return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    raise ValueError(f"{task} not recognized")
+    raise ValueError(f"unknown task {task!r}")

@@ -33,7 +33,6 @@ MLP_RATES = (0.001, 0.0005, 0.005)
 MLP_LAYERS = ((30,), (50,), (100,), (30, 30), (50, 50), (100, 100))
 NYSTROEM_COMPONENTS = (1000, 3000)
 NYSTROEM_DEGREES = (2, 3)
-BANDWIDTHS = (1, 5, 25)
 N_FOLDS = 3
 N_TREES = 100
 RIDGE_PENALTIES = (0.1, 1.0, 10.0)
@@ -197,7 +196,8 @@ def mlp(features: str, label: str, width: int, classes: int, hidden=(30, 30), se
 
 def mlp_grid(task: str, features: str, label: str, width: int, classes: int, seed: int,
              rates=MLP_RATES, shapes=MLP_LAYERS) -> CrossValidator:
-    network = mlp(features, label, width, classes, seed=seed)
+    # Only gradient descent has a learning rate; the default solver would ignore the grid's.
+    network = mlp(features, label, width, classes, seed=seed).setSolver("gd")
     grid = (ParamGridBuilder().addGrid(network.stepSize, rates)
             .addGrid(network.layers, [[width, *shape, classes] for shape in shapes]).build())
     return cross_validated(network, grid, task, label, seed)
@@ -232,4 +232,4 @@ def build_estimator(name: str, task: str, features: str, label: str, width: int,
         return mlp_grid(task, features, label, width, classes, seed)
     if name == "NystroemRidgeCV":
         return nystroem_linear(task, features, label, weight, seed)
-    raise ValueError(f"Classifier {name} has not been implemented yet")
+    raise ValueError(f"no classifier is named {name!r}; known are {', '.join(CLASSIFIERS)}")

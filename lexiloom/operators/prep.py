@@ -29,8 +29,8 @@ def null_profile(df: DataFrame, columns: Iterable[str], threshold: float = MISSI
 def warn_missing(df: DataFrame, columns: Iterable[str], threshold: float = MISSING_WARNING) -> None:
     for row in null_profile(df, columns, threshold).filter("flagged").collect():
         warnings.warn(
-            f"Fraction of missing values for column '{row['column']}' "
-            f"({row['missing_fraction']:.3f}) is higher than {threshold:.3f}"
+            f"column {row['column']!r} lacks {row['missing_fraction']:.1%} of its values, "
+            f"more than the {threshold:.1%} that go without a warning"
         )
 
 
@@ -151,6 +151,7 @@ def preprocess(df: DataFrame, roles: ColumnRoles, ids: list[str], n_rows: int =
                lower_special: bool = True, seed: int = 0) -> DataFrame:
     """The whole preparation of a learning table, row ids kept."""
     roles.check(df)
+    warn_missing(df, roles.features)
     table = stringify_fill(df.select(*ids, *roles.features, roles.target), roles.categorical)
     table = drop_incomplete(table, [*roles.features, roles.target])
     if n_rows != -1:

@@ -17,11 +17,12 @@ from lexiloom.session import checkpointed, settled
 
 # Hex digits of the order key used as bucket: 16**4 buckets per group.
 BUCKET_DIGITS = 4
-RANGE_BUCKETS = 512
+ROWS_PER_RANGE = 50_000
 
 
-def _cuts(df: DataFrame, group: Sequence[str], tie: Sequence[str], quota: Column) -> DataFrame:
-    """Per group the (order, tie) of the last row inside its quota.
+def cuts(df: DataFrame, group: Sequence[str], tie: Sequence[str], quota: Column) -> DataFrame:
+    """Per group the (order, tie) of the last row inside its quota, how many rows of that place are inside, and how
+    many there are.
 
     One bucket per group holds the cut; the table is reduced to those buckets by a
     broadcast join before anything is shuffled or ranked.
@@ -45,7 +46,11 @@ def _cuts(df: DataFrame, group: Sequence[str], tie: Sequence[str], quota: Column
             Window.partitionBy(*group, "_bucket").orderBy("_order", *tie)))
     )
     last = F.struct("_order", *tie).alias("_cut")
-    return inside.filter(F.col("_rank") == F.col("_rest")).select(*group, last)
+    place = Window.partitionBy(*group, "_bucket", "_order", *tie)
+    within = inside.withColumn("_ties", F.count(F.lit(1)).over(place)).withColumn(
+        "_before", F.min("_rank").over(place) - 1)
+    return within.filter(F.col("_rank") == F.col("_rest")).select(
+        *group, last, (F.col("_rest") - F.col("_before")).alias("_take"), "_ties")
 
 
 def flag_lowest(df: DataFrame, group: Sequence[str], order: Column, tie: Sequence[str],
@@ -54,17 +59,31 @@ def flag_lowest(df: DataFrame, group: Sequence[str], order: Column, tie: Sequenc
 
     ``order`` is a hex digest; ``quota`` may use ``n_group``, the size of the group. The
     cut table has one row per group and is settled first, so with few groups (folds,
-    classes) the last join does not move the table.
+    classes) the last join does not move the table. Where rows of equal (order, tie) stand
+    at a cut, only those are ranked, by a digest of all their columns.
     """
     group, tie = list(group), list(tie)
     keyed = df.withColumn("_order", order)
-    cuts = settled(_cuts(keyed, group, tie, quota))
-    place = F.struct("_order", *tie)
-    if not group:
-        inside = F.coalesce(place <= cuts.scalar(), F.lit(False))
-        return keyed.withColumn(flag, inside).drop("_order")
-    inside = F.coalesce(place <= F.col("_cut"), F.lit(False))
-    return keyed.join(cuts, group, "left").withColumn(flag, inside).drop("_order", "_cut")
+    found = checkpointed(cuts(keyed, group, tie, quota))
+    tied = not found.filter("_ties > _take").isEmpty()
+    place, helpers = F.struct("_order", *tie), ["_order", "_cut", "_take", "_ties"]
+    if group:
+        placed = keyed.join(settled(found), group, "left")
+    else:
+        row = found.first()
+        placed = keyed.withColumns({c: F.lit(row[c]) if row else F.lit(None) for c in ("_take", "_ties")}).withColumn(
+            "_cut", F.struct(*[F.lit(x).cast(keyed.schema[c].dataType).alias(c) for c, x in zip(("_order", *tie), row["_cut"])])
+            if row else F.lit(None).cast("struct<_order:string>"))
+    below = place <= F.col("_cut") if group or row else F.lit(False)
+    inside = F.coalesce(below, F.lit(False))
+    if not tied:
+        return placed.withColumn(flag, inside).drop(*helpers)
+    at_cut = F.coalesce((place == F.col("_cut")) & (F.col("_ties") > F.col("_take")), F.lit(False))
+    everything = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rank = F.row_number().over(Window.partitionBy(*group, "_order", *tie).orderBy(everything))
+    clear = placed.filter(~at_cut).withColumn(flag, inside)
+    ranked = placed.filter(at_cut).withColumn(flag, rank <= F.col("_take"))
+    return clear.unionByName(ranked).drop(*helpers)
 
 
 def lowest(df: DataFrame, group: Sequence[str], order: Column, tie: Sequence[str],
@@ -76,11 +95,12 @@ def running_sums(df: DataFrame, order: str, values: Sequence[str], descending: b
     """Add ``cum_<value>`` over the whole table in order of the numeric column.
 
     ``order`` must be unique. Buckets come from approximate quantiles, so each holds
-    about the same number of rows whatever the distribution; their totals are at most
-    RANGE_BUCKETS rows.
+    about ROWS_PER_RANGE rows whatever the size and the distribution.
     """
-    cuts = df.approxQuantile(order, [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)], 0.0005)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    df = checkpointed(df)
+    ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
+    edges = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(df)
     totals = placed.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     direction = F.col("_range").desc() if descending else F.col("_range")

@@ -20,7 +20,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.arrays import cells
+from lexiloom.functions.arrays import cells, sparse_cells
 from lexiloom.operators.base import EncoderModel
 from lexiloom.session import checkpointed, small
 
@@ -61,25 +61,47 @@ def _right_singular(vectors: DataFrame, k: int) -> np.ndarray:
 
 def svd_directions(weighted: DataFrame, width: int, k: int) -> DataFrame:
     """Top right singular vectors of (count, features), a row counting ``count`` times."""
+    return _directions_table(weighted.sparkSession, _right_singular(weighted_vectors(weighted, width), k))
+
+
+def weighted_mean(weighted: DataFrame, width: int) -> list[float]:
+    sums = cells(weighted, ["count"], "features", value="x").groupBy("component").agg((F.sum(F.col("count") * F.col("x")) / F.sum("count")).alias("mean"))
+    means = {r["component"]: r["mean"] for r in sums.collect()}
+    return [means.get(i, 0.0) for i in range(width)]
+
+
+def weighted_vectors(weighted: DataFrame, width: int) -> DataFrame:
+    """``_v``: each code times the root of its count, sparse where the code is."""
     root = F.sqrt(F.col("count").cast("double"))
     if weighted.schema["features"].dataType.typeName() == "struct":
         scaled = F.struct(F.col("features.indices").alias("indices"),
                           F.transform("features.values", lambda x: x * root).alias("values"))
         to_vector = F.udf(lambda f: SparseVector(width, f["indices"], f["values"]), VectorUDT())
-        vectors = weighted.select(to_vector(scaled).alias("_v"))
-    else:
-        vectors = weighted.select(array_to_vector(F.transform("features", lambda x: x * root)).alias("_v"))
-    return _directions_table(weighted.sparkSession, _right_singular(vectors, k))
+        return weighted.select(to_vector(scaled).alias("_v"))
+    return weighted.select(array_to_vector(F.transform("features", lambda x: x * root)).alias("_v"))
 
 
-def weighted_mean(weighted: DataFrame, width: int) -> list[float]:
-    sums = cells(weighted, ["count"], "features", value="x").groupBy("component").agg((F.sum(F.col("count") * F.col("x")) / F.sum("count")).alias("mean"))
-    means = {r["component"]: r["mean"] for r in sums.collect()}
-    return [means.get(i, 0.0) for i in range(width)]
+def sparse_pca(weighted: DataFrame, width: int, k: int) -> tuple[np.ndarray, list[float]]:
+    """Principal directions and mean of sparse codes, from their Gram matrix less that of the mean.
+
+    The rows stay sparse; the Gram matrix is summed on the executors and has width x width numbers.
+    """
+    total = weighted.agg(F.sum("count")).first()[0]
+    sums = (sparse_cells(weighted, ["count"]).groupBy("component")
+            .agg((F.sum(F.col("count") * F.col("value")) / F.lit(total)).alias("mean")).collect())
+    mean = np.zeros(width)
+    mean[[r["component"] for r in sums]] = [r["mean"] for r in sums]
+    rows = MLUtils.convertVectorColumnsFromML(weighted_vectors(weighted, width), "_v")
+    gram = RowMatrix(rows).computeGramianMatrix().toArray()
+    _, vectors = np.linalg.eigh(gram - total * np.outer(mean, mean))
+    return vectors[:, ::-1][:, :k], mean.tolist()
 
 
 def pca_directions(weighted: DataFrame, width: int, k: int) -> tuple[DataFrame, list[float]]:
     """Principal directions and the mean, as singular vectors of the centred rows."""
+    if weighted.schema["features"].dataType.typeName() == "struct":
+        v, mean = sparse_pca(weighted, width, k)
+        return _directions_table(weighted.sparkSession, v), mean
     mean = weighted_mean(weighted, width)
     centre = F.array(*[F.lit(m) for m in mean])
     root = F.sqrt(F.col("count").cast("double"))
@@ -105,14 +127,14 @@ class ReducedModel(EncoderModel):
     def encode(self, keys: DataFrame) -> DataFrame:
         k = self.width
         projected = project(self.inner.encode_long(keys), self.tables["directions"], self.inner.width, k)
+        # Strings whose code is all zeros have no cells; they project to the negative shift.
+        every = keys.select("key").join(projected, "key", "left")
         shift = F.array(*[F.lit(float(s)) for s in self.meta["shift"]])
-        return projected.select("key", F.zip_with("features", shift, lambda x, s: x - s).alias("features"))
-
-    def encode_rows(self, rows: DataFrame) -> DataFrame:
-        """Strings whose code is all zeros project to the negative shift."""
         nothing = F.array(*[F.lit(-float(s)) for s in self.meta["shift"]])
-        found = super().encode_rows(rows)
-        return found.withColumn("features", F.coalesce("features", nothing))
+        return every.select("key", F.coalesce(F.zip_with("features", shift, lambda x, s: x - s), nothing).alias("features"))
+
+    def parts(self) -> dict:
+        return {"inner": self.inner}
 
 
 class ReducedEncoder(Estimator, Params):
@@ -122,7 +144,7 @@ class ReducedEncoder(Estimator, Params):
                  seed: int = PROJECTION_SEED):
         super().__init__()
         if method not in METHODS:
-            raise ValueError(f"Dimensionality reduction method '{method}' has not been implemented yet")
+            raise ValueError(f"unknown reduction {method!r}; known are {METHODS}")
         self.encoder, self.method, self.n_components, self.seed = encoder, method, n_components, seed
 
     def _fit(self, df: DataFrame):
@@ -132,8 +154,7 @@ class ReducedEncoder(Estimator, Params):
             return inner
         if inner.width <= k:
             warnings.warn(
-                "Dimensionality reduction will not be applied because the encoding dimension is "
-                f"smaller than the required dimensionality: {inner.width} instead of {k}")
+                f"no reduction needed: the code has {inner.width} components, {k} were asked for")
             return inner
         shift = [0.0] * k
         if self.method == "GaussianRandomProjection":

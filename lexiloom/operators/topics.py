@@ -372,7 +372,7 @@ class GammaPoissonEncoder(_TopicEncoder):
                 w = np.concatenate((w, start_rows(rows, k - len(near), width, seed)))
             w += 0.1
         else:
-            raise ValueError(f"Initialization method {init} does not exist.")
+            raise ValueError(f"unknown start {init!r}")
         return w / w.sum(axis=1, keepdims=True)
 
     def schedule(self, n_rows: int) -> tuple[int, float]:
@@ -530,7 +530,7 @@ class MixtureEncoder(_TopicEncoder):
         elif init == "random":
             counts = np.random.RandomState(self.get("seed")).uniform(0, 1, counts.shape) + 1e-5
         elif init != "most-frequent-categories":
-            raise ValueError(f"Initialization method {init} does not exist.")
+            raise ValueError(f"unknown start {init!r}")
         return counts / size, np.array([row["count"] for row in rows]) / k
 
     def _fit(self, df):
@@ -559,6 +559,9 @@ class LdaEncoderModel(EncoderModel):
         super().__init__(tables, meta)
         self.counts, self.lda = counts, lda
 
+    def parts(self) -> dict:
+        return {"counts": self.counts, "lda": self.lda}
+
     def encode(self, keys: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.models import build_estimator
 from lexiloom.operators.prep import multi_encode_columns, multi_encode_roles, preprocess
-from lexiloom.operators.splits import rare_category_split, shuffle_split, stratified_split
+from lexiloom.operators.splits import rare_category_folds, shuffle_folds, stratified_folds
 from lexiloom.plans.features import fit_predict_fold
 from lexiloom.roles import ColumnRoles
 from lexiloom.session import checkpointed
@@ -38,12 +38,12 @@ Source = Callable[[SparkSession], tuple[DataFrame, ColumnRoles, list[str], int]]
 
 
 def split(df: DataFrame, roles: ColumnRoles, ids: list[str], s: Settings) -> DataFrame:
-    """The table with (fold, is_test) by the task's splitter."""
+    """The table, each row once, with its ``test_folds`` by the task's splitter."""
     if s.rare_categories:
-        return rare_category_split(df, roles.special[0], s.n_splits, s.test_size, s.split_seed)
+        return rare_category_folds(df, roles.special[0], s.n_splits, s.test_size, s.split_seed)
     if roles.task == "regression":
-        return shuffle_split(df, ids, s.n_splits, s.test_size, s.split_seed)
-    return stratified_split(df, ids, roles.target, s.n_splits, s.test_size, s.split_seed)
+        return shuffle_folds(df, ids, s.n_splits, s.test_size, s.split_seed)
+    return stratified_folds(df, ids, roles.target, s.n_splits, s.test_size, s.split_seed)
 
 
 def plan_runs(spark: SparkSession, runs: list[dict], results_path: str) -> list[str]:
@@ -89,8 +89,8 @@ def _run_folds(folds: DataFrame, roles: ColumnRoles, run: dict, classes: int, s:
         return build(run["classifier"], task, features, label, width, classes, weight, s.model_seed)
 
     def one(fold: int) -> tuple:
-        rows = folds.filter(F.col("fold") == fold)
-        return fit_predict_fold(rows.filter(~F.col("is_test")), rows.filter("is_test"), roles, encoder,
+        tested = F.array_contains("test_folds", fold)
+        return fit_predict_fold(folds.filter(~tested), folds.filter(tested), roles, encoder,
                                 run["reduction"], s.n_components, classifier, fold, vectors)
 
     with ThreadPoolExecutor(s.concurrent_folds) as pool:

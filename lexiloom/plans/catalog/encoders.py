@@ -14,7 +14,9 @@ from lexiloom.operators.lookup import (
     PassthroughEncoder, TargetMeanEncoder, leave_one_out_train,
 )
 from lexiloom.plans import encoders
-from lexiloom.plans.catalog.common import codes_of, grams_sql, long_codes, murmur_sql, padded_grams_sql, rounded, table
+from lexiloom.plans.catalog.common import (
+    codes_of, grams_sql, long_codes, murmur_sql, padded_grams_sql, rounded, table, texts,
+)
 from lexiloom.session import scratch_path
 
 
@@ -69,11 +71,11 @@ def minhash_rows(spark, sf_dir):
 
 
 def minhash_texts(spark, sf_dir):
-    """Whole texts; checked against brute force in the tests."""
-    docs = table(spark, sf_dir, "documents")
-    model = MinHashEncoder(nComponents=8, **columns("text")).fit(docs)
-    coded = long_codes(model.encode(docs.select(F.col("text").alias("key")).distinct()), 9)
-    return coded.withColumn("key", F.md5("key"))
+    """Whole texts, coded in place by document; checked against brute force in the tests."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = MinHashEncoder(nComponents=8, dedupe=False, **columns("text")).fit(docs).transform(docs)
+    return coded.select("doc_id", F.posexplode(vector_to_array("code")).alias("component", "value")).withColumn(
+        "value", rounded("value", 9))
 
 
 def target_mean_classes(spark, sf_dir):

@@ -112,11 +112,11 @@ def column_encoder(name: str | None, input_col: str, output_col: str, reduction:
     prototypes; the other reductions project the encoder's output.
     """
     if name not in _REGISTRY:
-        raise ValueError(f"Encoder {name} has not been implemented yet")
+        raise ValueError(f"no encoder is named {name!r}")
     if handle_unknown not in ("error", "ignore"):
-        raise ValueError(f"handle_unknown should be either 'error' or 'ignore', got {handle_unknown}")
+        raise ValueError(f"handle_unknown is 'error' or 'ignore', not {handle_unknown!r}")
     if categories != "auto" and list(categories) != sorted(categories):
-        raise ValueError("Unsorted categories are not yet supported")
+        raise ValueError("explicit categories must be sorted")
     options = {"ngram_range": tuple(ngram_range), "n_components": n_components, "task": task, "label": label,
                "vectors": vectors}
     columns = {"inputCol": input_col, "outputCol": output_col, "handleUnknown": handle_unknown}

@@ -30,7 +30,7 @@ class ColumnRoles:
 
     def __post_init__(self):
         if self.task not in TASKS:
-            raise ValueError(f"{self.task} not recognized, expected one of {TASKS}")
+            raise ValueError(f"unknown task {self.task!r}, known are {TASKS}")
         if sum(role == TARGET for role in self.roles.values()) != 1:
             raise ValueError("exactly one column must have the role 'y'")
 

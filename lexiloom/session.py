@@ -42,13 +42,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexiloom/{name}-{uuid.uuid4().hex}"
 
 
-# Cells (rows x numbers per row) a table may have to be sent to every executor: 32 MB.
+# Cells (numbers of 8 bytes) a table may have to be sent to every executor: 32 MB.
 BROADCAST_CELLS = 4_000_000
 
 
-def small(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
-    """Broadcast a table whose counted size is small, else leave the join to the optimizer."""
-    return F.broadcast(df) if rows * max(width, 1) <= BROADCAST_CELLS else df
+def small(df: DataFrame, rows: int, width: int = 1, text: int = 0) -> DataFrame:
+    """Broadcast a table whose counted size is small, else leave the join to the optimizer.
+
+    ``width`` is the numbers in a row and ``text`` the bytes of all its strings.
+    """
+    return F.broadcast(df) if rows * max(width, 1) + text // 8 <= BROADCAST_CELLS else df
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -58,7 +61,10 @@ def settled(df: DataFrame) -> DataFrame:
     the whole other side to disk even when the aggregate turns out to be tiny.
     """
     kept = checkpointed(df)
-    return small(kept, kept.count(), len(kept.columns))
+    strings = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in kept.schema.fields
+               if f.dataType.typeName() in ("string", "binary")]
+    row = kept.agg(F.count(F.lit(1)), *strings).first()
+    return small(kept, row[0], len(kept.columns), sum(row[1:]))
 
 
 def spread(df: DataFrame) -> DataFrame:
