@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import Digests, joined, mixed, signed, slices, texts_of, written
 from lexiloom.llm.components import components
 
-SLOTS = 128
+SLOTS = 256
+BANDS = 32
 ROWS = 4  # a pair at similarity 0.8 misses all 32 bands with probability 5e-8
 PIVOT_ROUNDS = 3
 BLOCK = 512
-SLACK = 0.19  # how far below the threshold the signatures' agreement may lie: five standard deviations
+SLACK = 0.12  # how far below the threshold the signatures' agreement may lie: five standard deviations
 PAIRS_PER_COPY = 256
 NO_ID = -(1 << 63)
 GOLD = 0x9E3779B97F4A7C15
@@ -99,7 +100,7 @@ def signatures_of(values: np.ndarray, edges: np.ndarray, slots: int = SLOTS) ->
 
 def _first_swap(some: np.ndarray, draw, slots: int) -> np.ndarray:
     """Each element's permutation after its first step."""
-    order = np.tile(np.arange(slots, dtype=np.uint16), (len(some), 1))
+    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(some), 1))
     place = ((draw(some, 0) >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
     order[np.arange(len(some)), place] = 0
     return order
@@ -111,11 +112,11 @@ def _rows_of(docs: DataFrame) -> DataFrame:
 
 
 def signed_documents(docs: DataFrame, words: int) -> DataFrame:
-    """doc, n (size of the set), a and b (digests of the set), signature (32 bits a slot)."""
+    """doc, n (size of the set), a and b (digests of the set), signature (16 bits a slot)."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             values, edges = shingles_of(texts_of(batch), words)
-            marks = mixed(signatures_of(values, edges)).astype("<u4")
+            marks = mixed(signatures_of(values, edges)).astype("<u2")
             sizes = np.diff(edges)
             sums = [np.append(np.uint64(0), np.cumsum(mixed(values ^ np.uint64(c)))) for c in (11, 29)]
             yield pa.RecordBatch.from_arrays(
@@ -125,17 +126,23 @@ def signed_documents(docs: DataFrame, words: int) -> DataFrame:
     return _rows_of(docs).mapInArrow(sign, "doc long, n long, a long, b long, signature binary")
 
 
+def _band_digests(marks: np.ndarray) -> np.ndarray:
+    """A digest of each band's number and places."""
+    bands = marks[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
+    for k in range(ROWS):
+        key = mixed(key * np.uint64(GOLD) + bands[:, :, k])
+    return key
+
+
 def band_keys(classes: DataFrame) -> DataFrame:
     """(band, rep): a digest of each band of each class's signature."""
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, SLOTS // ROWS, ROWS)
-            key = np.broadcast_to(np.arange(SLOTS // ROWS, dtype=np.uint64), marks.shape[:2])
-            for k in range(ROWS):
-                key = mixed(key * np.uint64(GOLD) + marks[:, :, k])
-            reps = np.repeat(batch.column("rep").to_numpy(), SLOTS // ROWS)
+            key = _band_digests(np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, SLOTS))
+            reps = np.repeat(batch.column("rep").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(reps)], ["band", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(bands, "band long, rep long")
@@ -185,12 +192,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pivot_pairs(open_groups: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of each group's pivot, a member of its largest component that changes with the turn, with the members
-    of other components."""
-    weight = open_groups.groupBy("component").agg(F.countDistinct("rep").alias("weight"))
-    weighed = open_groups.join(weight, "component")
-    order = F.struct(-F.col("weight"), F.col("component"), F.when(F.lit(turn) == 0, F.col("rep")).otherwise(F.xxhash64("rep", F.lit(turn))))
-    pivots = weighed.groupBy("band").agg(F.min_by(F.struct("rep", "component", "n"), order).alias("p"))
+    """Pairs of each group's pivot with the members of other components.
+
+    First the member that meets most others over all bands, which copies of one text share with it more than with
+    each other; later the foremost of those outside the group's largest component.
+    """
+    place = F.struct(F.col("met"), -F.col("rep"))
+    best = open_groups.groupBy("band", "component").agg(
+        F.count(F.lit(1)).alias("size"), F.max(place).alias("place"), F.max_by(F.struct("rep", "component", "n"), place).alias("p"))
+    if turn:
+        main = best.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+        best = best.join(main, "band").filter("component <> main")
+    pivots = best.groupBy("band").agg(F.max_by("p", "place").alias("p"))
     met = open_groups.join(pivots, "band").filter(F.col("component") != F.col("p.component"))
     return _plausible(met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("m"), "n"), percent)
 
@@ -223,12 +236,16 @@ def _block_pairs(open_groups: DataFrame, classes: DataFrame, percent: int) -> Da
 
     def compare(group: pa.Table) -> pa.Table:
         side = group["side"].to_numpy()
-        marks = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u4").reshape(-1, SLOTS)
+        marks = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
         rep, component, n = (group[c].to_numpy() for c in ("rep", "component", "n"))
+        bands = marks[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        own = int(np.flatnonzero(signed(_band_digests(marks[:1])[0]) == group["band"][0].as_py())[0])
         rights, a, b = np.flatnonzero(side == 1), [], []
         for i in np.flatnonzero(side == 0):
             agree = (marks[rights] == marks[i]).sum(1) >= least
             hit = rights[agree & (component[rights] != component[i])]
+            # A pair is given out in the first of the bands it shares.
+            hit = hit[(bands[hit] == bands[i]).all(2).argmax(1) == own]
             a.append(np.full(len(hit), i))
             b.append(hit)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -253,7 +270,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("signature", "doc").alias("signature")), "classes")
     keys = band_keys(classes)
     shared = keys.groupBy("band").agg(F.count_distinct("rep").alias("members")).filter("members > 1").select("band")
-    groups = written(keys.join(shared, "band").distinct().join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "bands")
+    members = written(keys.join(shared, "band").distinct(), "bands")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("met"))
+    met = members.join(sizes, "band").groupBy("rep").agg(F.sum("met").alias("met"))
+    groups = written(members.join(met.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "rep"), "members")
     sets = written(shingle_sets(docs, groups.select("rep").distinct(), words).distinct(), "shingles")
     found, tested, place = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
