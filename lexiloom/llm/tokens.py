@@ -1,8 +1,10 @@
-"""Token ids by the tokenizers library, looked up per piece of text between ASCII white space.
+"""Token ids by the tokenizers library, looked up per piece of text.
 
-The vocabulary used here drops white space and never merges across it, so a text's ids are those of its
-pieces in order. Each Python worker keeps the ids of pieces it has met; only new ones reach the library,
-many in one call, parted by a marker that has an id of its own.
+The vocabulary used here drops white space, ignores case and splits letters from punctuation before it merges, so
+a text's ids are those of its pieces in order: what stands between ASCII white space. Each Python worker keeps the
+ids of pieces it has met. A new piece of letters with sentence marks behind is put together from its parts; parts
+that are new reach the library, many in one call. Parts of letters alone end where a token does that ends a word;
+the others are parted by a marker that has an id of its own.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import numpy as np
 
 END_ID = 1
 MARK = "\x01"
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_500_000
 PIECES_PER_TEXT = 256
+MARKS = b".,;:!?"
 
 
 @lru_cache(maxsize=4)
@@ -37,25 +40,53 @@ class PieceEncoder:
         self.tokenizer = loaded(path)
         self.known: dict[bytes, bytes] = {}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
 
     def _learn(self, new: list[bytes]) -> None:
-        # A piece that holds the marker, or could swallow it as a combining mark would, goes alone.
-        plain = [x for x in new if b"\x01" not in x]
-        for piece, ids in zip(odd := [x for x in new if b"\x01" in x], self._ids([x.decode() for x in odd])):
+        made: list[tuple[bytes, bytes, bytes]] = []
+        wanted: set[bytes] = set()
+        for piece in new:
+            # Where a special token may stand, case counts.
+            lowered = piece if b"<|" in piece else piece.lower()
+            core = lowered.rstrip(MARKS)
+            if not (core and core.decode().isalpha()):
+                core = lowered
+            made.append((piece, core, lowered[len(core):]))
+            wanted.update(made[-1][1:])
+        wanted.discard(b"")
+        self._ask([x for x in wanted if x not in self.known])
+        known = self.known
+        for piece, core, marks in made:
+            known[piece] = known[core] + known[marks] if marks else known[core]
+
+    def _ask(self, new: list[bytes]) -> None:
+        texts = [x.decode() for x in new]
+        words = [x for x, t in zip(new, texts) if t.isalpha()]
+        self._learn_groups(words, b" ", lambda ids: np.flatnonzero(self.ends_word[ids])[:-1] + 1, 0)
+        others = [x for x, t in zip(new, texts) if not t.isalpha()]
+        for piece, ids in zip(odd := [x for x in others if b"\x01" in x], self._ids([x.decode() for x in odd])):
             self.known[piece] = ids.tobytes()
-        groups = [plain[i:i + PIECES_PER_TEXT] for i in range(0, len(plain), PIECES_PER_TEXT)]
-        between = f" {MARK} ".encode()
+        plain = [x for x in others if b"\x01" not in x]
+        self._learn_groups(plain, f" {MARK} ".encode(), lambda ids: np.flatnonzero(ids == self.mark), 1)
+
+    def _learn_groups(self, pieces: list[bytes], between: bytes, cuts_of, skip: int) -> None:
+        """Ids of pieces that are encoded many at a time; at each cut, ``skip`` ids belong to no piece."""
+        groups = [pieces[i:i + PIECES_PER_TEXT] for i in range(0, len(pieces), PIECES_PER_TEXT)]
         for group, ids in zip(groups, self._ids([between.join(g).decode() for g in groups])):
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(group) - 1:
-                raise ValueError("the marker between pieces was not kept apart")
-            data, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for piece, a, b in zip(group, edges, edges[1:]):
-                self.known[piece] = data[4 * a + 4:4 * b]
+            cuts = cuts_of(ids)
+            if len(cuts) != len(group) - 1:  # not as parted as expected: one by one
+                for piece, own in zip(group, self._ids([x.decode() for x in group])):
+                    self.known[piece] = own.tobytes()
+                continue
+            data, cuts = ids.tobytes(), cuts.tolist()
+            for piece, a, b in zip(group, [0, *(c + skip for c in cuts)], [*cuts, len(ids)]):
+                self.known[piece] = data[4 * a:4 * b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         pieces = [x.split() for x in texts]
@@ -63,8 +94,9 @@ class PieceEncoder:
         new = met.difference(self.known)
         if len(self.known) + len(new) > CACHED_PIECES:
             self.known = {x: self.known[x] for x in met if x in self.known}
+            new = met.difference(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
 
