@@ -1,9 +1,9 @@
 """Topic models over distinct strings: gamma-Poisson, non-negative and mixture factorizations.
 
 Each distinct string is one sparse row of term counts with its multiplicity. A pass
-sends the K x V weights to the tasks (their size is checked), updates each row's topic
-activations there, and sums the per-term statistics with a shuffle on the term. Only
-the K x V sums reach the driver.
+brings the weights to the rows, updates each row's topic activations there, and sums the
+per-term statistics with a shuffle on the term. Weights of a checked size are broadcast
+and their sums reach the driver; larger ones stay a table by term (topic_tables.py).
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import cells, exploded
 from lexiloom.functions.sparse import side_by_side
+from lexiloom.operators import topic_tables
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, param
 from lexiloom.operators.grams import Terms, fitted_vocabulary
 from lexiloom.session import checkpointed, spread
 
-# Largest K x V that is broadcast and held by the driver (64 MB of doubles).
-MAX_CELLS = 8_000_000
+# K x V up to which the weights are broadcast (64 MB of doubles); beyond it they are joined by term. Either way
+# gives the same numbers.
+BROADCAST_WEIGHTS = 8_000_000
 # Entries x topics a task works on at once.
 CHUNK_CELLS = 2_000_000
 # Candidate strings per topic from which starting rows are drawn.
@@ -152,7 +154,7 @@ def topic_codes(vector: Column, spark: SparkSession, k: int, state: dict, step:
 def poisson_activations(rows: Rows, s: dict, max_iter: int) -> np.ndarray:
     """Multiplicative updates of each row's activations until its relative change is small."""
     w = s["W"]
-    inner = (1 + 1 / s["scale"]) if s["rescale"] else w.sum(axis=1)[:, None] + 1 / s["scale"]
+    inner = (1 + 1 / s["scale"]) if s["rescale"] else sums_over_terms(s)[:, None] + 1 / s["scale"]
     bias = (s["shape"] - 1) / inner
     out = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
     h, place, gathered = out, np.arange(rows.n), w[:, rows.idx]
@@ -169,6 +171,11 @@ def poisson_activations(rows: Rows, s: dict, max_iter: int) -> np.ndarray:
     return out
 
 
+def sums_over_terms(s: dict) -> np.ndarray:
+    """Each topic's sum of weights; given along where W is a slice."""
+    return s["sums"] if "sums" in s else s["W"].sum(axis=1)
+
+
 def fitted_counts(rows: Rows, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Expected count of each entry."""
     return (rows.spread(h) * w[:, rows.idx]).sum(axis=0)
@@ -194,6 +201,23 @@ def poisson_pass(rows: DataFrame, state: dict, a: np.ndarray, b: np.ndarray, rho
     return w, a, b
 
 
+def poisson_pass_table(rows: DataFrame, state: dict, weights: DataFrame, b: np.ndarray, rho: float, k: int):
+    """:func:`poisson_pass` on weights as a table (term, w, a)."""
+    if not state["rescale"]:
+        state = {**state, "sums": topic_tables.sums_of(weights, "w", k)}
+    terms, activations = topic_tables.accumulate(rows, weights, k, 1, state, poisson_statistics)
+    b = rho * b + activations
+
+    def change(w, a, s):
+        a = rho * a + w * s
+        return a / b, a
+
+    weights = topic_tables.updated(weights, terms, k, change)
+    if state["rescale"]:
+        weights = topic_tables.scaled(weights, topic_tables.sums_of(weights, "w", k), ("w", "a"))
+    return weights, b
+
+
 class TopicModel(EncoderModel):
     """Weights per topic and term, kept as a table and sent to tasks when encoding."""
 
@@ -206,8 +230,14 @@ class TopicModel(EncoderModel):
             self._weights = out
         return self._weights
 
+    @property
+    def broadcast(self) -> bool:
+        return self.width * self.meta["terms"] <= BROADCAST_WEIGHTS
+
     def state(self) -> dict:
-        return {**self.meta["state"], "W": self.weights()}
+        if self.broadcast:
+            return {**self.meta["state"], "W": self.weights()}
+        return {**self.meta["state"], "sums": topic_tables.sums_of(self.tables["weights"], "w", self.width)}
 
     def step(self) -> Callable:
         """The function from (Rows, state) to codes (K x n)."""
@@ -219,10 +249,20 @@ class TopicModel(EncoderModel):
         return self._blocks
 
     def encode(self, keys: DataFrame) -> DataFrame:
-        return self._coded(keys, "key").select("key", "features")
+        if self.broadcast:
+            return self._coded(keys, "key").select("key", "features")
+        rows = topic_tables.blocked(term_rows(keys, self.blocks()))
+        return topic_tables.codes(rows, self.tables["weights"], self.width, self.state(), self.step())
+
+    def in_place(self, rows: DataFrame) -> DataFrame | None:
+        """Rows coded without a shuffle where the weights can be broadcast; tables are coded by a join otherwise."""
+        return self._coded(rows, "_key") if self.broadcast else None
 
-    def in_place(self, rows: DataFrame) -> DataFrame:
-        return self._coded(rows, "_key")
+    def encode_rows(self, rows: DataFrame) -> DataFrame:
+        if self.broadcast or rows.isStreaming or self.meta.get("dedupe", True):
+            return super().encode_rows(rows)
+        encoded = self.encode(rows.select(F.col("_key").alias("key")).distinct())
+        return rows.join(encoded.withColumnRenamed("key", "_key"), "_key", "left")
 
     def _coded(self, df: DataFrame, key: str) -> DataFrame:
         vector = block_vector(F.col(key), self.blocks())
@@ -243,11 +283,20 @@ class GammaPoissonModel(TopicModel):
         def divergence(rows: Rows, s: dict):
             h = poisson_activations(rows, s, steps)
             inside = rows.by_row(rows.val * np.log(rows.val / fitted_counts(rows, h, s["W"])) - rows.val)
-            total = inside + s["W"].sum(axis=1) @ h
+            total = inside + sums_over_terms(s) @ h
             nothing = (np.zeros(0, np.int64), np.zeros((len(s["W"]), 0)))
             return nothing, np.full((len(s["W"]), 1), (rows.weight * total).sum())
 
-        _, extra = accumulate(term_rows(keys, self.blocks()), self.width, self.meta["terms"], 1, self.state(), divergence)
+        rows = term_rows(keys, self.blocks())
+        if self.broadcast:
+            _, extra = accumulate(rows, self.width, self.meta["terms"], 1, self.state(), divergence)
+            return float(extra[0, 0])
+
+        def by_term(part: Rows, s: dict):
+            (terms, _), extra = divergence(part, s)
+            return (terms, np.zeros((self.width, 0))), extra
+
+        _, extra = topic_tables.accumulate(topic_tables.blocked(rows), self.tables["weights"], self.width, 1, self.state(), by_term)
         return float(extra[0, 0])
 
     def topic_labels(self, n_top: int = 3) -> DataFrame:
@@ -262,6 +311,14 @@ class GammaPoissonModel(TopicModel):
 
 
 def start_rows(rows: DataFrame, k: int, width: int, seed: int) -> np.ndarray:
+    """:func:`start_picks` as a K x V array."""
+    out = np.zeros((k, width))
+    for i, features in enumerate(start_picks(rows, k, seed)):
+        out[i, features["indices"]] = features["values"]
+    return out
+
+
+def start_picks(rows: DataFrame, k: int, seed: int) -> list:
     """K starting rows by squared-distance seeding over a weighted sample of strings.
 
     The sample is a keyed weighted reservoir, so it has a fixed size and does not depend
@@ -277,18 +334,21 @@ def start_rows(rows: DataFrame, k: int, width: int, seed: int) -> np.ndarray:
     flat = lambda name, kind: np.concatenate([np.array(row["features"][name], dtype=kind) for row in few])
     rows = Rows(np.ones(len(few)), starts, sizes, flat("indices", np.int64), flat("values", float))
     square = rows.by_row(rows.val ** 2)
-    out = np.zeros((k, width))
+    picks, terms = [], np.unique(rows.idx)
+    place, dense = np.searchsorted(terms, rows.idx), np.zeros(len(terms))
     distance = np.full(len(few), np.inf)
-    for i in range(k):
+    for _ in range(k):
         total = distance.sum()
         if 0 < total < np.inf:
             pick = rng.choice(len(few), p=distance / total)
         else:
             pick = rng.randint(len(few))
-        out[i, few[pick]["features"]["indices"]] = few[pick]["features"]["values"]
-        apart = square + square[pick] - 2 * rows.by_row(rows.val * out[i, rows.idx])
+        picks.append(few[pick]["features"])
+        dense[:] = 0
+        dense[np.searchsorted(terms, picks[-1]["indices"])] = picks[-1]["values"]
+        apart = square + square[pick] - 2 * rows.by_row(rows.val * dense[place])
         distance = np.maximum(np.minimum(distance, apart), 0)
-    return out
+    return picks
 
 
 class _TopicEncoder(EncoderEstimator):
@@ -316,10 +376,11 @@ class _TopicEncoder(EncoderEstimator):
             if not hashed:
                 tables[f"terms{i}"], block["width"] = fitted_vocabulary(keys, analyzer, lo, hi)
             blocks.append(block)
-        width = sum(b["width"] for b in blocks)
-        if width * self.get("nTopics") > MAX_CELLS:
-            raise ValueError(f"{self.get('nTopics')} topics x {width} terms exceed {MAX_CELLS} cells; hash the terms")
-        return {"blocks": blocks, "terms": width}, tables
+        return {"blocks": blocks, "terms": sum(b["width"] for b in blocks)}, tables
+
+    def wide(self, meta: dict) -> bool:
+        """Whether the weights stay a table."""
+        return meta["terms"] * self.get("nTopics") > BROADCAST_WEIGHTS
 
     def weights_table(self, df: DataFrame, w: np.ndarray) -> DataFrame:
         table = pa.table({"term": pa.array(np.arange(w.shape[1], dtype=np.int64)), "w": pa.array(list(w.T))})
@@ -358,7 +419,7 @@ class GammaPoissonEncoder(_TopicEncoder):
     def start(self, keys: DataFrame, rows: DataFrame, meta: dict, tables: dict) -> np.ndarray:
         k, width, seed, init = self.get("nTopics"), meta["terms"], self.get("seed"), self.get("init")
         if init == "random":
-            w = np.random.RandomState(seed).gamma(self.get("shape"), self.get("scale"), (k, width))
+            w = topic_tables.drawn(seed, range(width), lambda r: r.gamma(self.get("shape"), self.get("scale"), k)).T
         elif init == "k-means++":
             w = start_rows(rows, k, width, seed) + 0.1
         elif init == "k-means":
@@ -386,6 +447,43 @@ class GammaPoissonEncoder(_TopicEncoder):
             return batches, (self.get("r") if self.isSet("r") else 0.7) ** (1 / batches)
         return batches, self.get("rho") ** (n_rows / (self.get("batchSize") * batches))
 
+    def start_table(self, keys: DataFrame, rows: DataFrame, meta: dict, tables: dict) -> DataFrame:
+        """The same start as a table (term, w)."""
+        k, width, seed, init = self.get("nTopics"), meta["terms"], self.get("seed"), self.get("init")
+        spark = rows.sparkSession
+        if init == "random":
+            shape, scale = self.get("shape"), self.get("scale")
+            table = checkpointed(topic_tables.drawn_table(spark, width, seed, lambda r: r.gamma(shape, scale, k)))
+            return topic_tables.scaled(table, topic_tables.sums_of(table, "w", k), ("w",))
+        if init == "k-means":
+            from lexiloom.operators.prototypes import kmeans_prototypes
+
+            near = term_rows(kmeans_prototypes(keys, k, seed), blocks_of(meta, tables)).collect()
+            picks = [r["features"] for r in sorted(near, key=lambda r: r["key"])]
+            picks += start_picks(rows, k - len(picks), seed) if len(picks) < k else []
+        elif init == "k-means++":
+            picks = start_picks(rows, k, seed)
+        else:
+            raise ValueError(f"unknown start {init!r}")
+        entries = [(i, int(t), float(v)) for i, p in enumerate(picks) for t, v in zip(p["indices"], p["values"])]
+        return topic_tables.from_sparse(spark, entries, k, width, 0.1)
+
+    def _fit_wide(self, df: DataFrame, keys: DataFrame, meta: dict, tables: dict) -> "GammaPoissonModel":
+        """The fit of :meth:`_fit` with the weights as a table."""
+        k = self.get("nTopics")
+        rows = topic_tables.blocked(term_rows(keys, blocks_of(meta, tables))).persist()
+        batches, rho = self.schedule(rows.agg(F.sum("count")).first()[0])
+        weights = checkpointed(self.start_table(keys, rows, meta, tables).withColumn("a", F.array_repeat(F.lit(TINY), k)))
+        b, which = np.full((k, 1), TINY), F.pmod(F.xxhash64("key"), F.lit(batches))
+        for done in range(1, self.get("maxIter") + 1):
+            for batch in range(batches):
+                chosen = rows.filter(which == batch) if batches > 1 else rows
+                weights, b = poisson_pass_table(chosen, self.prior(), weights, b, rho, k)
+            if topic_tables.moved(weights) < self.get("tol") and done >= self.get("minIter"):
+                break
+        rows.unpersist()
+        return self.finish(df, keys, meta, tables, k, weights.select("term", "w"))
+
     def begin(self, df: DataFrame, keys: DataFrame):
         hashed = self.get("nFeatures") if self.get("hashing") else 0
         meta, tables = self.columns(keys, hashed, self.get("addWords"))
@@ -393,16 +491,21 @@ class GammaPoissonEncoder(_TopicEncoder):
         w = self.start(keys, rows, meta, tables)
         return meta, tables, rows, w
 
-    def finish(self, df: DataFrame, keys: DataFrame, meta: dict, tables: dict, w: np.ndarray) -> GammaPoissonModel:
+    def finish(self, df: DataFrame, keys: DataFrame, meta: dict, tables: dict, k: int, weights: DataFrame) -> GammaPoissonModel:
         from lexiloom.functions.text import word_tokens
 
         words = exploded(keys, [], word_tokens(F.col("key")), "word").distinct()
-        meta = {**meta, "width": len(w), "state": self.prior(), "transform_steps": self.get("transformSteps")}
-        return self.build(GammaPoissonModel({**tables, "weights": self.weights_table(df, w), "words": words}, meta))
+        meta = {**meta, "width": k, "state": self.prior(), "transform_steps": self.get("transformSteps")}
+        return self.build(GammaPoissonModel({**tables, "weights": weights, "words": words}, meta))
 
     def _fit(self, df):
         keys = self.kept_keys(df)
-        meta, tables, rows, w = self.begin(df, keys)
+        hashed = self.get("nFeatures") if self.get("hashing") else 0
+        meta, tables = self.columns(keys, hashed, self.get("addWords"))
+        if self.wide(meta):
+            return self._fit_wide(df, keys, meta, tables)
+        rows = term_rows(keys, blocks_of(meta, tables)).persist()
+        w = self.start(keys, rows, meta, tables)
         batches, rho = self.schedule(rows.agg(F.sum("count")).first()[0])
         a = np.full(w.shape, TINY)
         b = a.copy()
@@ -416,7 +519,7 @@ class GammaPoissonEncoder(_TopicEncoder):
             if change < self.get("tol") and done >= self.get("minIter"):
                 break
         rows.unpersist()
-        return self.finish(df, keys, meta, tables, w)
+        return self.finish(df, keys, meta, tables, len(w), self.weights_table(df, w))
 
 
 # --- Frobenius factorization -----------------------------------------------------------
@@ -424,7 +527,7 @@ class GammaPoissonEncoder(_TopicEncoder):
 
 def frobenius_activations(rows: Rows, s: dict) -> np.ndarray:
     w = s["W"]
-    gram = w @ w.T
+    gram = s["gram"] if "gram" in s else w @ w.T
     target = rows.by_row(w[:, rows.idx] * rows.val)
     h = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
     for _ in range(s["e_steps"]):
@@ -439,6 +542,11 @@ def frobenius_statistics(rows: Rows, s: dict):
 
 
 class NmfModel(TopicModel):
+    def state(self) -> dict:
+        if self.broadcast:
+            return super().state()
+        return {**self.meta["state"], "gram": topic_tables.gram_of(self.tables["weights"], self.width)}
+
     def step(self) -> Callable:
         return frobenius_activations
 
@@ -452,6 +560,8 @@ class NmfEncoder(_TopicEncoder):
     def _fit(self, df):
         keys = self.kept_keys(df)
         meta, tables = self.columns(keys)
+        if self.wide(meta):
+            return self._fit_wide(keys, meta, tables)
         rows = term_rows(keys, blocks_of(meta, tables)).persist()
         w = start_rows(rows, self.get("nTopics"), meta["terms"], self.get("seed")) + 0.1
         state = {"e_steps": self.get("eSteps")}
@@ -466,6 +576,23 @@ class NmfEncoder(_TopicEncoder):
         meta = {**meta, "width": len(w), "state": state}
         return self.build(NmfModel({**tables, "weights": self.weights_table(df, w)}, meta))
 
+    def _fit_wide(self, keys: DataFrame, meta: dict, tables: dict) -> NmfModel:
+        """The same with the weights as a table."""
+        k, state = self.get("nTopics"), {"e_steps": self.get("eSteps")}
+        rows = topic_tables.blocked(term_rows(keys, blocks_of(meta, tables))).persist()
+        picks = start_picks(rows, k, self.get("seed"))
+        entries = [(i, int(t), float(v)) for i, p in enumerate(picks) for t, v in zip(p["indices"], p["values"])]
+        weights = checkpointed(topic_tables.from_sparse(keys.sparkSession, entries, k, meta["terms"], 0.1, unit=False)
+                               .withColumn("a", F.array_repeat(F.lit(0.0), k)))
+        for _ in range(self.get("maxIter")):
+            gram = topic_tables.gram_of(weights, k)
+            hv, hh = topic_tables.accumulate(rows, weights, k, k, {**state, "gram": gram}, frobenius_statistics)
+            weights = topic_tables.updated(weights, hv, k, lambda w, a, s, hh=hh: (w * s / np.maximum(hh @ w, TINY), a))
+            if topic_tables.moved(weights) < self.get("tol"):
+                break
+        rows.unpersist()
+        return self.build(NmfModel({**tables, "weights": weights.select("term", "w")}, {**meta, "width": k, "state": state}))
+
 
 # --- mixture of unigrams ---------------------------------------------------------------
 
@@ -528,7 +655,7 @@ class MixtureEncoder(_TopicEncoder):
         if init == "constant":
             counts = np.ones_like(counts)
         elif init == "random":
-            counts = np.random.RandomState(self.get("seed")).uniform(0, 1, counts.shape) + 1e-5
+            counts = topic_tables.drawn(self.get("seed"), range(meta["terms"]), lambda r: r.uniform(0, 1, len(rows)) + 1e-5).T
         elif init != "most-frequent-categories":
             raise ValueError(f"unknown start {init!r}")
         return counts / size, np.array([row["count"] for row in rows]) / k
@@ -536,6 +663,8 @@ class MixtureEncoder(_TopicEncoder):
     def _fit(self, df):
         keys = self.kept_keys(df)
         meta, tables = self.columns(keys)
+        if self.wide(meta):
+            return self._fit_wide(keys, meta, tables)
         rows = term_rows(keys, blocks_of(meta, tables)).persist()
         beta, theta = self.start(keys, meta, tables)
         n_rows = rows.agg(F.sum("count")).first()[0]
@@ -548,6 +677,36 @@ class MixtureEncoder(_TopicEncoder):
         meta = {**meta, "width": len(beta), "theta": [float(t) for t in theta], "state": {"fisher": self.get("fisher")}}
         return self.build(MixtureModel({**tables, "weights": self.weights_table(df, beta)}, meta))
 
+    def _fit_wide(self, keys: DataFrame, meta: dict, tables: dict) -> MixtureModel:
+        """The same with the weights as a table."""
+        width, init = meta["terms"], self.get("init")
+        frequent = term_rows(keys.orderBy(F.desc("count"), "key").limit(self.get("nTopics")), blocks_of(meta, tables)).collect()
+        frequent.sort(key=lambda r: (-r["count"], r["key"]))
+        k, spark = len(frequent), keys.sparkSession
+        entries = [(i, int(t), float(v)) for i, r in enumerate(frequent) for t, v in zip(r["features"]["indices"], r["features"]["values"])]
+        weights = topic_tables.from_sparse(spark, entries, k, width, 1e-5)
+        if init != "most-frequent-categories":
+            size = np.array([1e-5 * width + sum(r["features"]["values"]) for r in frequent])
+            if init not in ("constant", "random"):
+                raise ValueError(f"unknown start {init!r}")
+            draw = (lambda r: np.ones(k)) if init == "constant" else (lambda r: r.uniform(0, 1, k) + 1e-5)
+            weights = topic_tables.scaled(topic_tables.drawn_table(spark, width, self.get("seed"), draw), size, ("w",))
+        weights = checkpointed(weights.withColumn("a", F.array_repeat(F.lit(0.0), k)))
+        theta = np.array([r["count"] for r in frequent]) / self.get("nTopics")
+        rows = topic_tables.blocked(term_rows(keys, blocks_of(meta, tables))).persist()
+        n_rows = rows.agg(F.sum("count")).first()[0]
+        for _ in range(self.get("maxIter")):
+            terms, mass = topic_tables.accumulate(rows, weights, k, 1, {"theta": theta}, mixture_statistics)
+            total = topic_tables.sums_of(terms, "s", k)[:, None]
+            weights = topic_tables.updated(weights, terms, k, lambda w, a, s, total=total: ((1 + s) / (width + total), a))
+            theta = (1 + mass[:, 0]) / (k + n_rows)
+            apart = weights.agg(*[F.sum(F.abs(F.col("w")[j] - F.col("before")[j])) for j in range(k)]).first()
+            if max(apart) < self.get("tol"):
+                break
+        rows.unpersist()
+        meta = {**meta, "width": k, "theta": [float(t) for t in theta], "state": {"fisher": self.get("fisher")}}
+        return self.build(MixtureModel({**tables, "weights": weights.select("term", "w")}, meta))
+
 
 # --- latent Dirichlet allocation -------------------------------------------------------
 

@@ -67,7 +67,7 @@ def test_unseen_strings(spark, words):
     assert coded(TargetMeanEncoder(labelCol="y", **IO).fit(words), new)[0] == [1.3]
     for encoder in (OneHotEncoder, TargetMeanEncoder, BaseNEncoder):
         model = encoder(handleUnknown="error", **IO).fit(words)
-        with pytest.raises(Exception, match="unknown category zzz"):
+        with pytest.raises(Exception, match="not a fitted category: zzz"):
             model.transform(new).collect()
 
 
@@ -159,9 +159,9 @@ def test_prototypes(words):
     assert 1 <= near.width <= 3 and set(near.feature_names()) <= set(WORDS)
     explicit = SimilarityEncoder(categories=["london", "rome"], **IO).fit(words)
     assert explicit.width == 2
-    with pytest.raises(ValueError, match="Unsorted"):
+    with pytest.raises(ValueError, match="sorted"):
         SimilarityEncoder(categories=["rome", "london"], **IO).fit(words)
-    with pytest.raises(ValueError, match="unknown categories"):
+    with pytest.raises(ValueError, match="outside the explicit"):
         SimilarityEncoder(categories=["london"], handleUnknown="error", **IO).fit(words)
 
 
@@ -192,13 +192,13 @@ def test_passthrough_needs_finite_numbers(spark):
 
 
 def test_wrapper_errors():
-    with pytest.raises(ValueError, match="not been implemented"):
+    with pytest.raises(ValueError, match="no encoder"):
         encoders.column_encoder("Nope", "s", "code")
     with pytest.raises(ValueError, match="handle_unknown"):
         encoders.column_encoder("OneHotEncoder", "s", "code", handle_unknown="maybe")
-    with pytest.raises(ValueError, match="Unsorted"):
+    with pytest.raises(ValueError, match="sorted"):
         encoders.column_encoder("OneHotEncoder", "s", "code", categories=["b", "a"])
-    with pytest.raises(ValueError, match="reduction method"):
+    with pytest.raises(ValueError, match="unknown reduction"):
         encoders.column_encoder("OneHotEncoder", "s", "code", "Isomap", 2)
     with pytest.raises(ValueError, match="k-means"):
         encoders.column_encoder("OneHotEncoder", "s", "code", "k-means", 2)
@@ -233,7 +233,7 @@ def test_reductions(words, method):
 
 
 def test_reduction_steps_aside(words):
-    with pytest.warns(UserWarning, match="will not be applied"):
+    with pytest.warns(UserWarning, match="no reduction needed|all categories are kept"):
         model = encoders.column_encoder("OneHotEncoder", "s", "code", "TruncatedSVD", 50).fit(words)
     assert model.width == 7
 

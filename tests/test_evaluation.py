@@ -73,7 +73,7 @@ def test_preprocess(spark):
     assert {r["y"] for r in out.select("y").distinct().collect()} == {0, 1}
     assert out.count() == 195 and out.filter("s = 'nan'").count() == 19
     assert prep.preprocess(df, roles, ["id"], n_rows=120).count() <= 120
-    with pytest.warns(UserWarning, match="Fraction of missing"):
+    with pytest.warns(UserWarning, match="lacks"):
         prep.warn_missing(df.withColumn("s", F.nullif("s", F.lit("Name 1"))), ["s"])
 
 
@@ -122,9 +122,9 @@ def test_linear_and_boosting(points, task):
 def test_factory(points):
     for name in models.CLASSIFIERS:
         assert models.build_estimator(name, "binary", "features", "label", 3) is not None
-    with pytest.raises(ValueError, match="not recognized"):
+    with pytest.raises(ValueError, match="unknown task"):
         models.build_estimator("MLP", "ranking", "features", "label", 3)
-    with pytest.raises(ValueError, match="not been implemented"):
+    with pytest.raises(ValueError, match="no classifier"):
         models.build_estimator("KNN", "binary", "features", "label", 3)
     with pytest.raises(ValueError, match="classification"):
         models.build_estimator("MLP", "regression", "features", "label", 3)
