@@ -70,6 +70,12 @@ def sample_n(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
 
 
+def sample_n_repeated_ids(spark, sf_dir):
+    """An id that many rows share, sampled to the exact number of rows."""
+    rows = prep.sample_exact(table(spark, sf_dir, "lineitem"), ["l_orderkey"], 1000, 7)
+    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def shuffle(spark, sf_dir):
     from lexiloom.operators.ranking import dense_ordinals
 
@@ -169,7 +175,7 @@ def topic_top_words(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     select_roles, schema_contract, null_profile, distinct_profile, distinct_counts, stringify_fill, normalize_string,
-    drop_incomplete, sample_n, shuffle, label_encode, drop_rare_classes, derive_boolean, filter_values,
+    drop_incomplete, sample_n, sample_n_repeated_ids, shuffle, label_encode, drop_rare_classes, derive_boolean, filter_values,
     numeric_transform, parse_number, clean_names, recode_dict, composite_key, multi_encode_column, category_counts,
     topk_categories, class_conditional_frequency, class_balance, topic_top_words)}
 
@@ -199,6 +205,9 @@ ORACLES = {
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem
         ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|7'),
                  l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000""",
+    "sample_n_repeated_ids": """
+        SELECT l_orderkey, count(*) AS "rows" FROM (SELECT l_orderkey, row_number() OVER (
+            ORDER BY md5(l_orderkey || '|7'), l_orderkey) AS place FROM lineitem) WHERE place <= 1000 GROUP BY 1""",
     "shuffle": "SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || '|11')) - 1 AS place FROM orders",
     "label_encode": "SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS label FROM part",
     "drop_rare_classes": """
