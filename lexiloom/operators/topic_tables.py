@@ -27,10 +27,10 @@ def blocked(rows: DataFrame) -> DataFrame:
 
 
 def _slices(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(_block, term, w): the weights of the terms each block holds."""
+    """(_slice, term, w): the weights of the terms each block holds, the block's number under another name."""
     needed = rows.select("_block", F.explode("features.indices").alias("_i")).select(
-        "_block", F.col("_i").cast("bigint").alias("term")).distinct()
-    return needed.join(weights.select("term", "w"), "term").select("_block", "term", "w")
+        (F.col("_block") + 0).alias("_slice"), F.col("_i").cast("bigint").alias("term")).distinct()
+    return needed.join(weights.select("term", "w"), "term").select("_slice", "term", "w")
 
 
 def _matrix(column: pa.ChunkedArray, k: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def _local(rows: pa.Table, slices: pa.Table, k: int):
 
 def _by_block(rows: DataFrame, weights: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
     left = rows.select("_block", *columns, "features")
-    return left.groupBy("_block").cogroup(_slices(rows, weights).groupBy("_block")).applyInArrow(work, schema)
+    return left.groupBy("_block").cogroup(_slices(rows, weights).groupBy("_slice")).applyInArrow(work, schema)
 
 
 def accumulate(rows: DataFrame, weights: DataFrame, k: int, n_extra: int, state: dict, step: Callable) -> tuple[DataFrame, np.ndarray]:

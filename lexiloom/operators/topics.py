@@ -292,11 +292,8 @@ class GammaPoissonModel(TopicModel):
             _, extra = accumulate(rows, self.width, self.meta["terms"], 1, self.state(), divergence)
             return float(extra[0, 0])
 
-        def by_term(part: Rows, s: dict):
-            (terms, _), extra = divergence(part, s)
-            return (terms, np.zeros((self.width, 0))), extra
-
-        _, extra = topic_tables.accumulate(topic_tables.blocked(rows), self.tables["weights"], self.width, 1, self.state(), by_term)
+        # The divergence has no statistics by term, and sums them as an empty list.
+        _, extra = topic_tables.accumulate(topic_tables.blocked(rows), self.tables["weights"], self.width, 1, self.state(), divergence)
         return float(extra[0, 0])
 
     def topic_labels(self, n_top: int = 3) -> DataFrame:
