@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import Digests, joined, mixed, signed, slices, texts_of, written
 from lexiloom.llm.components import components
 
-SLOTS = 256
+SLOTS = 128
 BANDS = 32
 ROWS = 4  # a pair at similarity 0.8 misses all 32 bands with probability 5e-8
-PIVOT_ROUNDS = 3
-BLOCK = 512
-SLACK = 0.12  # how far below the threshold the signatures' agreement may lie: five standard deviations
+PIVOT_ROUNDS = 2
+LONG = 1024  # places of the signatures that tell pairs of open groups apart
+BLOCK = 1024
+SLACK = 0.0625  # how far below the threshold their agreement may lie: five standard deviations
 PAIRS_PER_COPY = 256
 NO_ID = -(1 << 63)
 GOLD = 0x9E3779B97F4A7C15
@@ -214,38 +215,55 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _block_pairs(open_groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members in different components of a group whose signatures agree enough.
+def _long_signatures(open_groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, long): signatures of LONG places, 8 bits each, of the members of open groups, from their full sets."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "items", 1 << 19):
+            items = [np.frombuffer(x, "<u8") for x in batch.column("items").to_pylist()]
+            edges = np.cumsum([0, *map(len, items)])
+            marks = mixed(signatures_of(mixed(np.concatenate(items) ^ np.uint64(LONG)), edges, LONG)).astype("u1")
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([m.tobytes() for m in marks], pa.binary())],
+                                             ["rep", "long"])
+
+    return sets.join(open_groups.select("rep").distinct(), "rep", "left_semi").mapInArrow(sign, "rep long, long binary")
+
+
+def _block_pairs(open_groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components of a group whose long signatures agree enough.
 
     Members outside the group's largest component, in blocks, meet all members, in blocks; only pairs that pass
-    leave a task.
+    leave a task, each in the first of the bands it shares.
     """
     sizes = open_groups.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     groups = sizes.groupBy("band").agg(F.sum("size").alias("all"), F.max("size").alias("most"),
                                        F.max_by("component", F.struct("size", "component")).alias("main"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    placed = (open_groups.join(groups, "band").join(classes.select("rep", "signature"), "rep")
+    marks = written(_long_signatures(open_groups, sets).join(classes.select("rep", "signature"), "rep"), "long")
+    placed = (open_groups.join(groups, "band").join(marks, "rep")
               .withColumn("lefts", blocks(F.col("all") - F.col("most"))).withColumn("rights", blocks(F.col("all"))))
     own = lambda count: F.pmod(F.xxhash64("rep", "band"), count).cast("int")
-    right = placed.select("band", "rep", "component", "n", "signature", F.lit(1).alias("side"), own(F.col("rights")).alias("right"),
+    columns = ("band", "rep", "component", "n", F.substring("signature", 1, 2 * BANDS * ROWS).alias("signature"), "long")
+    right = placed.select(*columns, F.lit(1).alias("side"), own(F.col("rights")).alias("right"),
                           F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"))
     left = placed.filter(F.col("component") != F.col("main")).select(
-        "band", "rep", "component", "n", "signature", F.lit(0).alias("side"),
+        *columns, F.lit(0).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), own(F.col("lefts")).alias("left"))
-    least = int(np.floor(SLOTS * (percent / 100 - SLACK)))
+    # Two different items agree in 8 bits once in 256 times; that only adds to the agreement.
+    least = int(np.floor(LONG * (percent / 100 - SLACK)))
 
     def compare(group: pa.Table) -> pa.Table:
         side = group["side"].to_numpy()
-        marks = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
+        short = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+        long = np.frombuffer(b"".join(group["long"].to_pylist()), "u1").reshape(-1, LONG)
+        bands = np.ascontiguousarray(short).view("<u8")  # a band's four places as one number
         rep, component, n = (group[c].to_numpy() for c in ("rep", "component", "n"))
-        bands = marks[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        own = int(np.flatnonzero(signed(_band_digests(marks[:1])[0]) == group["band"][0].as_py())[0])
+        own = int(np.flatnonzero(signed(_band_digests(short[:1])[0]) == group["band"][0].as_py())[0])
         rights, a, b = np.flatnonzero(side == 1), [], []
         for i in np.flatnonzero(side == 0):
-            agree = (marks[rights] == marks[i]).sum(1) >= least
-            hit = rights[agree & (component[rights] != component[i])]
-            # A pair is given out in the first of the bands it shares.
-            hit = hit[(bands[hit] == bands[i]).all(2).argmax(1) == own]
+            hit = rights[component[rights] != component[i]]
+            hit = hit[(100 * np.minimum(n[hit], n[i]) >= percent * np.maximum(n[hit], n[i]))]
+            hit = hit[(bands[hit, :own] != bands[i, :own]).all(1)]
+            hit = hit[(long[hit] == long[i]).sum(1) >= least]
             a.append(np.full(len(hit), i))
             b.append(hit)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -282,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             .withColumn("component", F.coalesce("component", "rep")))
         unsettled = named.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("band")
         open_groups = written(named.join(unsettled, "band"), "open")
-        pairs = _pivot_pairs(open_groups, turn, percent) if turn < PIVOT_ROUNDS else _block_pairs(open_groups, classes, percent)
+        pairs = _pivot_pairs(open_groups, turn, percent) if turn < PIVOT_ROUNDS else _block_pairs(open_groups, classes, sets, percent)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn < PIVOT_ROUNDS:
