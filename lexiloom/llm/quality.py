@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.llm.common import crc_of, documents_of, slices, texts_of
 from lexiloom.llm.ngram_features import buckets, sampled
+from lexiloom.session import settled
 
 ORDERS = (1, 2, 3, 4)
 BITS = 16
@@ -176,7 +177,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(F.col("quality").isin(0, 1))
              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id")
              .agg((F.avg("quality") >= 0.5).cast("int").alias("label")))
-    return documents_of(docs).join(marks, "doc_id")
+    # settled() counts the marks and broadcasts them if they are small; else the texts meet them in a shuffle.
+    return documents_of(docs).join(settled(marks), "doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
