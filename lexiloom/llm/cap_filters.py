@@ -4,7 +4,9 @@ Unit vectors are rotated at random and cut into BLOCKS blocks; each block has it
 filter direction is one choice of a code word per block, so that few words name very many directions. A vector
 passes every filter on whose direction it exceeds its threshold, found by list decoding: the best sums over the
 two halves of the blocks are ranked, and only pairs of ranks that can reach the threshold are added up. Vectors
-that pass the same filter are compared by cosine in double precision.
+that pass the same filter are compared by cosine in double precision. How many filters a vector passes is found
+by trial for each number of code words, so that the chance of two vectors at the asked cosine to share none stays
+under MISSED however many vectors there are.
 
 Vectors meet in groups by the first half of a filter and are compared only where the second half agrees too.
 Groups are cut into blocks that meet pairwise, so that a crowded direction is spread over tasks; what leaves a
@@ -26,8 +28,11 @@ from lexiloom.llm.common import written
 from lexiloom.llm.components import components
 
 BLOCKS = 4
-FILTERS = 64  # passed by each vector
-FILTERS_PER_ROW = 16  # filters there are, for each vector of the table
+BLOCK_LENGTH = 16  # coordinates of a block at least, which shorter vectors fill with zeros: few leave too few directions
+FILTERS = 64  # passed by each vector at least
+MISSED = 0.001  # chance at most that two vectors at the asked cosine share no filter
+TRIED = 16_384  # pairs it is found by
+FILTERS_PER_ROW = 16  # filters there are, for each vector of one length
 MEMBERS = 1024  # vectors of a group's block
 PAIRS_AT_ONCE = 1 << 18
 NO_ID = -(1 << 63)
@@ -39,10 +44,11 @@ class Code:
 
     rotation: np.ndarray
     words: np.ndarray  # block x word x coordinate
+    filters: int  # passed by each vector
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and second halves of the filters each row passes: those on which it scores at least its threshold,
-        which is its own FILTERS-th best score, so that no direction is left with too few.
+        """First and second halves of the filters each row passes, best first: those on which it scores at least its
+        threshold, which is its own ``filters``-th best score, so that no direction is left with too few.
 
         The k-th best sum of two halves is made of an i-th best first and a j-th best second half with i * j <= k,
         so only those are looked at.
@@ -53,33 +59,93 @@ class Code:
         turned = turned @ self.rotation
         scores = [turned[:, b * size:(b + 1) * size] @ self.words[b].T for b in range(BLOCKS)]
         halves = [(scores[b][:, :, None] + scores[b + 1][:, None, :]).reshape(len(unit), many * many) for b in (0, 2)]
-        best = min(FILTERS, many * many)
+        best = min(self.filters, many * many)
         ranked = []
         for half in halves:
             top = np.argpartition(-half, best - 1, axis=1)[:, :best]
             order = np.argsort(-np.take_along_axis(half, top, 1), axis=1, kind="stable")
             ranked.append(np.take_along_axis(top, order, 1))
-        i, j = np.nonzero(np.outer(np.arange(1, best + 1), np.arange(1, best + 1)) <= FILTERS)
+        i, j = np.nonzero(np.outer(np.arange(1, best + 1), np.arange(1, best + 1)) <= self.filters)
         first, second = ranked[0][:, i], ranked[1][:, j]
         total = np.take_along_axis(halves[0], first, 1) + np.take_along_axis(halves[1], second, 1)
-        keep = np.argpartition(-total, FILTERS - 1, axis=1)[:, :FILTERS]
+        keep = np.argpartition(-total, self.filters - 1, axis=1)[:, :self.filters]
+        keep = np.take_along_axis(keep, np.argsort(-np.take_along_axis(total, keep, 1), axis=1, kind="stable"), 1)
         return np.take_along_axis(first, keep, 1), np.take_along_axis(second, keep, 1)
 
 
 @lru_cache(maxsize=8)
-def code_for(length: int, words: int) -> Code:
-    rng, size = np.random.default_rng(977 + length), -(-length // BLOCKS)
+def code_for(length: int, words: int, filters: int = FILTERS) -> Code:
+    rng, size = np.random.default_rng(977 + length), max(BLOCK_LENGTH, -(-length // BLOCKS))
     rotation, _ = np.linalg.qr(rng.normal(size=(BLOCKS * size, BLOCKS * size)))
     drawn = rng.normal(size=(BLOCKS, words, size))
     drawn *= np.sqrt(size) / np.linalg.norm(drawn, axis=2, keepdims=True)
-    return Code(rotation, drawn)
+    return Code(rotation, drawn, filters)
 
 
 def code_words(rows: int) -> int:
-    """Code words a block has for a table of so many vectors: enough for FILTERS_PER_ROW filters a vector."""
+    """Code words a block has for so many vectors of one length: enough for FILTERS_PER_ROW filters a vector."""
     return max(8, int(np.ceil((FILTERS_PER_ROW * rows) ** (1 / BLOCKS))))
 
 
+def pairs_at(cosine: float, length: int, many: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors with this cosine; the length is 2 at least."""
+    x, y = np.random.default_rng(seed).normal(size=(2, many, length))
+    x = _unit(x)
+    y = _unit(y - (x * y).sum(1, keepdims=True) * x)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
+def ranks_shared(code: Code, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many filters both of each pair have to pass to share one; 0 if they share none of those of the code."""
+    many, out = code.words.shape[1], np.zeros(len(x), int)
+    for begin in range(0, len(x), 256):
+        passed = []
+        for rows in (x, y):
+            first, second = code.decode(rows[begin:begin + 256])
+            passed.append(first.astype(np.int64) * many * many + second)
+        for k, (a, b) in enumerate(zip(*passed), begin):
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            if len(i):
+                out[k] = np.maximum(i, j).min() + 1
+    return out
+
+
+def filters_for(length: int, words: int, least: float) -> int:
+    """How many filters a vector passes, so that of two at cosine ``least`` at most MISSED share none.
+
+    Of the tried pairs only a quarter of that share may miss, so that the true one is seldom above it.
+    """
+    if length < 2:
+        return FILTERS  # two directions only
+    x, y = pairs_at(least, length, TRIED, 31 + length)
+    need, open_, filters = np.zeros(TRIED, int), np.arange(TRIED), FILTERS
+    spare = int(MISSED * TRIED / 4)
+    while len(open_) > spare:
+        filters = min(2 * filters, words ** BLOCKS)
+        need[open_] = ranks_shared(code_for(length, words, filters), x[open_], y[open_])
+        open_ = np.flatnonzero(need == 0)
+    need[open_] = words ** BLOCKS
+    return max(FILTERS, int(np.sort(need)[TRIED - 1 - spare]))
+
+
+def shapes_for(classes: DataFrame, least: float) -> dict[int, tuple[int, int]]:
+    """Code words and filters for each length of which there are two vectors or more."""
+    sizes = classes.groupBy((F.octet_length("vector") / 8).cast("int").alias("length")).count().filter("count > 1")
+    wanted = [(r["length"], code_words(r["count"])) for r in sizes.orderBy("length").collect()]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [wanted[i] for i in batch.column("id").to_pylist()]
+            rows = [(length, words, filters_for(length, words, least)) for length, words in some]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows)], ["length", "words", "filters"])
+
+    if not wanted:
+        return {}
+    tried = classes.sparkSession.range(0, len(wanted), 1, len(wanted)).mapInArrow(decide, "length int, words int, filters int")
+    return {r["length"]: (r["words"], r["filters"]) for r in tried.collect()}
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
@@ -91,15 +157,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def filtered(classes: DataFrame, words: int) -> DataFrame:
+def filtered(classes: DataFrame, shapes: dict[int, tuple[int, int]]) -> DataFrame:
     """(length, first, seconds, rep, vector): a row for each first half of a filter that a vector passes."""
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [np.frombuffer(x, "<f8") for x in batch.column("vector").to_pylist()]
             lengths = np.array([len(x) for x in vectors])
             for length in np.unique(lengths).tolist():
-                own = np.flatnonzero(lengths == length)
-                reps, code = batch.column("rep").to_numpy()[own], code_for(length, words)
+                if length not in shapes:
+                    continue
+                own, code = np.flatnonzero(lengths == length), code_for(length, *shapes[length])
                 for begin in range(0, len(own), 256):
                     some = own[begin:begin + 256]
                     rows: list[tuple] = []
@@ -159,9 +226,9 @@ def _compared(least: float):
     return compare
 
 
-def links_of(classes: DataFrame, words: int, least: float) -> DataFrame:
+def links_of(classes: DataFrame, least: float) -> DataFrame:
     """Links (a, b), a < b, between classes with cosine of at least ``least`` that share a filter."""
-    passed = written(filtered(classes, words), "filters")
+    passed = written(filtered(classes, shapes_for(classes, least)), "filters")
     where = ["length", "first"]
     sizes = passed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
     placed = (passed.join(sizes.filter("members > 1"), where)
@@ -176,8 +243,8 @@ def links_of(classes: DataFrame, words: int, least: float) -> DataFrame:
 def near_vectors(table: DataFrame, vector: str = "embedding", key: str = "vec_id", least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    Vectors with cosine of at least ``least`` are linked if they pass a common filter (recall is measured in the
-    tests); n_links counts the linked other rows, equal vectors included. A vector that is null or zero or holds
+    Vectors with cosine of at least ``least`` are linked if they pass a common filter, which those at ``least``
+    miss with a chance of at most MISSED; n_links counts the linked other rows, equal vectors included. A vector that is null or zero or holds
     a null or non-finite component links with nothing, nor do vectors of different length. A null id comes before
     all others. Repeated rows are different rows with the same id and link with each other; they count. An empty
     table gives an empty result. Other columns are ignored.
@@ -196,7 +263,7 @@ def near_vectors(table: DataFrame, vector: str = "embedding", key: str = "vec_id
                 ["rep", "copies", "vector"])
 
     classes = written(grouped.select("rep", "copies", "vector").mapInArrow(flat, "rep long, copies long, vector binary"), "vectors")
-    links = written(links_of(classes, code_words(classes.count()), least), "links")
+    links = written(links_of(classes, least), "links")
     place = components(links).withColumnRenamed("node", "rep")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weight = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))

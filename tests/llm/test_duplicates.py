@@ -236,3 +236,21 @@ def test_filters_find_near_pairs():
         sets = [set(zip(a.tolist(), b.tolist())) for a, b in zip(first, second)]
         hits += not sets[0].isdisjoint(sets[1])
     assert hits / 300 >= 0.95
+
+
+@pytest.mark.parametrize("length, vectors", [(64, 20_000), (64, 1_000_000), (64, 10_000_000), (64, 60_000_000),
+                                             (3, 1_000_000), (8, 10_000_000)])
+def test_filters_keep_their_recall_at_every_size(length, vectors):
+    words = cap_filters.code_words(vectors)
+    code = cap_filters.code_for(length, words, cap_filters.filters_for(length, words, 0.9))
+    found = cap_filters.ranks_shared(code, *cap_filters.pairs_at(0.9, length, 1000, seed=4)) > 0
+    assert found.mean() >= 0.995
+
+
+def test_short_vectors(spark):
+    x, y = cap_filters.pairs_at(0.901, 4, 300, seed=6)
+    rows = np.concatenate([x, y])
+    want = (rows @ rows.T >= 0.9).sum() - len(rows)
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in cap_filters.near_vectors(df).collect())
+    assert 0.995 * want <= got <= want
