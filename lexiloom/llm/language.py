@@ -2,8 +2,9 @@
 
 A text's byte n-grams, hashed, weighted by log frequency and inverse document frequency and put to
 unit length, are compared by cosine with several centroids per language, which spherical k-means finds in a
-bounded sample. A text is rejected if its best cosine is under RELIEF times what almost all sampled texts of that
-language reach; less is asked of short texts, whose few n-grams keep them away from any centroid.
+bounded sample. A text is rejected if its cosine with that language's centroids is under RELIEF times what almost all
+sampled texts reach with centroids fitted without them; less is asked of short texts, whose few n-grams keep them away
+from any centroid. Centroids of a few odd texts, such as texts of two languages, do not count for it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ SAMPLE_PER_LANGUAGE = 600  # bound on the texts the centroids are fitted to
 CENTROIDS = 4
 ROUNDS = 20
 QUANTILE = 0.005
-RELIEF = 0.5
+RELIEF = 0.9
+SUPPORT = 0.02  # share of a language's sampled texts that a centroid must be nearest to, to count for rejection
 UNKNOWN = "und"
 TO_BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 IDF_FLOOR = 0.5  # keeps a text of common n-grams from having no weight at all
@@ -52,6 +54,7 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray  # one row each, of unit length
     owner: np.ndarray  # which language a centroid belongs to
+    firm: np.ndarray  # whether a centroid counts for rejection
     least: np.ndarray  # least cosine a language accepts
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
@@ -68,18 +71,23 @@ class LanguageModel:
             counts = np.stack([_counts(x) for x in some])
             cosines = self.vectors(counts) @ self.centroids.T
             grams = counts.sum(1)
-            relief = np.sqrt(grams / (grams + HALF_LENGTH))
+            relief = _ease(grams)
             # Ties go to the first language in the sorted order.
             for text, row, best, ease in zip(some, cosines, cosines.argmax(1), relief):
                 owner = int(self.owner[best])
                 if LETTER.search(text.decode()):
                     close = min(max(float(row[best]), 0.0), 1.0)
-                    out.append((self.languages[owner], close, bool(close < self.least[owner] * ease)))
+                    firm = float(row[self.firm & (self.owner == owner)].max())
+                    out.append((self.languages[owner], close, bool(firm < self.least[owner] * ease)))
                 else:
                     out.append((UNKNOWN, 0.0, True))
         return out
 
 
+def _ease(grams: np.ndarray) -> np.ndarray:
+    return np.sqrt(grams / (grams + HALF_LENGTH))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -100,6 +108,23 @@ def clustered(vectors: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def supported(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Whether each centroid is nearest to enough texts; the one with most always is."""
+    near = np.bincount((vectors @ centroids.T).argmax(1), minlength=len(centroids))
+    return near >= min(SUPPORT * len(vectors), near.max())
+
+
+def reached(vectors: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """What each text's cosine, without the ease of its length, is with centroids of the other half of the texts."""
+    out = []
+    for half in (0, 1):
+        own, other = vectors[half::2], vectors[1 - half::2]
+        if len(own) and len(other):
+            centroids = clustered(other, CENTROIDS)
+            out.append((own @ centroids[supported(other, centroids)].T).max(1) / _ease(np.maximum(grams[half::2], 1)))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts hold each bucket, over all rows, and how many texts there are."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +162,25 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
               .mapInArrow(features, "doc_id long, lang string, at binary, counts binary").toArrow()
               .sort_by([("doc_id", "ascending"), ("at", "ascending"), ("counts", "ascending")]))
     languages = sorted(set(sample["lang"].to_pylist()))
-    model = LanguageModel(languages, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(0))
-    parts, owner, least = [], [], []
+    model = LanguageModel(languages, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(0, bool), np.zeros(0))
+    parts, owner, firm, reach = [], [], [], []
     for number, language in enumerate(languages):
         own = sample.filter(pc.equal(sample["lang"], language))
         vectors = np.zeros((own.num_rows, 1 << BITS), np.float32)
         for row, at, counts in zip(vectors, own["at"].to_pylist(), own["counts"].to_pylist()):
             row[np.frombuffer(at, "<u2")] = np.frombuffer(counts, "<u4")
-        vectors = model.vectors(vectors)
+        grams, vectors = vectors.sum(1), model.vectors(vectors)
         centroids = clustered(vectors, CENTROIDS)
         parts.append(centroids)
         owner += [number] * len(centroids)
-        least.append(RELIEF * float(np.quantile((vectors @ centroids.T).max(1), QUANTILE)))
+        firm.append(supported(vectors, centroids))
+        reach.append(reached(vectors, grams))
     if parts:
+        # A language of few texts does not show what one in some hundred reaches; no more is asked than of all together.
+        pooled = np.concatenate(reach)
+        least = [RELIEF * float(min(np.quantile(x, QUANTILE) for x in (own, pooled) if len(x))) if len(pooled) else 0.0
+                 for own in reach]
+        model.firm = np.concatenate(firm)
         model.centroids = np.concatenate(parts).astype(np.float32)
         model.owner, model.least = np.array(owner), np.array(least)
     return model

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy and on edge rows."""
 
 import numpy as np
+import pytest
 
 from conftest import EDGE
 from lexiloom.llm import language, quality
@@ -65,3 +66,13 @@ def test_language_rejects_other_scripts(spark):
     model = language.fit(language.training_rows(docs))
     cyrillic = "все люди рождаются свободными и равными в своём достоинстве и правах " * 20
     assert model.nearest([cyrillic.encode()])[0][2]
+
+
+@pytest.mark.parametrize("unlearned", ["de", "en", "es", "fr"])
+def test_language_rejects_a_language_left_out(spark, unlearned):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = language.fit(language.training_rows(docs.filter(docs["lang"] != unlearned)))
+    rows = [r for r in docs.select("text", "lang").collect() if r.text and language.LETTER.search(r.text)]
+    gone = {own: np.mean([x[2] for x in model.nearest([r.text.encode() for r in rows if (r.lang == unlearned) == own])])
+            for own in (True, False)}
+    assert gone[True] > 0.95 and gone[False] < 0.01
