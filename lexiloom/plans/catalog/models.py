@@ -67,7 +67,7 @@ def ridge(spark, sf_dir):
 
 def gradient_boosting(spark, sf_dir):
     points = _points(spark, sf_dir, (F.col("label") < 3).cast("double")).persist()
-    return _predictions(models.boosting("binary", "features", "label", 0, 20)[0].fit(points), points)
+    return _predictions(models.boosting("binary", "features", "label", 0)[0].fit(points), points)
 
 
 def gradient_boosting_multiclass(spark, sf_dir):

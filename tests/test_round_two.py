@@ -87,3 +87,19 @@ def test_network_rates_differ(spark):
     grid = models.mlp_grid("multiclass", "features", "label", 3, 2, 0, rates=(0.001, 0.5), shapes=((4,),))
     fitted = [grid.getEstimator().copy(p).fit(df).weights.toArray() for p in grid.getEstimatorParamMaps()]
     assert not np.allclose(fitted[0], fitted[1])
+
+
+def test_registered_boosting_grows_the_default_trees(spark, monkeypatch):
+    from lexiloom.operators import models
+    from lexiloom.plans.catalog.models import gradient_boosting
+
+    grown, original = [], models.boosting
+
+    def recorded(*args, **kwargs):
+        out = original(*args, **kwargs)
+        grown.append(out[1].getMaxIter())
+        out[1].setMaxIter(1)
+        return out
+
+    monkeypatch.setattr(models, "boosting", recorded)
+    assert gradient_boosting(spark, "/root/testdata/sf0.001").count() > 0 and grown == [models.N_TREES]
