@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import (cap_filters, fingerprints, language, near_duplicates, packing, pair_bpe, quality, suffixes, token_files,
-                          url_rules)
+from lexiloom.llm import (cap_filters, fingerprints, hard_negatives, language, licences, near_duplicates, packing, pair_bpe, quality,
+                          ranked_search, suffixes, token_files, url_rules)
 from lexiloom.llm.common import table
 from lexiloom.session import scratch_path
 
@@ -63,8 +63,22 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digests(licences.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_fingerprints, op4_url_rules, op5_suffixes,
-                                  op6_pair_bpe, op7_token_files, op8_quality, op9_language, op10_cap_filters)}
+                                  op6_pair_bpe, op7_token_files, op8_quality, op9_language, op10_cap_filters, op11_hard_negatives,
+                                  op12_licences, op13_ranked_search)}
 
 ORACLES = {
     "op3_fingerprints": r"""
@@ -101,6 +115,33 @@ ORACLES = {
         SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links,
                (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id,
                vec_id = (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS kept FROM v""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS x
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+        q AS (SELECT vec_id, label, list_transform(x, lambda e: floor(256 * e)) AS q FROM v
+              WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+              FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+        n AS (SELECT p.a, p.b, p.score AS positive_score, s.b AS negative_id, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+              FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT a AS anchor_id, b AS positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10""",
+    "op13_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+              FROM tf, total GROUP BY term, docs),
+        x AS (SELECT tf.doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS points
+              FROM tf JOIN n USING (doc_id) JOIN w USING (term), total),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(points)::BIGINT AS score FROM i JOIN x USING (term) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 20""",
     "op2_near_duplicates": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
