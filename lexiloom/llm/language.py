@@ -9,13 +9,13 @@ from any centroid. Centroids of a few odd texts, such as texts of two languages,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -35,7 +35,7 @@ UNKNOWN = "und"
 TO_BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 IDF_FLOOR = 0.5  # keeps a text of common n-grams from having no weight at all
 HALF_LENGTH = 300  # n-grams at which the accepted cosine is sqrt(1/2) of that of long texts
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _letters(text: bytes) -> bytes:

@@ -76,3 +76,11 @@ def test_language_rejects_a_language_left_out(spark, unlearned):
     gone = {own: np.mean([x[2] for x in model.nearest([r.text.encode() for r in rows if (r.lang == unlearned) == own])])
             for own in (True, False)}
     assert gone[True] > 0.95 and gone[False] < 0.01
+
+
+def test_signs_that_are_no_letters(spark):
+    """Superscripts, fractions and letter numbers are no letters; letters of any script are."""
+    rows = [(i, t, "en") for i, t in enumerate(["½ ²", "Ⅷ ⅷ", "٣ 12 _ -", "日", "ß", "some text of words", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language.identify(docs).collect()} == \
+        {0: True, 1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
