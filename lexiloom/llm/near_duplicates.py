@@ -14,6 +14,7 @@ So no group is expanded to its pairs, and none is cut short.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ SLACK = 0.0625  # how far below the threshold their agreement may lie: five stan
 PAIRS_PER_COPY = 256
 NO_ID = -(1 << 63)
 GOLD = 0x9E3779B97F4A7C15
+SHORT = 32  # bytes of a word whose digest is a sum of powers
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,6 +54,9 @@ def shingles_of(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]
     begins = np.flatnonzero(~space & np.append(True, space[:-1])) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(space & np.append(False, ~space[:-1])) if len(data) else np.zeros(0, np.int64)
     word = Digests(data).of(begins, ends)
+    # Sums of powers modulo 2^64 repeat on long words of two letters in a known pattern; long words get a standard hash.
+    for i in np.flatnonzero(ends - begins > SHORT).tolist():
+        word[i] = int.from_bytes(blake2b(data[begins[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
     first = np.searchsorted(begins, starts)
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(texts)), counts)

@@ -254,3 +254,14 @@ def test_short_vectors(spark):
     df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
     got = sum(r.n_links for r in cap_filters.near_vectors(df).collect())
     assert 0.995 * want <= got <= want
+
+
+def test_long_words_of_two_letters_differ(spark):
+    """A word over two letters and its letter-swapped twin, in the order that cancels sums of powers modulo 2^64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, f"one two three {w} four five") for i, w in enumerate((word, twin, word[:64], twin[:64]))]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in found)
