@@ -1,24 +1,27 @@
 """Token ids by the tokenizers library, looked up per piece of text.
 
 The vocabulary used here drops white space, ignores case and splits letters from punctuation before it merges, so
-a text's ids are those of its pieces in order: what stands between ASCII white space. Each Python worker keeps the
-ids of pieces it has met. A new piece of letters with sentence marks behind is put together from its parts; parts
-that are new reach the library, many in one call. Parts of letters alone end where a token does that ends a word;
-the others are parted by a marker that has an id of its own.
+a text's ids are those of its pieces in order: what stands between ASCII white space. Arrow splits a batch and tells
+its different pieces; a piece of letters with sentence marks behind is put together from its parts. Each Python worker
+keeps the ids of parts it has met; those that are new reach the library, many in one call. Parts of letters alone end
+where a token does that ends a word; the others are parted by a marker that has an id of its own.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 MARK = "\x01"
 CACHED_PIECES = 1_500_000
 PIECES_PER_TEXT = 256
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
 
 
 @lru_cache(maxsize=4)
@@ -33,12 +36,25 @@ def loaded(path: str):
     return tokenizer
 
 
+def _letters(piece: bytes) -> bool:
+    """Whether the piece is of letters alone once the vocabulary's normalizer (NFC, lower case) has seen it."""
+    return piece.isalpha() or not piece.isascii() and unicodedata.normalize("NFC", piece.decode()).lower().isalpha()
+
+
+def _bytes(texts: pa.LargeStringArray) -> list[bytes]:
+    """The UTF-8 of each text, cut from the array's buffer at once."""
+    data = b"" if (held := texts.buffers()[2]) is None else held.to_pybytes()
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1].tolist()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers; equal to encoding each text at once."""
 
     def __init__(self, path: str):
         self.tokenizer = loaded(path)
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}  # letters alone
+        self.others: dict[bytes, bytes] = {}  # sentence marks, and pieces of other kinds
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(1 + max(vocabulary.values()), bool)
@@ -48,57 +64,76 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
 
-    def _learn(self, new: list[bytes]) -> None:
-        made: list[tuple[bytes, bytes, bytes]] = []
-        wanted: set[bytes] = set()
-        for piece in new:
-            # Where a special token may stand, case counts.
-            lowered = piece if b"<|" in piece else piece.lower()
-            core = lowered.rstrip(MARKS)
-            if not (core and core.decode().isalpha()):
-                core = lowered
-            made.append((piece, core, lowered[len(core):]))
-            wanted.update(made[-1][1:])
-        wanted.discard(b"")
-        self._ask([x for x in wanted if x not in self.known])
-        known = self.known
-        for piece, core, marks in made:
-            known[piece] = known[core] + known[marks] if marks else known[core]
-
-    def _ask(self, new: list[bytes]) -> None:
-        texts = [x.decode() for x in new]
-        words = [x for x, t in zip(new, texts) if t.isalpha()]
-        self._learn_groups(words, b" ", lambda ids: np.flatnonzero(self.ends_word[ids])[:-1] + 1, 0)
-        others = [x for x, t in zip(new, texts) if not t.isalpha()]
-        for piece, ids in zip(odd := [x for x in others if b"\x01" in x], self._ids([x.decode() for x in odd])):
-            self.known[piece] = ids.tobytes()
-        plain = [x for x in others if b"\x01" not in x]
-        self._learn_groups(plain, f" {MARK} ".encode(), lambda ids: np.flatnonzero(ids == self.mark), 1)
-
-    def _learn_groups(self, pieces: list[bytes], between: bytes, cuts_of, skip: int) -> None:
+    def _learn(self, new: list[tuple[bytes, bytes]]) -> None:
+        """Ask the library for what pieces, given with their cores, lack."""
+        words, others = set(), set()
+        for piece, core in new:
+            if core and _letters(core):
+                words.add(core)
+                others.add(piece[len(core):])
+            else:
+                others.add(piece)
+        ask = [x for x in words if x not in self.words]
+        self._learn_groups(self.words, ask, b" ", lambda ids: np.flatnonzero(self.ends_word[ids])[:-1] + 1, 0)
+        self.others[b""] = b""
+        ask = [x for x in others if x not in self.others]
+        for piece, ids in zip(odd := [x for x in ask if b"\x01" in x], self._ids([x.decode() for x in odd])):
+            self.others[piece] = ids.tobytes()
+        plain = [x for x in ask if b"\x01" not in x]
+        self._learn_groups(self.others, plain, f" {MARK} ".encode(), lambda ids: np.flatnonzero(ids == self.mark), 1)
+
+    def _learn_groups(self, known: dict[bytes, bytes], pieces: list[bytes], between: bytes, cuts_of, skip: int) -> None:
         """Ids of pieces that are encoded many at a time; at each cut, ``skip`` ids belong to no piece."""
         groups = [pieces[i:i + PIECES_PER_TEXT] for i in range(0, len(pieces), PIECES_PER_TEXT)]
         for group, ids in zip(groups, self._ids([between.join(g).decode() for g in groups])):
             cuts = cuts_of(ids)
             if len(cuts) != len(group) - 1:  # not as parted as expected: one by one
                 for piece, own in zip(group, self._ids([x.decode() for x in group])):
-                    self.known[piece] = own.tobytes()
+                    known[piece] = own.tobytes()
                 continue
             data, cuts = ids.tobytes(), cuts.tolist()
             for piece, a, b in zip(group, [0, *(c + skip for c in cuts)], [*cuts, len(ids)]):
-                self.known[piece] = data[4 * a:4 * b]
+                known[piece] = data[4 * a:4 * b]
+
+    def _found(self, piece: bytes, core: bytes) -> bytes | None:
+        word = self.words.get(core)
+        if word is None:
+            return self.others.get(piece)
+        if len(core) == len(piece):
+            return word
+        marks = self.others.get(piece[len(core):])
+        return None if marks is None else word + marks
+
+    def _pieces(self, different: pa.Array) -> list[bytes]:
+        """Ids of each piece."""
+        # Where a special token may stand, case counts.
+        lowered = pc.if_else(pc.match_substring(different, "<|"), different, pc.ascii_lower(different))
+        cores, pieces = _bytes(pc.utf8_rtrim(lowered, characters=MARKS)), _bytes(lowered)
+        words, found = self.words.get, self._found
+        out = [word if (word := words(piece)) is not None else found(piece, core) for piece, core in zip(pieces, cores)]
+        missing = [i for i, x in enumerate(out) if x is None]
+        if len(self.words) + len(self.others) + len(missing) > CACHED_PIECES:
+            self.words, self.others, missing = {}, {}, range(len(out))
+        if missing:
+            self._learn([(pieces[i], cores[i]) for i in missing])
+            for i in missing:
+                out[i] = self._found(pieces[i], cores[i])
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [x.split() for x in texts]
-        met = set().union(*pieces)
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known = {x: self.known[x] for x in met if x in self.known}
-            new = met.difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        own = self._pieces(coded.dictionary)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        lengths = sizes[codes]
+        ends = np.append(0, np.cumsum(lengths))
+        # Where each id of the texts stands among the ids of the different pieces.
+        at = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], lengths)
+        raw = np.frombuffer(b"".join(own), "<u4")[at].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)

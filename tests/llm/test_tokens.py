@@ -1,6 +1,7 @@
 """Token ids, BPE and coded files against the tokenizers library and exact round trips."""
 
 import random
+import unicodedata
 from hashlib import sha256
 
 import numpy as np
@@ -30,6 +31,23 @@ def test_ids_equal_the_library(path, maker):
     assert got == want
 
 
+def marked_letters():
+    """Letters that the normalizer turns into a letter and a combining mark, and what may stand around them."""
+    return [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.isalpha()
+            and not unicodedata.normalize("NFC", c).lower().isalpha()]
+
+
+def test_marks_behind_combining_marks():
+    rng = random.Random(8)
+    letters = marked_letters()
+    scripts = [chr(c) for c in (0x41, 0x61, 0x131, 0x130, 0xDF, 0x3A3, 0x416, 0x5D0, 0x627, 0x915, 0x93C, 0xE01, 0x4E2D, 0xAC00, 0x1F600, 0x301)]
+    texts = ["CUMHURİYETİ. TÜRKİYE CUMHURİYETİ.", "BELEDİYESİ, İSTANBUL", "\u0958. \ufb2a,", *(f"x{c}. {c}, {c}a!" for c in letters)]
+    texts += ["".join(rng.choice([*scripts, *letters[:40], *".,;:!? \n-0½²"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    want = [x.ids for x in tokens.loaded(WORDS).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.PieceEncoder(WORDS).encode([t.encode() for t in texts])]
+    assert got == want
+
+
 def test_small_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 5)
     monkeypatch.setattr(pair_bpe, "CACHED_UNITS", 5)
