@@ -12,20 +12,18 @@ import warnings
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param import Params
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.arrays import cells, sparse_cells
 from lexiloom.operators.base import EncoderModel
-from lexiloom.session import checkpointed, small
+from lexiloom.operators.subspace import leading
+from lexiloom.session import BROADCAST_CELLS, checkpointed, small
 
 # Seeds of the reductions.
 PROJECTION_SEED = 35
+# Cells (entries x directions) multiplied at once.
+CELLS_AT_ONCE = 4_000_000
 METHODS = (None, "GaussianRandomProjection", "TruncatedSVD", "most_frequent", "k-means", "PCA")
 
 
@@ -47,91 +45,102 @@ def gaussian_directions(spark: SparkSession, width: int, k: int, seed: int = PRO
         "component", F.array(*[entry(j) for j in range(k)]).alias("w"))
 
 
-def _directions_table(spark: SparkSession, v: np.ndarray) -> DataFrame:
-    """One row per component, signs set so that the largest loading is positive."""
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    table = pa.table({"component": pa.array(np.arange(len(v), dtype=np.int64)), "w": pa.array(list(v))})
-    return spark.createDataFrame(table)
-
-
-def _right_singular(vectors: DataFrame, k: int) -> np.ndarray:
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select("_v"), "_v")
-    return RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
-
-
 def svd_directions(weighted: DataFrame, width: int, k: int) -> DataFrame:
     """Top right singular vectors of (count, features), a row counting ``count`` times."""
-    return _directions_table(weighted.sparkSession, _right_singular(weighted_vectors(weighted, width), k))
-
-
-def weighted_mean(weighted: DataFrame, width: int) -> list[float]:
-    sums = cells(weighted, ["count"], "features", value="x").groupBy("component").agg((F.sum(F.col("count") * F.col("x")) / F.sum("count")).alias("mean"))
-    means = {r["component"]: r["mean"] for r in sums.collect()}
-    return [means.get(i, 0.0) for i in range(width)]
-
-
-def weighted_vectors(weighted: DataFrame, width: int) -> DataFrame:
-    """``_v``: each code times the root of its count, sparse where the code is."""
-    root = F.sqrt(F.col("count").cast("double"))
-    if weighted.schema["features"].dataType.typeName() == "struct":
-        scaled = F.struct(F.col("features.indices").alias("indices"),
-                          F.transform("features.values", lambda x: x * root).alias("values"))
-        to_vector = F.udf(lambda f: SparseVector(width, f["indices"], f["values"]), VectorUDT())
-        return weighted.select(to_vector(scaled).alias("_v"))
-    return weighted.select(array_to_vector(F.transform("features", lambda x: x * root)).alias("_v"))
-
-
-def sparse_pca(weighted: DataFrame, width: int, k: int) -> tuple[np.ndarray, list[float]]:
-    """Principal directions and mean of sparse codes, from their Gram matrix less that of the mean.
-
-    The rows stay sparse; the Gram matrix is summed on the executors and has width x width numbers.
-    """
-    total = weighted.agg(F.sum("count")).first()[0]
-    sums = (sparse_cells(weighted, ["count"]).groupBy("component")
-            .agg((F.sum(F.col("count") * F.col("value")) / F.lit(total)).alias("mean")).collect())
-    mean = np.zeros(width)
-    mean[[r["component"] for r in sums]] = [r["mean"] for r in sums]
-    rows = MLUtils.convertVectorColumnsFromML(weighted_vectors(weighted, width), "_v")
-    gram = RowMatrix(rows).computeGramianMatrix().toArray()
-    _, vectors = np.linalg.eigh(gram - total * np.outer(mean, mean))
-    return vectors[:, ::-1][:, :k], mean.tolist()
+    return leading(weighted, width, k).directions
 
 
 def pca_directions(weighted: DataFrame, width: int, k: int) -> tuple[DataFrame, list[float]]:
-    """Principal directions and the mean, as singular vectors of the centred rows."""
-    if weighted.schema["features"].dataType.typeName() == "struct":
-        v, mean = sparse_pca(weighted, width, k)
-        return _directions_table(weighted.sparkSession, v), mean
-    mean = weighted_mean(weighted, width)
-    centre = F.array(*[F.lit(m) for m in mean])
-    root = F.sqrt(F.col("count").cast("double"))
-    centred = F.zip_with("features", centre, lambda x, m: (x - m) * root)
-    v = _right_singular(weighted.select(array_to_vector(centred).alias("_v")), k)
-    return _directions_table(weighted.sparkSession, v), mean
+    """Principal directions, and what the mean projects to on each."""
+    found = leading(weighted, width, k, centre=True)
+    return found.directions, found.shift
 
 
 def project(long: DataFrame, directions: DataFrame, width: int, k: int) -> DataFrame:
-    """(key, component, value) to (key, features) of length k."""
+    """(key, component, value) to (key, features) of length k.
+
+    Rows are added up per task before they are dealt by key.
+    """
     joined = long.join(small(directions, width, k), "component")
     sums = joined.groupBy("key").agg(*[F.sum(F.col("value") * F.col("w")[j]).alias(f"s{j}") for j in range(k)])
     return sums.select("key", F.array(*[f"s{j}" for j in range(k)]).alias("features"))
 
 
+def projected(features: Column, directions: np.ndarray, present: np.ndarray, sparse: bool, spark: SparkSession) -> Column:
+    """Codes times directions of a bounded size, row by row without a shuffle.
+
+    ``present`` holds the components of the directions' rows, ascending; other components count nothing.
+    """
+    sent = spark.sparkContext.broadcast((directions, present))
+
+    @F.arrow_udf("array<double>")
+    def times(codes: pa.Array) -> pa.Array:
+        w, known = sent.value
+        k = w.shape[1]
+        lists = codes.field("values") if sparse else codes
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        index = (codes.field("indices").flatten().to_numpy(zero_copy_only=False) if sparse
+                 else np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+        row = np.repeat(np.arange(len(codes)), sizes)
+        place = np.searchsorted(known, index)
+        met = np.flatnonzero(place < len(known))
+        met = met[known[place[met]] == index[met]]
+        out = np.zeros((len(codes), k))
+        for some in np.array_split(met, 1 + len(met) * k // CELLS_AT_ONCE):
+            if len(some):
+                own, first = np.unique(row[some], return_index=True)
+                out[own] += np.add.reduceat(values[some, None] * w[place[some]], first, axis=0)
+        offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * k, type=pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return times(features)
+
+
 class ReducedModel(EncoderModel):
-    """An encoder followed by a projection, both on distinct strings."""
+    """An encoder followed by a projection, both on distinct strings.
+
+    Directions of a checked size are sent to the rows, which works in place and on streams too; larger ones are joined
+    by component, cells carrying a digest instead of the string.
+    """
 
     def __init__(self, tables=None, meta=None, inner: EncoderModel | None = None):
         super().__init__(tables, meta)
         self.inner = inner
 
+    @property
+    def local(self) -> bool:
+        return self.inner.width * self.width <= BROADCAST_CELLS
+
+    def _sent(self) -> tuple[np.ndarray, np.ndarray]:
+        if not hasattr(self, "_rows"):
+            rows = self.tables["directions"].orderBy("component").toArrow()
+            self._rows = (np.array(rows["w"].combine_chunks().flatten()).reshape(rows.num_rows, self.width), rows["component"].to_numpy())
+        return self._rows
+
+    def _shifted(self, features: Column) -> Column:
+        shift = F.array(*[F.lit(float(s)) for s in self.meta["shift"]])
+        return F.zip_with(features, shift, lambda x, s: x - s)
+
+    def _placed(self, encoded: DataFrame) -> DataFrame:
+        sparse = encoded.schema["features"].dataType.typeName() == "struct"
+        out = projected(F.col("features"), *self._sent(), sparse, encoded.sparkSession)
+        return encoded.withColumn("features", self._shifted(out))
+
     def encode(self, keys: DataFrame) -> DataFrame:
-        k = self.width
-        projected = project(self.inner.encode_long(keys), self.tables["directions"], self.inner.width, k)
+        if self.local:
+            return self._placed(self.inner.encode(keys)).select("key", "features")
+        named = keys.select("key", F.unhex(F.md5("key")).alias("_id"))
+        cells = self.inner.encode_long(named).select(F.unhex(F.md5("key")).alias("key"), "component", "value")
+        found = project(cells, self.tables["directions"], self.inner.width, self.width)
         # Strings whose code is all zeros have no cells; they project to the negative shift.
-        every = keys.select("key").join(projected, "key", "left")
-        shift = F.array(*[F.lit(float(s)) for s in self.meta["shift"]])
-        nothing = F.array(*[F.lit(-float(s)) for s in self.meta["shift"]])
-        return every.select("key", F.coalesce(F.zip_with("features", shift, lambda x, s: x - s), nothing).alias("features"))
+        every = named.join(found.withColumnRenamed("key", "_id"), "_id", "left")
+        zeros = F.array_repeat(F.lit(0.0), self.width)
+        return every.select("key", self._shifted(F.coalesce("features", zeros)).alias("features"))
+
+    def in_place(self, rows: DataFrame) -> DataFrame | None:
+        placed = self.inner.in_place(rows) if self.local else None
+        return None if placed is None else self._placed(placed)
 
     def parts(self) -> dict:
         return {"inner": self.inner}
@@ -165,8 +174,6 @@ class ReducedEncoder(Estimator, Params):
             if self.method == "TruncatedSVD":
                 directions = svd_directions(weighted, inner.width, k)
             else:
-                directions, mean = pca_directions(weighted, inner.width, k)
-                w = np.array([r["w"] for r in directions.orderBy("component").collect()])
-                shift = [float(s) for s in np.array(mean) @ w]
+                directions, shift = pca_directions(weighted, inner.width, k)
         model = ReducedModel({"directions": checkpointed(directions)}, {"width": k, "shift": shift}, inner)
         return self.encoder.build(model)
