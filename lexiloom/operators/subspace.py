@@ -106,6 +106,15 @@ def _summed(keys: np.ndarray, n: int, factors: Callable[[np.ndarray], np.ndarray
     return out
 
 
+def times(sizes: np.ndarray, places: np.ndarray, values: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A block's rows times a matrix with a row per component of the block."""
+    if len(sizes) * len(m) <= FILL * len(values):
+        parts = [dense @ m for _, dense in _row_blocks(sizes, places, values, len(m))]
+        return np.concatenate(parts) if parts else np.zeros((0, m.shape[1]))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    return _summed(rows, len(sizes), lambda e: values[e, None] * m[places[e]], m.shape[1])
+
+
 def product(sizes: np.ndarray, places: np.ndarray, values: np.ndarray, slice_: np.ndarray) -> np.ndarray:
     """A block's transpose times the block times its slice."""
     width = len(slice_)
@@ -115,18 +124,21 @@ def product(sizes: np.ndarray, places: np.ndarray, values: np.ndarray, slice_: n
             out += dense.T @ (dense @ slice_)
         return out
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    across = _summed(rows, len(sizes), lambda e: values[e, None] * slice_[places[e]], slice_.shape[1])
+    across = times(sizes, places, values, slice_)
     return _summed(places, width, lambda e: values[e, None] * across[rows[e]], slice_.shape[1])
 
 
-def random_rows(components: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Normal numbers for each component that depend on its number and the seed only."""
-    x = (components.astype(np.uint64)[:, None] * np.uint64(2 * width) + np.arange(2 * width, dtype=np.uint64)
-         + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-    # The published splitmix64 finalizer.
+def uniforms(x: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each unsigned 64-bit number, by the published splitmix64 finalizer."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    unit = (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / 2 ** 53
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / 2 ** 53
+
+
+def random_rows(components: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Normal numbers for each component that depend on its number and the seed only."""
+    unit = uniforms(components.astype(np.uint64)[:, None] * np.uint64(2 * width) + np.arange(2 * width, dtype=np.uint64)
+                    + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     return np.sqrt(-2 * np.log(unit[:, :width])) * np.cos(2 * np.pi * unit[:, width:])
 
 

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import cells, exploded
 from lexiloom.functions.sparse import side_by_side
-from lexiloom.operators import topic_tables
+from lexiloom.operators import topic_blocks, topic_tables
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, param
 from lexiloom.operators.grams import Terms, fitted_vocabulary
+from lexiloom.operators.topic_blocks import RowBlocks, starting_rows
 from lexiloom.session import checkpointed, spread
 
 # K x V up to which the weights are broadcast (64 MB of doubles); beyond it they are joined by term. Either way
@@ -28,8 +29,6 @@ from lexiloom.session import checkpointed, spread
 BROADCAST_WEIGHTS = 8_000_000
 # Entries x topics a task works on at once.
 CHUNK_CELLS = 2_000_000
-# Candidate strings per topic from which starting rows are drawn.
-CANDIDATES_PER_TOPIC = 30
 TINY = 1e-10
 
 
@@ -92,13 +91,19 @@ def chunks(features: pa.StructArray, weight: np.ndarray, k: int):
     idx = lists.flatten().to_numpy(zero_copy_only=False)
     val = features.field("values").flatten().to_numpy(zero_copy_only=False)
     sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    for _, rows in parts(weight, sizes, idx, val, k):
+        yield rows
+
+
+def parts(weight: np.ndarray, sizes: np.ndarray, idx: np.ndarray, val: np.ndarray, k: int):
+    """Yield (which rows, Rows) with a bounded number of entries."""
     starts = np.concatenate(([0], np.cumsum(sizes)))
     first, budget = 0, max(1, CHUNK_CELLS // k)
     while first < len(sizes):
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + budget, side="right")) - 1)
         last = min(last, len(sizes), first + budget)
         span = slice(starts[first], starts[last])
-        yield Rows(weight[first:last], starts[first:last], sizes[first:last], idx[span], val[span])
+        yield slice(first, last), Rows(weight[first:last], starts[first:last], sizes[first:last], idx[span], val[span])
         first = last
 
 
@@ -151,12 +156,12 @@ def topic_codes(vector: Column, spark: SparkSession, k: int, state: dict, step:
 # --- gamma-Poisson ---------------------------------------------------------------------
 
 
-def poisson_activations(rows: Rows, s: dict, max_iter: int) -> np.ndarray:
-    """Multiplicative updates of each row's activations until its relative change is small."""
+def poisson_activations(rows: Rows, s: dict, max_iter: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Multiplicative updates of each row's activations, from given ones or afresh, until its relative change is small."""
     w = s["W"]
     inner = (1 + 1 / s["scale"]) if s["rescale"] else sums_over_terms(s)[:, None] + 1 / s["scale"]
     bias = (s["shape"] - 1) / inner
-    out = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1))
+    out = np.tile(np.maximum(TINY, rows.by_row(rows.val)) / len(w), (len(w), 1)) if start is None else start.copy()
     h, place, gathered = out, np.arange(rows.n), w[:, rows.idx]
     for _ in range(max_iter):
         ratio = rows.val / (rows.spread(h) * gathered).sum(axis=0)
@@ -181,8 +186,8 @@ def fitted_counts(rows: Rows, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (rows.spread(h) * w[:, rows.idx]).sum(axis=0)
 
 
-def poisson_statistics(rows: Rows, s: dict):
-    h = poisson_activations(rows, s, s["e_steps"])
+def poisson_statistics(rows: Rows, s: dict, h: np.ndarray | None = None):
+    h = poisson_activations(rows, s, s["e_steps"]) if h is None else h
     ratio = rows.val / fitted_counts(rows, h, s["W"])
     weighted = h * rows.weight
     return rows.by_term(rows.spread(weighted) * ratio), weighted.sum(axis=1, keepdims=True)
@@ -201,21 +206,102 @@ def poisson_pass(rows: DataFrame, state: dict, a: np.ndarray, b: np.ndarray, rho
     return w, a, b
 
 
-def poisson_pass_table(rows: DataFrame, state: dict, weights: DataFrame, b: np.ndarray, rho: float, k: int):
-    """:func:`poisson_pass` on weights as a table (term, w, a)."""
-    if not state["rescale"]:
-        state = {**state, "sums": topic_tables.sums_of(weights, "w", k)}
-    terms, activations = topic_tables.accumulate(rows, weights, k, 1, state, poisson_statistics)
-    b = rho * b + activations
+def carried_activations(blocks: RowBlocks, batch: int, carried: DataFrame | None, state: dict, weights, k: int) -> DataFrame:
+    """(block, carried): the activations of a batch's rows, updated from those carried along or afresh."""
+    def update(block: dict, held: np.ndarray | None, w: np.ndarray):
+        s = {**state, "W": w}
+        held = None if held is None else held.reshape(k, -1)
+        out = np.zeros((k, len(block["sizes"])))
+        for span, rows in parts(block["weights"], block["sizes"].astype(np.int64), block["places"], block["values"], k):
+            out[:, span] = poisson_activations(rows, s, s["e_steps"], None if held is None else held[:, span])
+        yield topic_blocks.carried_row(block, out)
 
-    def change(w, a, s):
-        a = rho * a + w * s
-        return a / b, a
+    return topic_blocks.settled_blocks(blocks.run(batch, carried, update, topic_blocks.CARRIED, weights, k))
 
-    weights = topic_tables.updated(weights, terms, k, change)
-    if state["rescale"]:
-        weights = topic_tables.scaled(weights, topic_tables.sums_of(weights, "w", k), ("w", "a"))
-    return weights, b
+
+def carried_statistics(blocks: RowBlocks, batch: int, carried: DataFrame | None, state: dict, weights, k: int, settled: bool) -> DataFrame:
+    """(term, s0, ...): a batch's sums by term, and its activations' sum as term -1.
+
+    With ``settled`` the carried activations are the updated ones, else they are updated here and not kept.
+    """
+    def add(block: dict, held: np.ndarray | None, w: np.ndarray):
+        s, sums, beside = {**state, "W": w}, np.zeros((k, len(block["terms"]))), np.zeros((k, 1))
+        held = None if held is None else held.reshape(k, -1)
+        for span, rows in parts(block["weights"], block["sizes"].astype(np.int64), block["places"], block["values"], k):
+            h = None if held is None else held[:, span]
+            if not settled:
+                h = poisson_activations(rows, s, s["e_steps"], h)
+            (index, by_term), activations = poisson_statistics(rows, s, h)
+            sums[:, index] += by_term
+            beside += activations
+        out = np.concatenate((sums, beside), axis=1)
+        terms = np.append(block["terms"].astype(np.int64), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array(out[j]) for j in range(k))], ["term", *(f"s{j}" for j in range(k))])
+
+    schema = "term long, " + ", ".join(f"s{j} double" for j in range(k))
+    return blocks.run(batch, carried, add, schema, weights, k).groupBy("term").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
+
+
+class PoissonFit:
+    """Weights (W, A, B) of a fit over blocks of rows, with the rows' activations carried from pass to pass.
+
+    Weights are arrays where they are of a checked size, and else a table (term, w, a, before).
+    """
+
+    def __init__(self, blocks: RowBlocks, prior: dict, weights, k: int):
+        self.blocks, self.prior, self.k = blocks, prior, k
+        self.wide = isinstance(weights, DataFrame)
+        self.w = checkpointed(weights.withColumn("a", F.array_repeat(F.lit(TINY), k))) if self.wide else weights
+        self.a = None if self.wide else np.full(weights.shape, TINY)
+        self.b, self.carried, self.before = np.full((k, 1), TINY), {}, None
+
+    def update(self, batch: int, rho: float, keep: bool) -> None:
+        """One update of the weights from a batch; ``keep`` carries its activations to its next turn."""
+        if batch not in self.blocks.blocks:
+            return
+        state, held = dict(self.prior), self.carried.get(batch)
+        if self.wide:
+            if not state["rescale"]:
+                state["sums"] = topic_tables.sums_of(self.w, "w", self.k)
+        else:
+            state["sums"] = self.w.sum(axis=1)
+        if keep:
+            held = self.carried[batch] = carried_activations(self.blocks, batch, held, state, self.w, self.k)
+        found = carried_statistics(self.blocks, batch, held, state, self.w, self.k, keep)
+        (self._update_table if self.wide else self._update_arrays)(found, rho)
+
+    def _update_arrays(self, found: DataFrame, rho: float) -> None:
+        table = found.toArrow()
+        terms, rows = table["term"].to_numpy(), np.stack([table[f"s{j}"].to_numpy() for j in range(self.k)])
+        sums = np.zeros(self.w.shape)
+        sums[:, terms[terms >= 0]] = rows[:, terms >= 0]
+        self.before = self.w
+        self.a = rho * self.a + self.w * sums
+        self.b = rho * self.b + rows[:, terms < 0]
+        self.w = self.a / self.b
+        if self.prior["rescale"]:
+            size = self.w.sum(axis=1, keepdims=True)
+            self.w, self.a = self.w / size, self.a / size
+
+    def _update_table(self, found: DataFrame, rho: float) -> None:
+        found = checkpointed(found)
+        (beside,) = found.filter("term < 0").collect()
+        b = self.b = rho * self.b + np.array(beside[1:])[:, None]
+
+        def change(w, a, s):
+            a = rho * a + w * s
+            return a / b, a
+
+        sums = found.filter("term >= 0").select("term", F.array(*[f"s{j}" for j in range(self.k)]).alias("s"))
+        self.w = topic_tables.updated(self.w, sums, self.k, change)
+        if self.prior["rescale"]:
+            self.w = topic_tables.scaled(self.w, topic_tables.sums_of(self.w, "w", self.k), ("w", "a"))
+
+    def moved(self) -> float:
+        """Relative change of the weights in the last update."""
+        if self.wide:
+            return topic_tables.moved(self.w)
+        return np.linalg.norm(self.w - self.before) / np.linalg.norm(self.before)
 
 
 class TopicModel(EncoderModel):
@@ -307,45 +393,18 @@ class GammaPoissonModel(TopicModel):
         return topic_top_words(long.select("topic", "word", share.alias("weight")), n_top)
 
 
-def start_rows(rows: DataFrame, k: int, width: int, seed: int) -> np.ndarray:
-    """:func:`start_picks` as a K x V array."""
-    out = np.zeros((k, width))
-    for i, features in enumerate(start_picks(rows, k, seed)):
+def dense_rows(picks: list, width: int) -> np.ndarray:
+    """Starting rows as an array."""
+    out = np.zeros((len(picks), width))
+    for i, features in enumerate(picks):
         out[i, features["indices"]] = features["values"]
     return out
 
 
-def start_picks(rows: DataFrame, k: int, seed: int) -> list:
-    """K starting rows by squared-distance seeding over a weighted sample of strings.
-
-    The sample is a keyed weighted reservoir, so it has a fixed size and does not depend
-    on how the table is partitioned.
-    """
-    uniform = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("key"), F.lit(str(seed)))), 1, 13), 16, 10)
-               .cast("double") + 0.5) / F.lit(float(16 ** 13))
-    race = -F.ln(uniform) / F.col("count")
-    few = rows.orderBy(race, "key").limit(CANDIDATES_PER_TOPIC * k).collect()
-    rng = np.random.RandomState(seed)
-    sizes = np.array([len(row["features"]["indices"]) for row in few])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    flat = lambda name, kind: np.concatenate([np.array(row["features"][name], dtype=kind) for row in few])
-    rows = Rows(np.ones(len(few)), starts, sizes, flat("indices", np.int64), flat("values", float))
-    square = rows.by_row(rows.val ** 2)
-    picks, terms = [], np.unique(rows.idx)
-    place, dense = np.searchsorted(terms, rows.idx), np.zeros(len(terms))
-    distance = np.full(len(few), np.inf)
-    for _ in range(k):
-        total = distance.sum()
-        if 0 < total < np.inf:
-            pick = rng.choice(len(few), p=distance / total)
-        else:
-            pick = rng.randint(len(few))
-        picks.append(few[pick]["features"])
-        dense[:] = 0
-        dense[np.searchsorted(terms, picks[-1]["indices"])] = picks[-1]["values"]
-        apart = square + square[pick] - 2 * rows.by_row(rows.val * dense[place])
-        distance = np.maximum(np.minimum(distance, apart), 0)
-    return picks
+def frequent_rows(rows: DataFrame, k: int) -> list:
+    """The k most frequent strings as starting rows."""
+    found = rows.orderBy(F.desc("count"), "key").limit(k).collect()
+    return [r["features"] for r in sorted(found, key=lambda r: (-r["count"], r["key"]))]
 
 
 class _TopicEncoder(EncoderEstimator):
@@ -395,7 +454,7 @@ class GammaPoissonEncoder(_TopicEncoder):
     rho = param("rho", "share of the statistics kept over batchSize rows", TypeConverters.toFloat)
     batchSize = param("batchSize", "rows rho refers to", TypeConverters.toInt)
     macroBatches = param("macroBatches", "weight updates per pass", TypeConverters.toInt)
-    init = param("init", "k-means++, k-means or random", TypeConverters.toString)
+    init = param("init", "k-means++, k-means, frequent (the most frequent strings) or random", TypeConverters.toString)
     shape = param("shape", "shape of the gamma prior", TypeConverters.toFloat)
     scale = param("scale", "scale of the gamma prior", TypeConverters.toFloat)
     rescale = param("rescale", "keep each topic's weights summing to one", TypeConverters.toBoolean)
@@ -413,24 +472,38 @@ class GammaPoissonEncoder(_TopicEncoder):
         return {"shape": self.get("shape"), "scale": self.get("scale"), "rescale": self.get("rescale"),
                 "eps": 1e-3, "e_steps": self.get("eSteps")}
 
-    def start(self, keys: DataFrame, rows: DataFrame, meta: dict, tables: dict) -> np.ndarray:
-        k, width, seed, init = self.get("nTopics"), meta["terms"], self.get("seed"), self.get("init")
-        if init == "random":
-            w = topic_tables.drawn(seed, range(width), lambda r: r.gamma(self.get("shape"), self.get("scale"), k)).T
-        elif init == "k-means++":
-            w = start_rows(rows, k, width, seed) + 0.1
-        elif init == "k-means":
+    def picks(self, keys: DataFrame, rows: DataFrame, blocks: RowBlocks, meta: dict, tables: dict) -> list:
+        """Rows the topics start from."""
+        k, seed, init = self.get("nTopics"), self.get("seed"), self.get("init")
+        if init == "frequent":
+            return frequent_rows(rows, k)
+        if init == "k-means++":
+            return starting_rows(blocks, k, seed)
+        if init == "k-means":
             from lexiloom.operators.prototypes import kmeans_prototypes
 
             near = term_rows(kmeans_prototypes(keys, k, seed), blocks_of(meta, tables)).collect()
-            w = np.zeros((len(near), width))
-            for i, row in enumerate(sorted(near, key=lambda r: r["key"])):
-                w[i, row["features"]["indices"]] = row["features"]["values"]
-            if len(near) < k:
-                w = np.concatenate((w, start_rows(rows, k - len(near), width, seed)))
-            w += 0.1
+            found = [r["features"] for r in sorted(near, key=lambda r: r["key"])]
+            return found + (starting_rows(blocks, k - len(found), seed) if len(found) < k else [])
+        raise ValueError(f"unknown start {init!r}")
+
+    def start(self, keys: DataFrame, rows: DataFrame, blocks: RowBlocks, meta: dict, tables: dict):
+        """Starting weights: an array, or a table (term, w) where they are too many."""
+        k, width, seed = self.get("nTopics"), meta["terms"], self.get("seed")
+        wide = self.wide(meta)
+        if self.get("init") == "random":
+            shape, scale = self.get("shape"), self.get("scale")
+            draw = lambda r: r.gamma(shape, scale, k)
+            if wide:
+                table = checkpointed(topic_tables.drawn_table(keys.sparkSession, width, seed, draw))
+                return topic_tables.scaled(table, topic_tables.sums_of(table, "w", k), ("w",))
+            w = topic_tables.drawn(seed, range(width), draw).T
         else:
-            raise ValueError(f"unknown start {init!r}")
+            picks = self.picks(keys, rows, blocks, meta, tables)
+            if wide:
+                entries = [(i, int(t), float(v)) for i, p in enumerate(picks) for t, v in zip(p["indices"], p["values"])]
+                return topic_tables.from_sparse(keys.sparkSession, entries, k, width, 0.1)
+            w = dense_rows(picks, width) + 0.1
         return w / w.sum(axis=1, keepdims=True)
 
     def schedule(self, n_rows: int) -> tuple[int, float]:
@@ -444,48 +517,13 @@ class GammaPoissonEncoder(_TopicEncoder):
             return batches, (self.get("r") if self.isSet("r") else 0.7) ** (1 / batches)
         return batches, self.get("rho") ** (n_rows / (self.get("batchSize") * batches))
 
-    def start_table(self, keys: DataFrame, rows: DataFrame, meta: dict, tables: dict) -> DataFrame:
-        """The same start as a table (term, w)."""
-        k, width, seed, init = self.get("nTopics"), meta["terms"], self.get("seed"), self.get("init")
-        spark = rows.sparkSession
-        if init == "random":
-            shape, scale = self.get("shape"), self.get("scale")
-            table = checkpointed(topic_tables.drawn_table(spark, width, seed, lambda r: r.gamma(shape, scale, k)))
-            return topic_tables.scaled(table, topic_tables.sums_of(table, "w", k), ("w",))
-        if init == "k-means":
-            from lexiloom.operators.prototypes import kmeans_prototypes
-
-            near = term_rows(kmeans_prototypes(keys, k, seed), blocks_of(meta, tables)).collect()
-            picks = [r["features"] for r in sorted(near, key=lambda r: r["key"])]
-            picks += start_picks(rows, k - len(picks), seed) if len(picks) < k else []
-        elif init == "k-means++":
-            picks = start_picks(rows, k, seed)
-        else:
-            raise ValueError(f"unknown start {init!r}")
-        entries = [(i, int(t), float(v)) for i, p in enumerate(picks) for t, v in zip(p["indices"], p["values"])]
-        return topic_tables.from_sparse(spark, entries, k, width, 0.1)
-
-    def _fit_wide(self, df: DataFrame, keys: DataFrame, meta: dict, tables: dict) -> "GammaPoissonModel":
-        """The fit of :meth:`_fit` with the weights as a table."""
-        k = self.get("nTopics")
-        rows = topic_tables.blocked(term_rows(keys, blocks_of(meta, tables))).persist()
-        batches, rho = self.schedule(rows.agg(F.sum("count")).first()[0])
-        weights = checkpointed(self.start_table(keys, rows, meta, tables).withColumn("a", F.array_repeat(F.lit(TINY), k)))
-        b, which = np.full((k, 1), TINY), F.pmod(F.xxhash64("key"), F.lit(batches))
-        for done in range(1, self.get("maxIter") + 1):
-            for batch in range(batches):
-                chosen = rows.filter(which == batch) if batches > 1 else rows
-                weights, b = poisson_pass_table(chosen, self.prior(), weights, b, rho, k)
-            if topic_tables.moved(weights) < self.get("tol") and done >= self.get("minIter"):
-                break
-        rows.unpersist()
-        return self.finish(df, keys, meta, tables, k, weights.select("term", "w"))
-
     def begin(self, df: DataFrame, keys: DataFrame):
         hashed = self.get("nFeatures") if self.get("hashing") else 0
         meta, tables = self.columns(keys, hashed, self.get("addWords"))
         rows = term_rows(keys, blocks_of(meta, tables)).persist()
-        w = self.start(keys, rows, meta, tables)
+        blocks = RowBlocks(rows, seed=self.get("seed"))
+        w = self.start(keys, rows, blocks, meta, tables)
+        blocks.close()
         return meta, tables, rows, w
 
     def finish(self, df: DataFrame, keys: DataFrame, meta: dict, tables: dict, k: int, weights: DataFrame) -> GammaPoissonModel:
@@ -499,24 +537,19 @@ class GammaPoissonEncoder(_TopicEncoder):
         keys = self.kept_keys(df)
         hashed = self.get("nFeatures") if self.get("hashing") else 0
         meta, tables = self.columns(keys, hashed, self.get("addWords"))
-        if self.wide(meta):
-            return self._fit_wide(df, keys, meta, tables)
-        rows = term_rows(keys, blocks_of(meta, tables)).persist()
-        w = self.start(keys, rows, meta, tables)
-        batches, rho = self.schedule(rows.agg(F.sum("count")).first()[0])
-        a = np.full(w.shape, TINY)
-        b = a.copy()
-        which = F.pmod(F.xxhash64("key"), F.lit(batches))
-        for done in range(1, self.get("maxIter") + 1):
+        rows = term_rows(keys, blocks_of(meta, tables))
+        batches, rho = self.schedule(keys.agg(F.sum("count")).first()[0])
+        blocks = RowBlocks(rows, batches, self.get("seed"))
+        weights = self.start(keys, rows, blocks, meta, tables)
+        k = self.get("nTopics") if isinstance(weights, DataFrame) else len(weights)
+        fit, last = PoissonFit(blocks, self.prior(), weights, k), self.get("maxIter")
+        for done in range(1, last + 1):
             for batch in range(batches):
-                before = w
-                chosen = rows.filter(which == batch) if batches > 1 else rows
-                w, a, b = poisson_pass(chosen, {**self.prior(), "W": w}, a, b, rho)
-            change = np.linalg.norm(w - before) / np.linalg.norm(before)
-            if change < self.get("tol") and done >= self.get("minIter"):
+                fit.update(batch, rho, keep=done < last)
+            if done >= self.get("minIter") and done < last and fit.moved() < self.get("tol"):
                 break
-        rows.unpersist()
-        return self.finish(df, keys, meta, tables, len(w), self.weights_table(df, w))
+        blocks.close()
+        return self.finish(df, keys, meta, tables, k, fit.w.select("term", "w") if fit.wide else self.weights_table(df, fit.w))
 
 
 # --- Frobenius factorization -----------------------------------------------------------
@@ -560,7 +593,7 @@ class NmfEncoder(_TopicEncoder):
         if self.wide(meta):
             return self._fit_wide(keys, meta, tables)
         rows = term_rows(keys, blocks_of(meta, tables)).persist()
-        w = start_rows(rows, self.get("nTopics"), meta["terms"], self.get("seed")) + 0.1
+        w = dense_rows(starting_rows(RowBlocks(rows, seed=self.get("seed")), self.get("nTopics"), self.get("seed")), meta["terms"]) + 0.1
         state = {"e_steps": self.get("eSteps")}
         for _ in range(self.get("maxIter")):
             hv, hh = accumulate(rows, len(w), meta["terms"], len(w), {**state, "W": w}, frobenius_statistics)
@@ -577,7 +610,7 @@ class NmfEncoder(_TopicEncoder):
         """The same with the weights as a table."""
         k, state = self.get("nTopics"), {"e_steps": self.get("eSteps")}
         rows = topic_tables.blocked(term_rows(keys, blocks_of(meta, tables))).persist()
-        picks = start_picks(rows, k, self.get("seed"))
+        picks = starting_rows(RowBlocks(rows, seed=self.get("seed")), k, self.get("seed"))
         entries = [(i, int(t), float(v)) for i, p in enumerate(picks) for t, v in zip(p["indices"], p["values"])]
         weights = checkpointed(topic_tables.from_sparse(keys.sparkSession, entries, k, meta["terms"], 0.1, unit=False)
                                .withColumn("a", F.array_repeat(F.lit(0.0), k)))
