@@ -18,7 +18,6 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from lexiloom.llm.common import crc_of, documents_of, slices, texts_of
 from lexiloom.llm.ngram_features import buckets, sampled
@@ -187,19 +186,22 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score (cosine) and rejected, from the whole ``text``."""
-    source = docs.drop("lang_pred", "score", "rejected")
-    schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()),
-                         StructField("rejected", BooleanType())])
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = model.nearest(texts_of(batch))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
-                 pa.array([x[2] for x in found], pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
-
-    return source.mapInArrow(predicted, schema)
+    """All columns of ``docs`` with lang_pred, score (cosine) and rejected, from the whole ``text``.
+
+    Only texts go to Python; the other columns stay where they are.
+    """
+    names = ("lang_pred", "score", "rejected")
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [x for batch in slices([rows], "text") for x in model.nearest(texts_of(batch))]
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], list(names))
+
+    source = docs.drop(*names)
+    found = source.withColumn("_found", predicted(F.col("text").cast("string")))
+    return found.select(*(F.col(f"`{c}`") for c in source.columns), *(F.col(f"_found.{c}").alias(c) for c in names))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.llm.common import crc_of, documents_of, slices, texts_of
 from lexiloom.llm.ngram_features import buckets, sampled
@@ -154,16 +153,16 @@ def fit(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> QualityModel:
 
 
 def score(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of its whole ``text``; nulls score as empty texts do, by the bias."""
-    source = docs.drop(out)
-    schema = StructType([*source.schema.fields, StructField(out, DoubleType())])
+    """All columns of ``docs`` and the score of its whole ``text``; nulls score as empty texts do, by the bias.
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            scores = [model.score(indicators(x)) for x in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])
+    Only texts go to Python and only scores come back; the other columns stay where they are.
+    """
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array([model.score(indicators(x)) for batch in slices([rows], "text") for x in texts_of(batch)], pa.float64())
 
-    return source.mapInArrow(scored, schema)
+    return docs.withColumn(out, scored(F.col("text").cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:
