@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.base import param
 from lexiloom.operators.metrics import evaluator
 from lexiloom.operators.ranking import lowest
+from lexiloom.operators.ridge import N_FOLDS, RidgeCV
 from lexiloom.session import settled
 
 # Tuning grids and network shapes.
@@ -33,9 +34,7 @@ MLP_RATES = (0.001, 0.0005, 0.005)
 MLP_LAYERS = ((30,), (50,), (100,), (30, 30), (50, 50), (100, 100))
 NYSTROEM_COMPONENTS = (1000, 3000)
 NYSTROEM_DEGREES = (2, 3)
-N_FOLDS = 3
 N_TREES = 100
-RIDGE_PENALTIES = (0.1, 1.0, 10.0)
 LOGISTIC_PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 # Largest landmark matrix (landmarks x features) kept on the driver and broadcast.
 MAX_LANDMARK_CELLS = 40_000_000
@@ -154,9 +153,7 @@ class BestOf(Estimator, Params):
 def linear_model(task: str, features: str, label: str, weight: str | None, seed: int) -> Estimator:
     """L2-penalised linear model, penalty chosen by 3-fold cross-validation."""
     if task == "regression":
-        ridge = LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0)
-        grid = ParamGridBuilder().addGrid(ridge.regParam, RIDGE_PENALTIES).build()
-        return BestOf(cross_validated(ridge, grid, task, label, seed))
+        return RidgeCV(featuresCol=features, labelCol=label, seed=seed)
     logistic = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=100)
     if weight is not None:
         logistic = logistic.setWeightCol(weight)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.arrays import cells
 from lexiloom.operators import models
 from lexiloom.operators.models import Nystroem
+from lexiloom.operators.ridge import RidgeCV
 from lexiloom.operators.splits import stratified_split
 from lexiloom.plans.benchmark import Settings, run_benchmark
 from lexiloom.plans.catalog.common import rounded, table
@@ -58,11 +59,22 @@ def linear_classifier_balanced(spark, sf_dir):
 
 
 def ridge(spark, sf_dir):
-    orders = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("vec_id"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("label"))
-    points = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(orders).persist()
-    predicted = _predictions(models.linear_model("regression", "features", "label", None, 0).fit(points), points)
-    return predicted.withColumn("prediction", rounded("prediction", 2))
+    """Ridge regression of the price, its penalty chosen over three folds that follow from the line's key."""
+    digest = F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("vec_id"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("label"),
+        (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 3).alias("fold"))
+    points = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(lines)
+    predicted = _predictions(RidgeCV(foldCol="fold").fit(points), points)
+    return predicted.withColumn("label", rounded("label", 2)).withColumn("prediction", rounded("prediction", 4))
+
+
+def ridge_coefficients(spark, sf_dir):
+    """Coefficients, penalty and scores of a wider ridge: an embedding's label from its other numbers."""
+    points = _points(spark, sf_dir, F.col("label").cast("double"))
+    model = RidgeCV(penalties=[0.01, 0.1, 1.0, 10.0, 100.0]).fit(points)
+    rows = [(i, float(w)) for i, w in enumerate([*model.coefficients, model.intercept, model.penalty])]
+    return spark.createDataFrame(rows, "component bigint, value double").withColumn("value", rounded("value", 6))
 
 
 def gradient_boosting(spark, sf_dir):
@@ -141,10 +153,29 @@ def benchmark_matrix(spark, sf_dir):
 QUERIES = {
     "column_transformer": column_transformer_query, "fit_predict_fold": fit_predict_fold_query,
     **{f.__name__: f for f in (
-        linear_classifier, linear_classifier_balanced, ridge, gradient_boosting, gradient_boosting_multiclass,
+        linear_classifier, linear_classifier_balanced, ridge, ridge_coefficients, gradient_boosting, gradient_boosting_multiclass,
         boosting_grid, mlp_classifier, grid_search, nystroem, nystroem_linear, benchmark_matrix)}}
 
 ORACLES = {
+    "ridge": """
+        WITH l AS (SELECT l_orderkey AS vec_id, l_quantity::DOUBLE AS p, l_discount::DOUBLE AS q, l_extendedprice::DOUBLE AS y,
+                          ('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 6))::BIGINT % 3 AS f FROM lineitem),
+        part AS (SELECT f, count(*)::DOUBLE AS n, sum(p) AS p, sum(q) AS q, sum(y) AS y, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq,
+                        sum(p * y) AS py, sum(q * y) AS qy, sum(y * y) AS yy FROM l GROUP BY 1),
+        total AS (SELECT sum(n) AS n, sum(p) AS p, sum(q) AS q, sum(y) AS y, sum(pp) AS pp, sum(pq) AS pq, sum(qq) AS qq, sum(py) AS py,
+                         sum(qy) AS qy FROM part),
+        train AS (SELECT f, t.n - a.n AS n, t.p - a.p AS p, t.q - a.q AS q, t.y - a.y AS y, t.pp - a.pp AS pp, t.pq - a.pq AS pq,
+                         t.qq - a.qq AS qq, t.py - a.py AS py, t.qy - a.qy AS qy FROM part a, total t
+                  UNION ALL SELECT -1, * FROM total),
+        system AS (SELECT f, c, n, p, q, y, pp - p * p / n + c AS a, pq - p * q / n AS b, qq - q * q / n + c AS d, py - p * y / n AS u,
+                          qy - q * y / n AS v FROM train, (VALUES (0.1e0), (1e0), (10e0)) AS penalties(c)),
+        fitted AS (SELECT f, c, (u * d - v * b) / (a * d - b * b) AS wp, (a * v - b * u) / (a * d - b * b) AS wq, n, p, q, y FROM system),
+        model AS (SELECT f, c, wp, wq, (y - p * wp - q * wq) / n AS w0 FROM fitted),
+        scores AS (SELECT c, avg(1 - (yy + wp * wp * pp + wq * wq * qq + w0 * w0 * n + 2 * (wp * wq * pq + wp * w0 * p + wq * w0 * q
+                                      - wp * py - wq * qy - w0 * y)) / (yy - y * y / n)) AS r2
+                   FROM model JOIN part USING (f) GROUP BY 1),
+        best AS (SELECT wp, wq, w0 FROM model WHERE f = -1 AND c = (SELECT c FROM scores ORDER BY r2 DESC, c LIMIT 1))
+        SELECT vec_id, round(y, 2) + 0.0e0 AS label, round(w0 + wp * p + wq * q, 4) + 0.0e0 AS prediction FROM l, best""",
     "column_transformer": """
         WITH t AS (SELECT p_brand, count(*) AS n, sum(p_retailprice) AS s FROM part GROUP BY 1),
              a AS (SELECT sum(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(s) / sum(n) AS mean FROM t),
