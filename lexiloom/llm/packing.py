@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import documents_of, slices, texts_of
-from lexiloom.llm.tokens import END_ID, piece_encoder
+from lexiloom.llm.tokens import END_ID, loaded, piece_encoder
 
 WINDOW = 2048
 SENTENCE_PENALTY = 4
@@ -38,7 +38,7 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 @lru_cache(maxsize=2)
 def sentence_ids(vocabulary: str) -> np.ndarray:
     """For each id, whether its token is punctuation that ends a sentence."""
-    known = piece_encoder(vocabulary).tokenizer.get_vocab(with_added_tokens=True)
+    known = loaded(vocabulary).get_vocab(with_added_tokens=True)
     ends = np.zeros(1 + max([*known.values(), END_ID]), bool)
     for token, number in known.items():
         text = token.removesuffix("</w>")
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = WINDOW, end_id: int = END
     about STREAM_TOKENS ids: all windows but the last of a stretch are given out and the rest is packed on.
     """
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, enders = piece_encoder(vocabulary), sentence_ids(vocabulary)
+        enders = sentence_ids(vocabulary)
         end, base, windows = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36, 0
         # Of each waiting document: id, its ids not given out yet, where these start in it, its length.
         waiting: list[list] = []
@@ -141,14 +141,15 @@ def pack(docs: DataFrame, vocabulary: str, size: int = WINDOW, end_id: int = END
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         held = 0
-        for batch in slices(batches, "text", 1 << 20):
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
-                ids = np.frombuffer(raw + end, "<u4")
-                waiting.append([doc_id, ids, 0, len(ids)])
-                held += len(ids)
-            if held >= STREAM_TOKENS:
-                yield give(False)
-                held = sum(len(x[1]) for x in waiting)
+        with piece_encoder(vocabulary) as encoder:
+            for batch in slices(batches, "text", 1 << 20):
+                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
+                    ids = np.frombuffer(raw + end, "<u4")
+                    waiting.append([doc_id, ids, 0, len(ids)])
+                    held += len(ids)
+                if held >= STREAM_TOKENS:
+                    yield give(False)
+                    held = sum(len(x[1]) for x in waiting)
         if waiting:
             yield give(True)
 

@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lexiloom.llm.common import in_use, left_over
+
 END_ID = 1
 MARK = "\x01"
 CACHED_PIECES = 1_500_000
@@ -137,5 +141,18 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
+def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
+
+
+@contextmanager
+def piece_encoder(path: str) -> Iterator[PieceEncoder]:
+    """The worker's encoder, which later tasks of the same kind find again with all pieces it has met."""
+    in_use("pieces")
+    yield _encoder(path)
+    left_over("pieces", _release)
+
+
+def _release() -> None:
+    _encoder.cache_clear()
+    loaded.cache_clear()
