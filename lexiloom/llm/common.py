@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from lexiloom.session import scratch_path
 
 ROW_GROUP = 16 << 20  # bytes a writing task buffers
-_libc = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,31 +55,39 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 22)
     trim()
 
 
-_unused: dict[str, Callable[[], object]] = {}
+@lru_cache(maxsize=1)
+def _unused() -> dict[str, Callable[[], object]]:
+    """What tasks of this worker have left. Cached functions are the worker's own, where globals travel by value."""
+    return {}
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(None)
 
 
 def in_use(name: str) -> None:
     """A worker's task goes on with what an earlier one left under this name."""
-    _unused.pop(name, None)
+    _unused().pop(name, None)
 
 
 def left_over(name: str, release: Callable[[], object]) -> None:
     """A task leaves something large for the next one of its kind; a task of another kind releases it."""
-    _unused[name] = release
+    _unused()[name] = release
 
 
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on, and other tasks need the room."""
     pa.default_memory_pool().release_unused()
-    if hasattr(_libc, "malloc_trim"):
-        _libc.malloc_trim(0)
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
-    if _unused:
-        while _unused:
-            _unused.popitem()[1]()
+    if left := _unused():
+        while left:
+            left.popitem()[1]()
         trim()
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
