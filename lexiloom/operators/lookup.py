@@ -240,12 +240,12 @@ class CodeTableModel(_Joined):
 MAX_CLASSES = 10_000
 
 
-class _Supervised(EncoderEstimator):
+class Supervised(EncoderEstimator):
     labelCol = param("labelCol", "target column", TypeConverters.toString)
     task = param("task", "regression, binary or multiclass", TypeConverters.toString)
 
-    def targets(self, df: DataFrame) -> tuple[DataFrame, list]:
-        """Rows (key, y0, y1, ...): the target itself, or one 0/1 column per class."""
+    def targets(self, df: DataFrame, *kept: str) -> tuple[DataFrame, list]:
+        """Rows (key, y0, y1, ..., kept): the target itself, or one 0/1 column per class."""
         key, y = stringify(F.col(self.getInputCol())).alias("key"), F.col(self.get("labelCol"))
         if self.get("task") == "multiclass":
             classes = [r[0] for r in df.select(y).distinct().orderBy(y).limit(MAX_CLASSES + 1).collect()]
@@ -254,15 +254,50 @@ class _Supervised(EncoderEstimator):
             columns = [(y == F.lit(c)).cast("double").alias(f"y{i}") for i, c in enumerate(classes)]
         else:
             classes, columns = [None], [y.cast("double").alias("y0")]
-        return df.select(key, *columns), classes
+        return df.select(key, *columns, *kept), classes
 
     def codes(self, table: DataFrame, default: list[float]) -> EncoderModel:
         codes = checkpointed(table)
         meta = {"rows": codes.count(), "cells": len(default), "width": len(default), "default": default}
         return self.build(CodeTableModel({"codes": codes}, meta))
 
+    def _fit(self, df):
+        rows, classes = self.targets(df)
+        ys = [f"y{i}" for i in range(len(classes))]
+        return self.from_sums(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]), ys)
+
+    def from_sums(self, per_key: DataFrame, ys: list[str]) -> EncoderModel:
+        """The model from (key, n, y0, y1, ...): rows and target sums of each string."""
+        raise NotImplementedError
+
+    def fit_folds(self, folds: DataFrame, n_splits: int) -> list[EncoderModel]:
+        """A model for each fold's training rows, of rows that hold their ``test_folds``.
+
+        The rows are summed once by string and fold; a training fold's sums are the total less its test part.
+        """
+        rows, classes = self.targets(folds, "test_folds")
+        ys = [f"y{i}" for i in range(len(classes))]
+        return [self.from_sums(part, ys) for part in training_sums(rows, ["key"], ys, n_splits)]
+
+
+def training_sums(rows: DataFrame, group: list[str], ys: list[str], n_splits: int) -> list[DataFrame]:
+    """For each fold (group, n, ys) of the rows outside its test part, from one aggregation of (group, ys, test_folds).
+
+    Rows are added up per task by group and fold before they are shuffled. Groups without training rows are left out.
+    """
+    every = F.explode(F.concat(F.array(F.lit(-1)), F.col("test_folds"))).alias("fold")
+    sums = rows.select(*group, *ys, every).groupBy(*group, "fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys])
+    by_fold = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", *ys).alias("s")))).alias("_sums")
+    held = checkpointed(sums.groupBy(*group).agg(by_fold))
 
-class TargetMeanEncoder(_Supervised):
+    def left(fold: int, name: str) -> Column:
+        part = F.try_element_at("_sums", F.lit(fold))[name]
+        return (F.try_element_at("_sums", F.lit(-1))[name] - F.coalesce(part, F.lit(0))).alias(name)
+
+    return [held.select(*group, left(f, "n"), *[left(f, y) for y in ys]).filter("n > 0") for f in range(n_splits)]
+
+
+class TargetMeanEncoder(Supervised):
     """Target mean of the category shrunk towards the overall mean.
 
     The weight of a category's own mean is n_x / (n_x + n / k) for n rows and k
@@ -271,10 +306,7 @@ class TargetMeanEncoder(_Supervised):
 
     defaults = {"labelCol": "y", "task": "regression"}
 
-    def _fit(self, df):
-        rows, classes = self.targets(df)
-        ys = [f"y{i}" for i in range(len(classes))]
-        per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys])
+    def from_sums(self, per_key, ys):
         total = per_key.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
                             *[F.sum(y).alias(y) for y in ys]).first()
         means = [total[y] / total["n"] for y in ys]
@@ -284,33 +316,32 @@ class TargetMeanEncoder(_Supervised):
         return self.codes(per_key.select("key", code.alias("code")), means)
 
 
-class ClassFrequencyEncoder(_Supervised):
+class ClassFrequencyEncoder(Supervised):
     """P(string | class) for each class in sorted order; zeros for unseen strings."""
 
     defaults = {"labelCol": "y", "task": "multiclass"}
 
-    def _fit(self, df):
+    def targets(self, df, *kept):
         if self.get("task") == "regression":
             raise ValueError("class frequencies need a classification target")
-        rows, classes = self.copy({self.task: "multiclass"}).targets(df)
-        ys = [f"y{i}" for i in range(len(classes))]
-        per_key = rows.groupBy("key").agg(*[F.sum(y).alias(y) for y in ys])
+        return super(ClassFrequencyEncoder, self.copy({self.task: "multiclass"})).targets(df, *kept)
+
+    def from_sums(self, per_key, ys):
         total = per_key.agg(*[F.sum(y).alias(y) for y in ys]).first()
-        code = F.array(*[F.col(y) / F.lit(total[y]) for y in ys])
+        # A class without training rows has no strings.
+        code = F.array(*[F.col(y) / F.lit(total[y]) if total[y] else F.lit(0.0) for y in ys])
         return self.codes(per_key.select("key", code.alias("code")), [0.0] * len(ys))
 
 
-class LeaveOneOutEncoder(_Supervised):
+class LeaveOneOutEncoder(Supervised):
     """Target mean by category; strings seen once or never take the overall mean."""
 
     defaults = {"labelCol": "y", "task": "regression"}
 
-    def _fit(self, df):
-        rows, _ = self.targets(df)
-        per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("y0").alias("s"))
-        total = per_key.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    def from_sums(self, per_key, ys):
+        total = per_key.agg(F.sum("n").alias("n"), F.sum("y0").alias("s")).first()
         mean = total["s"] / total["n"]
-        value = F.when(F.col("n") > 1, F.col("s") / F.col("n")).otherwise(F.lit(mean))
+        value = F.when(F.col("n") > 1, F.col("y0") / F.col("n")).otherwise(F.lit(mean))
         return self.codes(per_key.select("key", F.array(value).alias("code")), [mean])
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.base import param
+from lexiloom.operators.lookup import training_sums
 from lexiloom.operators.metrics import evaluator
 from lexiloom.operators.ranking import lowest
 from lexiloom.operators.ridge import N_FOLDS, RidgeCV
@@ -66,9 +67,30 @@ def scale_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c) / F.lit(row[c] or 1.0) for c in columns})
 
 
+def fold_deviations(folds: DataFrame, columns: list[str], n_splits: int) -> list[dict[str, float]]:
+    """Population deviations of plain columns on each fold's training rows, from one aggregation.
+
+    Squares are taken around the columns' overall means, so that totals less parts stay exact enough.
+    """
+    means = folds.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()
+    apart = {c: F.col(c).cast("double") - F.lit(means[c]) for c in columns}
+    rows = folds.select("test_folds", F.lit(0).alias("all"), *[x.alias(f"s_{c}") for c, x in apart.items()],
+                        *[(x * x).alias(f"q_{c}") for c, x in apart.items()])
+    out = []
+    for part in training_sums(rows, ["all"], [f"{k}_{c}" for k in "sq" for c in columns], n_splits):
+        row = part.first()
+        out.append({c: float(np.sqrt(max(row[f"q_{c}"] / row["n"] - (row[f"s_{c}"] / row["n"]) ** 2, 0.0))) if row else 0.0
+                    for c in columns})
+    return out
+
+
 def balanced_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     """Add n / (C * n_class); class sizes are aggregated first and joined."""
-    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
+    return weighted_by(df, df.groupBy(target).agg(F.count(F.lit(1)).alias("_n")), target, name)
+
+
+def weighted_by(df: DataFrame, sizes: DataFrame, target: str, name: str = "weight") -> DataFrame:
+    """The same for given class sizes (target, _n)."""
     weight = (sizes.agg(F.sum("_n") / F.count(F.lit(1))).scalar() / F.col("_n")).alias(name)
     return df.join(settled(sizes.select(target, weight)), target)
 

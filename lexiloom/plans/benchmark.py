@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.models import build_estimator
 from lexiloom.operators.prep import multi_encode_columns, multi_encode_roles, preprocess
 from lexiloom.operators.splits import rare_category_folds, shuffle_folds, stratified_folds
-from lexiloom.plans.features import fit_predict_fold
+from lexiloom.plans.features import FoldStatistics, feature_pipeline, fit_predict_fold
 from lexiloom.roles import ColumnRoles
 from lexiloom.session import checkpointed
 from lexiloom.sources.ledger import config_text, pending, read_results, record_run
@@ -88,10 +88,13 @@ def _run_folds(folds: DataFrame, roles: ColumnRoles, run: dict, classes: int, s:
     def classifier(task, features, label, width, weight):
         return build(run["classifier"], task, features, label, width, classes, weight, s.model_seed)
 
+    stages = feature_pipeline(roles, encoder, run["reduction"], s.n_components, vectors).getStages()
+    statistics = FoldStatistics(folds, roles, s.n_splits, stages)
+
     def one(fold: int) -> tuple:
         tested = F.array_contains("test_folds", fold)
         return fit_predict_fold(folds.filter(~tested), folds.filter(tested), roles, encoder,
-                                run["reduction"], s.n_components, classifier, fold, vectors)
+                                run["reduction"], s.n_components, classifier, fold, vectors, statistics)
 
     with ThreadPoolExecutor(s.concurrent_folds) as pool:
         return list(pool.map(inheritable_thread_target(folds.sparkSession)(one), range(s.n_splits)))

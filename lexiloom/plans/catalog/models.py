@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import cells
 from lexiloom.operators import models
+from lexiloom.operators.lookup import TargetMeanEncoder
 from lexiloom.operators.models import Nystroem
 from lexiloom.operators.ridge import RidgeCV
-from lexiloom.operators.splits import stratified_split
+from lexiloom.operators.splits import shuffle_folds, stratified_folds
 from lexiloom.plans.benchmark import Settings, run_benchmark
 from lexiloom.plans.catalog.common import rounded, table
 from lexiloom.plans.features import column_transformer, fit_predict_fold
 from lexiloom.roles import ColumnRoles
-from lexiloom.session import scratch_path
+from lexiloom.session import checkpointed, scratch_path
 
 PART_ROLES = ColumnRoles({"p_type": "OneHotEncoderDense", "p_size": "Numerical", "p_brand": "TargetEncoder",
                           "p_retailprice": "y"}, "regression")
@@ -117,46 +121,58 @@ def nystroem_linear(spark, sf_dir):
     return _predictions(models.nystroem_linear("multiclass", "features", "label", None, 0, (20,), (2,)).fit(points), points)
 
 
-def _linear(task, features, label, width, weight):
-    from pyspark.ml.classification import LogisticRegression
-
-    learner = LogisticRegression(featuresCol=features, labelCol=label, regParam=0.01, maxIter=50)
-    return learner.setWeightCol(weight) if weight else learner
-
-
 def _fold_rows(spark, rows):
     return spark.createDataFrame([(int(r[0]), int(r[1]), int(r[2]), float(r[3])) for r in rows],
                                  "fold bigint, n_train_samples bigint, n_train_features bigint, score double")
 
 
 def fit_predict_fold_query(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    folds = stratified_split(docs, ["doc_id"], "y", 2, 1 / 3, 1).persist()
+    """Two folds of the labelled documents with the tuned linear classifier."""
+    folds = checkpointed(stratified_folds(_documents(spark, sf_dir), ["doc_id"], "y", 2, 1 / 3, 1))
+    learner = lambda task, features, label, width, weight: models.build_estimator(
+        "L2RegularizedLinearModel", task, features, label, width, 2, weight)
     results = []
     for fold in range(2):
-        rows = folds.filter(F.col("fold") == fold)
-        results.append(fit_predict_fold(rows.filter(~F.col("is_test")), rows.filter("is_test"), TEXT_ROLES,
-                                        "MinHashEncoder", None, 10, _linear, fold))
+        tested = F.array_contains("test_folds", fold)
+        results.append(fit_predict_fold(folds.filter(~tested), folds.filter(tested), TEXT_ROLES, "MinHashEncoder", None, 10, learner, fold))
     return _fold_rows(spark, results)
 
 
+def fold_target_means(spark, sf_dir):
+    """Target-mean codes of 20 folds' training rows, all from one aggregation by string and fold."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.col("p_retailprice").alias("y"))
+    folds = checkpointed(shuffle_folds(part, ["p_partkey"], 20, 1 / 3, 3))
+    encoder = TargetMeanEncoder(inputCol="p_type", outputCol="code", labelCol="y")
+    codes = [m.tables["codes"].select(F.lit(f).cast("bigint").alias("fold"), "key", F.col("code")[0].alias("value"))
+             for f, m in enumerate(encoder.fit_folds(folds, 20))]
+    return reduce(DataFrame.unionAll, codes).withColumn("value", rounded("value", 4))
+
+
 def benchmark_matrix(spark, sf_dir):
+    """Twenty folds of the parts with two encoders and the tuned ridge, each run stored once."""
     path = scratch_path(spark, "benchmark")
-    source = {"documents": lambda s: (_documents(s, sf_dir), TEXT_ROLES, ["doc_id"], -1)}
-    build = lambda name, task, features, label, width, classes, weight, seed: _linear(task, features, label, width, weight)
-    settings = Settings(n_splits=2, n_components=5)
+    source = {"part": lambda s: (table(s, sf_dir, "part").select("p_partkey", *PART_ROLES.roles), PART_ROLES, ["p_partkey"], -1)}
     for _ in range(2):  # the second call finds every run stored
-        done = run_benchmark(spark, source, ["TargetEncoder", "MinHashEncoder"], [None], ["L2"], path, settings, build)
+        done = run_benchmark(spark, source, ["TargetEncoder", "MinHashEncoder"], [None], ["L2RegularizedLinearModel"], path,
+                             Settings(n_components=30))
     return done.select("config_key", "fold", "n_train_samples", "n_train_features", "score")
 
 
 QUERIES = {
-    "column_transformer": column_transformer_query, "fit_predict_fold": fit_predict_fold_query,
+    "column_transformer": column_transformer_query, "fit_predict_fold": fit_predict_fold_query, "fold_target_means": fold_target_means,
     **{f.__name__: f for f in (
         linear_classifier, linear_classifier_balanced, ridge, ridge_coefficients, gradient_boosting, gradient_boosting_multiclass,
         boosting_grid, mlp_classifier, grid_search, nystroem, nystroem_linear, benchmark_matrix)}}
 
 ORACLES = {
+    "fold_target_means": """
+        WITH ranked AS (SELECT f, p_type AS key, p_retailprice AS y, row_number() OVER (PARTITION BY f
+                            ORDER BY md5(p_partkey || '|' || f || '|3'), p_partkey) AS r, count(*) OVER (PARTITION BY f) AS n
+                        FROM part, range(20) AS folds(f)),
+        train AS (SELECT f, key, y FROM ranked WHERE r > ceil(n * (1e0 / 3))),
+        t AS (SELECT f, key, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM train GROUP BY 1, 2),
+        a AS (SELECT f, sum(n) / count(*) AS prior, sum(s) / sum(n) AS mean FROM t GROUP BY 1)
+        SELECT f::BIGINT AS fold, key, round(n / (n + prior) * s / n + (1 - n / (n + prior)) * mean, 4) + 0.0e0 AS value FROM t JOIN a USING (f)""",
     "ridge": """
         WITH l AS (SELECT l_orderkey AS vec_id, l_quantity::DOUBLE AS p, l_discount::DOUBLE AS q, l_extendedprice::DOUBLE AS y,
                           ('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 6))::BIGINT % 3 AS f FROM lineitem),

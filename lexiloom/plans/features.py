@@ -10,8 +10,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.lookup import Supervised, training_sums
 from lexiloom.operators.metrics import accuracy, average_precision, r2
-from lexiloom.operators.models import Scaler, balanced_weights
+from lexiloom.operators.models import Scaler, balanced_weights, weighted_by
+from lexiloom.operators.reduce import ReducedEncoder
 from lexiloom.plans.encoders import column_encoder
 from lexiloom.roles import NUMERICAL, ONE_HOT, ONE_HOT_DROP_LAST, SPECIAL, TARGET_ENCODED, ColumnRoles
 
@@ -39,6 +41,34 @@ def column_transformer(roles: ColumnRoles, encoder: str, reduction: str | None =
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=list(blocks.values()), outputCol=output)])
 
 
+def _supervised(stage: Estimator) -> Supervised | None:
+    """The encoder that learns target sums by string, where the stage is one without a reduction."""
+    if isinstance(stage, ReducedEncoder) and (stage.method is None or stage.n_components is None):
+        stage = stage.encoder
+    return stage if isinstance(stage, Supervised) else None
+
+
+class FoldStatistics:
+    """What every training fold's encoders and weights need of the target, from one aggregation per column.
+
+    Rows hold their ``test_folds``. The encoders that learn sums by string, and the class sizes, come from totals less
+    the folds' test parts; the other encoders are fitted on the fold's rows.
+    """
+
+    def __init__(self, folds: DataFrame, roles: ColumnRoles, n_splits: int, stages: list):
+        self.roles, self.sizes = roles, None
+        self.models = {i: encoder.fit_folds(folds, n_splits) for i, encoder in enumerate(map(_supervised, stages)) if encoder is not None}
+        if roles.task == "binary":
+            self.sizes = training_sums(folds.select(roles.target, "test_folds"), [roles.target], [], n_splits)
+
+    def fitted(self, stages: list, fold: int) -> list:
+        """The stages with those that are fitted already in their place."""
+        return [self.models[i][fold] if i in self.models else stage for i, stage in enumerate(stages)]
+
+    def weighted(self, encoded: DataFrame, fold: int, name: str) -> DataFrame:
+        return weighted_by(encoded, self.sizes[fold].withColumnRenamed("n", "_n"), self.roles.target, name)
+
+
 def multi_encoder(column: str, encoders: list[str], output: str, n_components: int | None = None, **options) -> Pipeline:
     """Several encoders of one column, assembled; the column itself is not copied."""
     blocks = [f"_{column}_{i}" for i in range(len(encoders))]
@@ -65,20 +95,25 @@ def score(task: str, predicted: DataFrame, target: str) -> float:
 
 
 def fit_predict_fold(train: DataFrame, test: DataFrame, roles: ColumnRoles, encoder: str, reduction: str | None,
-                     n_components: int | None, classifier, fold: int, vectors: DataFrame | None = None) -> tuple:
+                     n_components: int | None, classifier, fold: int, vectors: DataFrame | None = None,
+                     statistics: FoldStatistics | None = None) -> tuple:
     """Fit on train only, score on test: (fold, rows, features, score, encoding s, training s).
 
     ``classifier`` is called with (task, features, label, width, weight) once the width
-    is known. Encoded tables are materialised around the timers.
+    is known. Encoded tables are materialised around the timers. ``statistics`` hold what is known of the training
+    rows already.
     """
     began = time.perf_counter()
-    encoder_model: PipelineModel = feature_pipeline(roles, encoder, reduction, n_components, vectors).fit(train)
+    pipeline = feature_pipeline(roles, encoder, reduction, n_components, vectors)
+    if statistics is not None:
+        pipeline = Pipeline(stages=statistics.fitted(pipeline.getStages(), fold))
+    encoder_model: PipelineModel = pipeline.fit(train)
     kept = [FEATURES, roles.target]
     encoded = encoder_model.transform(train).select(*kept)
     weight = None
     if roles.task == "binary":
         weight = "weight"
-        encoded = balanced_weights(encoded, roles.target, weight)
+        encoded = balanced_weights(encoded, roles.target, weight) if statistics is None else statistics.weighted(encoded, fold, weight)
     encoded = encoded.persist()
     n_rows = encoded.count()
     width = encoded.select(F.size(vector_to_array(FEATURES))).first()[0]
