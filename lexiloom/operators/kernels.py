@@ -2,18 +2,23 @@
 
 The index holds the categories' n-grams. Its n-gram counts join with those of each
 distinct string, so no strings x categories or strings x vocabulary matrix is built.
+Similarities are sparse. Kernels whose every entry differs from zero are kept as what
+strings share with categories (sparse), plus one number for the string, plus another one
+times a row that is the same for all strings; nothing of their width is built per string.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells
 from lexiloom.functions.text import char_ngrams
-from lexiloom.operators.base import (
-    EncoderEstimator, EncoderModel, HasCategories, categories_table, dense, param, sparse, PIVOT_WIDTH,
-)
+from lexiloom.operators.base import EncoderEstimator, EncoderModel, HasCategories, PIVOT_WIDTH, categories_table, param
 from lexiloom.operators.counts import term_counts
 from lexiloom.operators.ranking import dense_ordinals
 from lexiloom.session import checkpointed, small
@@ -21,39 +26,80 @@ from lexiloom.session import checkpointed, small
 
 class _KernelModel(EncoderModel):
     def matched(self, keys: DataFrame) -> DataFrame:
-        """(key, size, term, count) left-joined with the index; unmatched keys remain."""
+        """(_id, size, term, count) left-joined with the index; unmatched strings remain, named by a digest."""
         grams = char_ngrams(F.col("key"), self.meta["lo"], self.meta["hi"])
-        sized = keys.select("key", F.size(grams).alias("size"), F.explode_outer(grams).alias("term"))
-        counts = sized.groupBy("key", "size", "term").agg(F.count("term").alias("count"))
+        sized = keys.select(_digest(), F.size(grams).alias("size"), F.explode_outer(grams).alias("term"))
+        counts = sized.groupBy("_id", "size", "term").agg(F.count("term").alias("count"))
         return counts.join(small(self.tables["index"], self.meta["rows"], 5), "term", "left")
 
     def feature_names(self):
         return [r["key"] for r in self.tables["categories"].orderBy("component").toLocalIterator()]
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5("key")).alias("_id")
+
+
+def _listed(component: Column, value: Column) -> Column:
+    """A string's (component, value) pairs in order; rows whose value is null only keep the string."""
+    pairs = F.collect_list(F.when(value.isNotNull(), F.struct(component.cast("int").alias("i"), value.alias("v"))))
+    return F.sort_array(pairs).alias("_c")
+
+
+def _code(*more: Column) -> Column:
+    return F.struct(F.transform("_c", lambda c: c["i"]).alias("indices"), F.transform("_c", lambda c: c["v"]).alias("values"),
+                    *more).alias("features")
+
+
 class SimilarityModel(_KernelModel):
-    """Multiset Jaccard of n-grams: shared / (all of both - shared)."""
+    """Multiset Jaccard of n-grams: shared / (all of both - shared), for the categories that share one."""
 
     def encode(self, keys: DataFrame) -> DataFrame:
+        shared = self.matched(keys).groupBy("_id", "size", "component", "m").agg(F.sum(F.least("count", "n")).alias("s"))
+        value = F.col("s") / (F.col("size") + F.col("m") - F.col("s"))
+        found = shared.groupBy("_id").agg(_listed(F.col("component"), value)).select("_id", _code())
+        return keys.select("key", _digest()).join(found, "_id").select("key", "features")
+
+
+class StructuredModel(_KernelModel):
+    """Codes ``values`` at ``indices`` + ``offset`` + ``scale`` * the model's constant row, for any number of categories.
+
+    Up to ``PIVOT_WIDTH`` categories they can be written out; reductions multiply them at any width.
+    """
+
+    def constants(self) -> np.ndarray:
         if self.width > PIVOT_WIDTH:
-            return self._sparse(keys)
-        shared = dense(self.matched(keys), self.width, F.least("count", "n").cast("double"), ("key", "size"))
-        sizes = F.array(*[F.lit(int(n)) for n in self.meta["sizes"]])
-        jaccard = F.zip_with("features", sizes, lambda s, n: F.coalesce(
-            F.try_divide(s, F.col("size") + n - s), F.lit(0.0)))
-        return shared.select("key", jaccard.alias("features"))
+            raise ValueError(f"a code of {self.width} categories is not written out, reduce it or restrict it to prototypes")
+        if not hasattr(self, "_constants"):
+            rows = self.tables["constants"].orderBy("component").toArrow()
+            self._constants = rows["constant"].to_numpy()
+        return self._constants
+
+    def written_out(self, features: Column, spark) -> Column:
+        sent = spark.sparkContext.broadcast(self.constants())
 
+        @F.arrow_udf("array<double>")
+        def dense(codes: pa.Array) -> pa.Array:
+            constant = sent.value
+            offset, scale = (codes.field(f).to_numpy(zero_copy_only=False)[:, None] for f in ("offset", "scale"))
+            out = offset + scale * constant
+            lists = codes.field("values")
+            rows = np.repeat(np.arange(len(codes)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            out[rows, codes.field("indices").flatten().to_numpy(zero_copy_only=False)] += lists.flatten().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(constant))
+            return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
-    def _sparse(self, keys: DataFrame) -> DataFrame:
-        """With very many categories: only those that share an n-gram are stored."""
-        pairs = self.matched(keys).groupBy("key", "size", "component").agg(
-            F.sum(F.least("count", "n")).alias("s"))
-        sizes = self.tables["index"].groupBy("component").agg(F.sum("n").alias("m"))
-        joined = pairs.join(small(sizes, self.width), "component", "left")
-        return sparse(joined.withColumn("value", F.col("s") / (F.col("size") + F.col("m") - F.col("s"))))
+        return dense(features)
 
+    def encode_long(self, keys: DataFrame) -> DataFrame:
+        encoded = self.encode(keys)
+        return cells(encoded.select("key", self.written_out(F.col("features"), keys.sparkSession).alias("features")), ["key"], "features")
 
-class FisherModel(_KernelModel):
+    def as_vector(self, encoded: DataFrame) -> Column:
+        return array_to_vector(self.written_out(F.col("features"), encoded.sparkSession))
+
+
+class FisherModel(StructuredModel):
     """K(i, j): sum over n-grams with equal counts in i and j of 1 / P(that count).
 
     With q_m the inverse share of categories lacking m, this is
@@ -64,13 +110,11 @@ class FisherModel(_KernelModel):
     def encode(self, keys: DataFrame) -> DataFrame:
         count = F.least("count", F.lit(1)) if self.meta["compare"] == "presence" else F.col("count")
         value = F.col("q") + F.when(count == F.col("n"), F.col("w")).otherwise(0.0)
-        shifted = self.matched(keys).withColumn("component", F.col("component") + 1)
-        sums = dense(shifted, self.width + 1, value)
-        constant = F.array(*[F.lit(float(b)) for b in self.meta["base"]])
-        own = F.col("features")[0]
-        pairs = F.slice("features", 2, self.width)
-        kernel = F.zip_with(pairs, constant, lambda p, b: p + b - own)
-        return sums.select("key", kernel.alias("features"))
+        sums = self.matched(keys).groupBy("_id", "component").agg(F.sum(value).alias("s"))
+        pair, own = F.when(F.col("component") >= 0, F.col("s")), F.sum(F.when(F.col("component") < 0, F.col("s")))
+        found = sums.groupBy("_id").agg(_listed(F.col("component"), pair), F.coalesce(own, F.lit(0.0)).alias("own"))
+        found = found.select("_id", _code((-F.col("own")).alias("offset"), F.lit(1.0).alias("scale")))
+        return keys.select("key", _digest()).join(found, "_id").select("key", "features")
 
 
 class _Kernel(EncoderEstimator, HasCategories):
@@ -84,25 +128,20 @@ class _Kernel(EncoderEstimator, HasCategories):
         terms = term_counts(cats.select("key"), "char", lo, hi).withColumnRenamed("count", "n")
         return cats, terms.join(cats, "key")
 
-    def kernel_model(self, cls, cats: DataFrame, index: DataFrame, **meta) -> EncoderModel:
+    def kernel_model(self, cls, cats: DataFrame, index: DataFrame, constants: DataFrame | None = None, **meta) -> EncoderModel:
         index = checkpointed(index)
         meta |= {"rows": index.count(), "width": cats.count(), "lo": self.get("ngramMin"), "hi": self.get("ngramMax")}
-        return self.build(cls({"index": index, "categories": cats.select("key", "component")}, meta))
-
-    def bounded(self, cats: DataFrame) -> None:
-        """Kernels whose every entry differs from zero need a dense code."""
-        k = cats.count()
-        if k > PIVOT_WIDTH:
-            raise ValueError(f"a dense code of {k} categories is not supported, restrict them to prototypes")
+        tables = {"index": index, "categories": cats.select("key", "component")}
+        if constants is not None:
+            tables["constants"] = checkpointed(constants)
+        return self.build(cls(tables, meta))
 
 
 class SimilarityEncoder(_Kernel):
     def _fit(self, df):
         cats, terms = self.categories_with_terms(df)
-        grams = F.size(char_ngrams(F.col("key"), self.get("ngramMin"), self.get("ngramMax")))
-        few = cats.orderBy("component").limit(PIVOT_WIDTH)
-        sizes = [r[0] for r in few.select(grams).collect()]
-        return self.kernel_model(SimilarityModel, cats, terms.select("term", "component", "n"), sizes=sizes)
+        sizes = terms.groupBy("component").agg(F.sum("n").alias("m"))
+        return self.kernel_model(SimilarityModel, cats, terms.join(sizes, "component").select("term", "component", "n", "m"))
 
 
 class FisherKernelEncoder(_Kernel):
@@ -116,7 +155,6 @@ class FisherKernelEncoder(_Kernel):
         if self.get("compare") not in ("count", "presence") or self.get("theta") not in ("uniform", "frequency"):
             raise ValueError("compare is count or presence, theta is uniform or frequency")
         cats, terms = self.categories_with_terms(df)
-        self.bounded(cats)
         presence, uniform = self.get("compare") == "presence", self.get("theta") == "uniform"
         held = terms.select("term", "component", (F.lit(1) if presence else F.col("n")).alias("n"),
                             (F.lit(1) if uniform else F.col("count")).cast("bigint").alias("mass"))
@@ -129,25 +167,29 @@ class FisherKernelEncoder(_Kernel):
         index = checkpointed(index.unionByName(q.select(
             "term", F.lit(-1).cast("bigint").alias("component"), F.lit(0).cast(index.schema["n"].dataType).alias("n"),
             F.lit(0.0).alias("w"), "q")))
-        own = {r["component"]: r["s"] for r in index.groupBy("component").agg(F.sum("q").alias("s")).collect()}
-        everything = own.get(-1, 0.0)
-        base = [everything - own.get(r["component"], 0.0)
-                for r in cats.orderBy("component").select("component").collect()]
-        return self.kernel_model(FisherModel, cats, index, base=base, compare=self.get("compare"))
+        own = index.groupBy("component").agg(F.sum("q").alias("s"))
+        everything = index.filter("component = -1").agg(F.coalesce(F.sum("q"), F.lit(0.0))).first()[0]
+        constants = cats.select("component").join(own, "component", "left").select(
+            "component", (F.lit(everything) - F.coalesce("s", F.lit(0.0))).alias("constant"))
+        return self.kernel_model(FisherModel, cats, index, constants, compare=self.get("compare"))
 
 
-class LinearMixtureModel(_KernelModel):
+class LinearMixtureModel(StructuredModel):
     """One topic per category with the linear score counts . beta - 1."""
 
     def encode(self, keys: DataFrame) -> DataFrame:
-        scores = dense(self.matched(keys), self.width, F.col("count") * F.col("n"))
-        linear = F.transform("features", lambda s: s - 1)
-        theta = F.array(*[F.lit(float(t)) for t in self.meta["theta"]])
-        joint = F.zip_with("linear", theta, lambda s, t: s * t)
-        total = F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)
-        out = "linear" if self.meta["fisher"] else "joint"
-        return (scores.select("key", linear.alias("linear")).withColumn("joint", joint)
-                .select("key", F.transform(out, lambda s: F.try_divide(s, total)).alias("features")))
+        sums = self.matched(keys).groupBy("_id", "component").agg(
+            F.sum(F.col("count") * F.col("n")).alias("s"), F.sum(F.col("count") * F.col("t")).alias("t"))
+        fisher = self.meta["fisher"]
+        listed = _listed(F.col("component"), F.col("s") if fisher else F.col("t"))
+        # The scores' sum over all topics, each as probable as its category: the shares add up to one.
+        total = (F.coalesce(F.sum("t"), F.lit(0.0)) - 1).alias("total")
+        less = F.try_divide(F.lit(-1.0), F.col("total"))
+        found = sums.groupBy("_id").agg(listed, total).withColumn(
+            "_c", F.transform("_c", lambda c: F.struct(c["i"].alias("i"), F.try_divide(c["v"], F.col("total")).alias("v"))))
+        found = found.select("_id", _code(less.alias("offset") if fisher else F.lit(0.0).alias("offset"),
+                                          F.lit(0.0).alias("scale") if fisher else less.alias("scale")))
+        return keys.select("key", _digest()).join(found, "_id").select("key", "features")
 
 
 class LinearMixtureEncoder(_Kernel):
@@ -158,9 +200,9 @@ class LinearMixtureEncoder(_Kernel):
 
     def _fit(self, df):
         cats, terms = self.categories_with_terms(df)
-        self.bounded(cats)
+        rows = cats.agg(F.sum("count")).first()[0] or 1
         size = terms.groupBy("key").agg(F.sum("n").alias("size"))
-        index = terms.join(size, "key").select("term", "component", (F.col("n") / F.col("size")).alias("n"))
-        counts = [r["count"] for r in cats.orderBy("component").select("count").collect()]
-        theta = [c / sum(counts) for c in counts]
-        return self.kernel_model(LinearMixtureModel, cats, index, theta=theta, fisher=self.get("fisher"))
+        beta = F.col("n") / F.col("size")
+        index = terms.join(size, "key").select("term", "component", beta.alias("n"), (beta * F.col("count") / F.lit(rows)).alias("t"))
+        constants = cats.select("component", (F.col("count") / F.lit(rows)).alias("constant"))
+        return self.kernel_model(LinearMixtureModel, cats, index, constants, fisher=self.get("fisher"))

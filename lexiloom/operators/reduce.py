@@ -16,7 +16,9 @@ from pyspark.ml.param import Params
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import cells, sparse_cells
 from lexiloom.operators.base import EncoderModel
+from lexiloom.operators.kernels import StructuredModel
 from lexiloom.operators.subspace import leading
 from lexiloom.session import BROADCAST_CELLS, checkpointed, small
 
@@ -125,18 +127,34 @@ class ReducedModel(EncoderModel):
     def _placed(self, encoded: DataFrame) -> DataFrame:
         sparse = encoded.schema["features"].dataType.typeName() == "struct"
         out = projected(F.col("features"), *self._sent(), sparse, encoded.sparkSession)
-        return encoded.withColumn("features", self._shifted(out))
+        return encoded.withColumn("features", self._shifted(self._structured(out, F.col("features.offset"), F.col("features.scale"))))
+
+    def _structured(self, products: Column, offset: Column, scale: Column) -> Column:
+        """Products of a code's sparse part with what its two numbers add: their row's sums come from tables once."""
+        if not isinstance(self.inner, StructuredModel):
+            return products
+        if not hasattr(self, "_rows_of_numbers"):
+            joined = self.tables["directions"].join(self.inner.tables["constants"], "component")
+            sums = [F.sum(F.col("w")[j]) for j in range(self.width)] + [F.sum(F.col("w")[j] * F.col("constant")) for j in range(self.width)]
+            found = [x or 0.0 for x in joined.agg(*sums).first()]
+            self._rows_of_numbers = found[:self.width], found[self.width:]
+        ones, constants = (F.array(*[F.lit(float(x)) for x in row]) for row in self._rows_of_numbers)
+        return F.zip_with(F.zip_with(products, ones, lambda p, x: p + offset * x), constants, lambda p, x: p + scale * x)
 
     def encode(self, keys: DataFrame) -> DataFrame:
         if self.local:
             return self._placed(self.inner.encode(keys)).select("key", "features")
         named = keys.select("key", F.unhex(F.md5("key")).alias("_id"))
-        cells = self.inner.encode_long(named).select(F.unhex(F.md5("key")).alias("key"), "component", "value")
-        found = project(cells, self.tables["directions"], self.inner.width, self.width)
+        encoded = self.inner.encode(keys).select("key", F.unhex(F.md5("key")).alias("_id"), "features")
+        sparse = encoded.schema["features"].dataType.typeName() == "struct"
+        long = sparse_cells(encoded, ["_id"]) if sparse else cells(encoded, ["_id"], "features").filter("value <> 0")
+        found = project(long.withColumnRenamed("_id", "key"), self.tables["directions"], self.inner.width, self.width)
         # Strings whose code is all zeros have no cells; they project to the negative shift.
-        every = named.join(found.withColumnRenamed("key", "_id"), "_id", "left")
+        numbers = [F.col(f"features.{c}").alias(f"_{c}") for c in ("offset", "scale") if isinstance(self.inner, StructuredModel)]
+        every = encoded.select("key", "_id", *numbers).join(found.withColumnRenamed("key", "_id"), "_id", "left")
         zeros = F.array_repeat(F.lit(0.0), self.width)
-        return every.select("key", self._shifted(F.coalesce("features", zeros)).alias("features"))
+        out = self._structured(F.coalesce("features", zeros), F.col("_offset"), F.col("_scale"))
+        return every.select("key", self._shifted(out).alias("features"))
 
     def in_place(self, rows: DataFrame) -> DataFrame | None:
         placed = self.inner.in_place(rows) if self.local else None
@@ -170,7 +188,10 @@ class ReducedEncoder(Estimator, Params):
             directions = gaussian_directions(df.sparkSession, inner.width, k, self.seed)
         else:
             keys = self.encoder.keys(df)
-            weighted = inner.encode(keys.select("key")).join(keys, "key")
+            coded = inner.encode(keys.select("key"))
+            if isinstance(inner, StructuredModel):
+                coded = coded.withColumn("features", inner.written_out(F.col("features"), df.sparkSession))
+            weighted = coded.join(keys, "key")
             if self.method == "TruncatedSVD":
                 directions = svd_directions(weighted, inner.width, k)
             else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import cells
+from lexiloom.operators.kernels import StructuredModel
 from lexiloom.session import spread
 
 # Constants of the published 32-bit MurmurHash3, in decimal for SQL.
@@ -35,7 +36,10 @@ def long_codes(encoded: DataFrame, places: int = 6) -> DataFrame:
 
 def codes_of(model, df: DataFrame, column: str, places: int = 6) -> DataFrame:
     """A fitted model's codes of each distinct string."""
-    return long_codes(model.encode(df.select(F.col(column).alias("key")).distinct()), places)
+    keys = df.select(F.col(column).alias("key")).distinct()
+    if isinstance(model, StructuredModel):
+        return model.encode_long(keys).withColumn("value", rounded("value", places))
+    return long_codes(model.encode(keys), places)
 
 
 def grams_sql(source: str, lo: int = 2, hi: int = 4) -> str:

@@ -42,21 +42,34 @@ def one_hot_query(drop_last: bool):
     return query
 
 
-def similarity(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    model = SimilarityEncoder(categories="most_frequent", nPrototypes=10, **columns("p_name")).fit(part)
-    return codes_of(model, part, "p_name")
+TEN = {"categories": "most_frequent", "nPrototypes": 10}
 
 
-def fisher(compare: str, theta: str):
+def similarity(column: str = "p_name", name: str = "part", **categories):
+    """Similarities to the categories that share an n-gram."""
     def query(spark, sf_dir):
-        part = table(spark, sf_dir, "part")
-        model = FisherKernelEncoder(categories="most_frequent", nPrototypes=10, compare=compare, theta=theta,
-                                    **columns("p_name")).fit(part)
-        return codes_of(model, part, "p_name", 4)
+        rows = table(spark, sf_dir, name)
+        model = SimilarityEncoder(**categories, **columns(column)).fit(rows)
+        keys = rows.select(F.col(column).alias("key")).distinct()
+        return model.encode_long(keys).withColumn("value", rounded("value"))
+    return query
+
+
+def fisher(compare: str, theta: str, column: str = "p_name", name: str = "part", **categories):
+    def query(spark, sf_dir):
+        rows = table(spark, sf_dir, name)
+        model = FisherKernelEncoder(compare=compare, theta=theta, **categories, **columns(column)).fit(rows)
+        return codes_of(model, rows, column, 4)
     return query
 
 
+def fisher_names_reduced(spark, sf_dir):
+    """Kernels of all customer names with each other, projected without being written out."""
+    customers = table(spark, sf_dir, "customer")
+    model = encoders.column_encoder("NgramNaiveFisherKernel", "c_name", "code", "GaussianRandomProjection", 4).fit(customers)
+    return codes_of(model, customers, "c_name", 2)
+
+
 def minhash(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     model = MinHashEncoder(nComponents=10, **columns("c_name")).fit(customers)
@@ -148,10 +161,16 @@ def contrast(kind: str, **more):
 QUERIES = {
     "one_hot": one_hot_query(False),
     "one_hot_drop_last": one_hot_query(True),
-    "similarity": similarity,
-    "fisher_kernel_count_uniform": fisher("count", "uniform"),
-    "fisher_kernel_presence_frequency": fisher("presence", "frequency"),
-    "fisher_kernel_presence_uniform": fisher("presence", "uniform"),
+    "similarity": similarity(**TEN),
+    "similarity_all": similarity(),
+    "similarity_names": similarity("c_name", "customer", **TEN),
+    "fisher_kernel_count_uniform": fisher("count", "uniform", **TEN),
+    "fisher_kernel_presence_frequency": fisher("presence", "frequency", **TEN),
+    "fisher_kernel_presence_uniform": fisher("presence", "uniform", **TEN),
+    "fisher_kernel_all": fisher("count", "uniform"),
+    "fisher_kernel_all_presence": fisher("presence", "frequency"),
+    "fisher_kernel_names": fisher("count", "uniform", "c_name", "customer", **TEN),
+    "fisher_names_reduced": fisher_names_reduced,
     "minhash": minhash,
     "minhash_rows": minhash_rows,
     "minhash_texts": minhash_texts,
@@ -195,26 +214,31 @@ def _digits(column: str, base: int) -> str:
         FROM o, j, w"""
 
 
-TOP = "top AS (SELECT p_name AS key, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"
-CATS = f"{TOP}, cats AS (SELECT key, n, row_number() OVER (ORDER BY key) - 1 AS j FROM top)"
-KEYS = "keys AS (SELECT DISTINCT p_name AS key FROM part)"
+def _kernel_keys(column: str, name: str, limit: int | None) -> str:
+    """Distinct strings, and the categories: all of them, or the most frequent."""
+    most = f"ORDER BY 2 DESC, 1 LIMIT {limit}" if limit else ""
+    return f"""keys AS (SELECT DISTINCT {column} AS key FROM {name}),
+             top AS (SELECT {column} AS key, count(*) AS n FROM {name} GROUP BY 1 {most}),
+             cats AS (SELECT key, n, row_number() OVER (ORDER BY key) - 1 AS j FROM top)"""
+
 
-SIMILARITY_SQL = f"""
-    WITH {KEYS}, {CATS}, g AS ({grams_sql('keys')}),
+def _similarity_sql(column: str = "p_name", name: str = "part", limit: int | None = 10) -> str:
+    return f"""
+    WITH {_kernel_keys(column, name, limit)}, g AS ({grams_sql('keys')}),
          c AS (SELECT key, term, count(*) AS c FROM g GROUP BY 1, 2), s AS (SELECT key, sum(c) AS s FROM c GROUP BY 1),
-         shared AS (SELECT a.key, cats.j, sum(least(a.c, b.c)) AS m
-                    FROM c AS a JOIN c AS b USING (term) JOIN cats ON cats.key = b.key GROUP BY 1, 2)
-    SELECT s.key, cats.j AS component,
-           round(coalesce(m, 0)::DOUBLE / (s.s + t.s - coalesce(m, 0))::DOUBLE, 6) + 0.0e0 AS value
-    FROM s CROSS JOIN cats JOIN s AS t ON t.key = cats.key LEFT JOIN shared ON shared.key = s.key AND shared.j = cats.j"""
+         shared AS (SELECT a.key, cats.j, sum(least(a.c, b.c)) AS m, cats.key AS cat
+                    FROM c AS a JOIN c AS b USING (term) JOIN cats ON cats.key = b.key GROUP BY ALL)
+    SELECT s.key, shared.j AS component, round(m::DOUBLE / (s.s + t.s - m)::DOUBLE, 6) + 0.0e0 AS value
+    FROM shared JOIN s ON s.key = shared.key JOIN s AS t ON t.key = shared.cat"""
 
 
-def _fisher_sql(compare: str, theta: str) -> str:
+def _fisher_sql(compare: str, theta: str, column: str = "p_name", name: str = "part", limit: int | None = 10) -> str:
     """The definition itself: every string, category and fitted n-gram."""
     count = "least(count(*), 1)" if compare == "presence" else "count(*)"
-    mass = "1.0e0 / 10" if theta == "uniform" else "n / (SELECT sum(n) FROM cats)::DOUBLE"
+    mass = "1.0e0 / (SELECT count(*) FROM cats)" if theta == "uniform" else "n / (SELECT sum(n) FROM cats)::DOUBLE"
     return f"""
-        WITH {KEYS}, {CATS}, g AS ({grams_sql('keys')}), c AS (SELECT key, term, {count} AS c FROM g GROUP BY 1, 2),
+        WITH {_kernel_keys(column, name, limit)}, g AS ({grams_sql('keys')}),
+             c AS (SELECT key, term, {count} AS c FROM g GROUP BY 1, 2),
              vocabulary AS (SELECT DISTINCT term FROM c WHERE key IN (SELECT key FROM cats)),
              cat AS (SELECT j, vocabulary.term, {mass} AS theta, coalesce(c, 0) AS c
                      FROM cats CROSS JOIN vocabulary LEFT JOIN c ON c.key = cats.key AND c.term = vocabulary.term),
@@ -259,7 +283,12 @@ POLY_SQL = f"""
 ORACLES = {
     "one_hot": _cells("p_type", "CASE WHEN i = j THEN 1 ELSE 0 END", "k"),
     "one_hot_drop_last": _cells("p_type", "CASE WHEN i = j THEN 1 ELSE 0 END", "k - 1"),
-    "similarity": SIMILARITY_SQL,
+    "similarity": _similarity_sql(),
+    "similarity_all": _similarity_sql(limit=None),
+    "similarity_names": _similarity_sql("c_name", "customer"),
+    "fisher_kernel_all": _fisher_sql("count", "uniform", limit=None),
+    "fisher_kernel_all_presence": _fisher_sql("presence", "frequency", limit=None),
+    "fisher_kernel_names": _fisher_sql("count", "uniform", "c_name", "customer"),
     "fisher_kernel_count_uniform": _fisher_sql("count", "uniform"),
     "fisher_kernel_presence_frequency": _fisher_sql("presence", "frequency"),
     "fisher_kernel_presence_uniform": _fisher_sql("presence", "uniform"),

@@ -256,12 +256,29 @@ def test_hot_string(spark):
         assert out.filter("s = 'hot'").select(F.count_distinct(F.hash(vector_to_array("code")))).first()[0] == 1
 
 
+@pytest.mark.parametrize("name", ["NgramNaiveFisherKernel", "AdHocNgramsMultinomialMixture"])
+def test_kernels_of_any_width_are_reduced(words, monkeypatch, name):
+    """Projections of a kernel that is never written out equal those of one that is."""
+    from lexiloom.operators import kernels, reduce
+
+    full = coded(encoders.column_encoder(name, "s", "code").fit(words), words)
+    model = encoders.column_encoder(name, "s", "code", "GaussianRandomProjection", 3).fit(words)
+    w = np.zeros((7, 3))
+    for r in model.tables["directions"].collect():
+        w[r["component"]] = r["w"]
+    monkeypatch.setattr(kernels, "PIVOT_WIDTH", 1)
+    for cells in (reduce.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(reduce, "BROADCAST_CELLS", cells)
+        out = coded(model, words)
+        assert all(np.allclose(out[i], np.array(full[i]) @ w) for i in full)
+
+
 def test_too_many_categories(words, monkeypatch):
     from lexiloom.operators import kernels, lookup
 
     monkeypatch.setattr(kernels, "PIVOT_WIDTH", 3)
     with pytest.raises(ValueError, match="prototypes"):
-        FisherKernelEncoder(**IO).fit(words)
+        FisherKernelEncoder(**IO).fit(words).transform(words)
     monkeypatch.setattr(lookup, "MAX_CLASSES", 2)
     with pytest.raises(ValueError, match="classes"):
         ClassFrequencyEncoder(**IO).fit(words)
