@@ -19,6 +19,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,8 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 def _long_signatures(open_groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, long): signatures of LONG places, 8 bits each, of the members of open groups, from their full sets."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "items", 1 << 19):
+        # A permutation of LONG places is held per shingle: few shingles at once.
+        for batch in slices(batches, "items", 1 << 16):
             items = [np.frombuffer(x, "<u8") for x in batch.column("items").to_pylist()]
             edges = np.cumsum([0, *map(len, items)])
             marks = mixed(signatures_of(mixed(np.concatenate(items) ^ np.uint64(LONG)), edges, LONG)).astype("u1")
@@ -297,7 +299,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("met"))
     met = members.join(sizes, "band").groupBy("rep").agg(F.sum("met").alias("met"))
     groups = written(members.join(met.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "rep"), "members")
-    sets = written(shingle_sets(docs, groups.select("rep").distinct(), words).distinct(), "shingles")
+    # Dealt by document once and kept so: neither side of a verification moves them all again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = (shingle_sets(docs, groups.select("rep").distinct(), words).repartition(parts, "rep").distinct()
+            .persist(StorageLevel.DISK_ONLY))
     found, tested, place = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         named = groups.withColumn("component", F.col("rep")) if place is None else (
@@ -315,6 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         fresh = verified(pairs, sets, percent)
         found = written(fresh if found is None else found.unionByName(fresh), "found")
         place = components(found)
+    sets.unpersist()
     label = classes.select(F.col("n").alias("n"), "a", "b", "rep", "copies")
     if place is not None:
         label = label.join(place.withColumnRenamed("node", "rep"), "rep", "left")
