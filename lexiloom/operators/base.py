@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import cells, sparse_cells
 from lexiloom.operators.prep import stringify
+from lexiloom.session import checkpointed, split_join
 
 # Widest dense code built by pivoting.
 PIVOT_WIDTH = 10_000
@@ -133,8 +134,9 @@ class EncoderModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
             if placed is None:
                 raise ValueError(f"{type(self).__name__} cannot encode rows in place")
             return placed
-        encoded = self.encode(rows.select(F.col("_key").alias("key")).distinct())
-        return rows.join(encoded.withColumnRenamed("key", "_key"), "_key", "left")
+        sizes = checkpointed(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
+        codes = lambda keys: self.encode(keys.withColumnRenamed("_key", "key")).withColumnRenamed("key", "_key")
+        return split_join(rows, sizes, "_key", codes, self.width)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         rows = df.withColumn("_key", stringify(F.col(self.getInputCol())))

@@ -20,17 +20,26 @@ from lexiloom.session import checkpointed, small
 LOCAL_TERMS = 1_000_000
 
 
-def indexed_counts(keys: DataFrame, terms: DataFrame, analyzer: str, lo: int, hi: int) -> DataFrame:
-    """(key, component, value): term counts by vocabulary index, by a join on the term.
+def digest_counts(named: DataFrame, terms: DataFrame, analyzer: str, lo: int, hi: int) -> DataFrame:
+    """(_id, component, value): term counts of (_id, key) by vocabulary index, by a join on the term.
 
-    Every key keeps at least one row; terms outside the vocabulary become null. The
-    exploded rows carry a digest instead of the string, which may be a long text.
+    Every string keeps at least one row; terms outside the vocabulary become null. The exploded rows carry the
+    16-byte digest ``_id`` instead of the string, which may be a long text.
     """
-    named = keys.select("key", F.unhex(F.md5("key")).alias("_id"))
     exploded = named.select("_id", F.explode_outer(tokens(F.col("key"), analyzer, lo, hi)).alias("term"))
     counted = exploded.groupBy("_id", "term").agg(F.count("term").cast("double").alias("value"))
     found = counted.join(terms.select("term", F.col("ordinal").alias("component")), "term", "left")
-    return found.join(named, "_id").select("key", "component", "value")
+    return found.select("_id", "component", "value")
+
+
+def digest_of(key: str = "key"):
+    return F.unhex(F.md5(key)).alias("_id")
+
+
+def indexed_counts(keys: DataFrame, terms: DataFrame, analyzer: str, lo: int, hi: int) -> DataFrame:
+    """(key, component, value) of :func:`digest_counts`."""
+    named = keys.select("key", digest_of())
+    return digest_counts(named, terms, analyzer, lo, hi).join(named, "_id").select("key", "component", "value")
 
 
 class Terms:
@@ -46,7 +55,9 @@ class Terms:
         return self.table is None or self.width <= LOCAL_TERMS
 
     def lookup(self):
-        """The vocabulary (and weights) broadcast once; its size is bounded by ``local``."""
+        """The vocabulary (and weights) broadcast once; larger ones than ``local`` allows are joined instead."""
+        if not self.local:
+            raise ValueError(f"a vocabulary of {self.width} terms is joined to its strings, not sent to the tasks")
         if self.table is not None and self._sent is None:
             rows = self.table.orderBy("ordinal").toArrow()
             weights = rows["idf"].to_numpy() if self.weighted else None

@@ -13,7 +13,7 @@ from lexiloom.functions.numeric import finite
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, HasCategories, categories_table, param
 from lexiloom.operators.prep import stringify
 from lexiloom.operators.ranking import dense_ordinals
-from lexiloom.session import checkpointed, small
+from lexiloom.session import checkpointed, small, split_join
 
 
 class _Joined(EncoderModel):
@@ -349,14 +349,15 @@ def leave_one_out_train(df: DataFrame, column: str, target: str, name: str) -> D
     """Training form: each row gets the mean of its category's *other* rows.
 
     Sums are pre-aggregated and joined, so a category holding much of the table never
-    meets in one window partition.
+    meets in one window partition; heavy categories' rows are not shuffled at all.
     """
     y = F.col(target).cast("double")
     keyed = df.withColumn("_key", stringify(F.col(column)))
-    sums = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"))
+    sums = checkpointed(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s")))
     overall = sums.agg((F.sum("_s") / F.sum("_n"))).scalar()
     value = F.when(F.col("_n") > 1, (F.col("_s") - y) / (F.col("_n") - 1)).otherwise(overall)
-    return keyed.join(sums, "_key").withColumn(name, value).drop("_key", "_n", "_s")
+    joined = split_join(keyed, sums, "_key", lambda keys: keys.join(sums, "_key"), 3)
+    return joined.withColumn(name, value).drop("_key", "_n", "_s")
 
 
 class PassthroughModel(EncoderModel):

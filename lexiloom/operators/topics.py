@@ -9,6 +9,7 @@ and their sums reach the driver; larger ones stay a table by term (topic_tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,11 @@ from pyspark.ml.param import TypeConverters
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.arrays import cells, exploded
+from lexiloom.functions.arrays import cells, exploded, sparse_cells
 from lexiloom.functions.sparse import side_by_side
 from lexiloom.operators import topic_blocks, topic_tables
-from lexiloom.operators.base import EncoderEstimator, EncoderModel, param
-from lexiloom.operators.grams import Terms, fitted_vocabulary
+from lexiloom.operators.base import EncoderEstimator, EncoderModel, param, sparse
+from lexiloom.operators.grams import Terms, digest_counts, digest_of, fitted_vocabulary
 from lexiloom.operators.topic_blocks import RowBlocks, starting_rows
 from lexiloom.session import checkpointed, spread
 
@@ -46,9 +47,25 @@ def block_vector(text: Column, blocks: list[Terms]) -> Column:
 
 
 def term_rows(keys: DataFrame, blocks: list[Terms]) -> DataFrame:
-    """(key, count, features): the blocks' counts side by side, indices offset by block."""
+    """(key, count, features): the blocks' counts side by side, indices offset by block.
+
+    Vocabularies that are too large to be sent are joined by term, strings being known by a digest meanwhile.
+    """
     count = F.col("count") if "count" in keys.columns else F.lit(1).cast("bigint")
-    return keys.select("key", count.alias("count"), block_vector(F.col("key"), blocks).alias("features"))
+    if all(b.local for b in blocks):
+        return keys.select("key", count.alias("count"), block_vector(F.col("key"), blocks).alias("features"))
+    named = keys.select("key", count.alias("count"), digest_of())
+    strings, start, parts = named.select("_id", "key").dropDuplicates(["_id"]), 0, []
+    for b in blocks:
+        if b.local:
+            counted = sparse_cells(strings.select("_id", b.vector(F.col("key")).alias("features")), ["_id"])
+        else:
+            counted = digest_counts(strings, b.table, b.analyzer, b.lo, b.hi)
+        parts.append(counted.select("_id", (F.col("component") + F.lit(start)).alias("component"), "value"))
+        start += b.width
+    features = sparse(reduce(DataFrame.unionByName, parts), ("_id",))
+    nothing = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+    return named.join(features, "_id", "left").select("key", "count", F.coalesce("features", nothing).alias("features"))
 
 
 class Rows:
@@ -320,6 +337,10 @@ class TopicModel(EncoderModel):
     def broadcast(self) -> bool:
         return self.width * self.meta["terms"] <= BROADCAST_WEIGHTS
 
+    @property
+    def local(self) -> bool:
+        return all(b.local for b in self.blocks())
+
     def state(self) -> dict:
         if self.broadcast:
             return {**self.meta["state"], "W": self.weights()}
@@ -335,17 +356,20 @@ class TopicModel(EncoderModel):
         return self._blocks
 
     def encode(self, keys: DataFrame) -> DataFrame:
-        if self.broadcast:
+        if self.broadcast and self.local:
             return self._coded(keys, "key").select("key", "features")
+        if self.broadcast:
+            rows = term_rows(keys, self.blocks())
+            return rows.select("key", topic_codes(F.col("features"), keys.sparkSession, self.width, self.state(), self.step()).alias("features"))
         rows = topic_tables.blocked(term_rows(keys, self.blocks()))
         return topic_tables.codes(rows, self.tables["weights"], self.width, self.state(), self.step())
 
     def in_place(self, rows: DataFrame) -> DataFrame | None:
         """Rows coded without a shuffle where the weights can be broadcast; tables are coded by a join otherwise."""
-        return self._coded(rows, "_key") if self.broadcast else None
+        return self._coded(rows, "_key") if self.broadcast and self.local else None
 
     def encode_rows(self, rows: DataFrame) -> DataFrame:
-        if self.broadcast or rows.isStreaming or self.meta.get("dedupe", True):
+        if self.broadcast and self.local or rows.isStreaming or self.meta.get("dedupe", True):
             return super().encode_rows(rows)
         encoded = self.encode(rows.select(F.col("_key").alias("key")).distinct())
         return rows.join(encoded.withColumnRenamed("key", "_key"), "_key", "left")

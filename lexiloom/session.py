@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,28 @@ def settled(df: DataFrame) -> DataFrame:
     return small(kept, row[0], len(kept.columns), sum(row[1:]))
 
 
+# A string in more than this part of the rows is heavy; there are fewer such strings than this.
+HEAVY_PARTS = 1024
+
+
+def split_join(rows: DataFrame, sizes: DataFrame, key: str, side: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+    """Rows left-joined by ``key`` with what ``side`` gives for a table of keys, heavy keys apart.
+
+    ``sizes`` is a settled table (key, _n) of how many rows each key has. Where all keys' results are small they are
+    broadcast. Else the rows of heavy keys stay where they are and get those few keys' results broadcast, and only the
+    other rows are shuffled, so that no task gets more of one key than a small part of the rows.
+    """
+    count, total = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if count * max(width, 1) <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(side(sizes.select(key))), key, "left")
+    heavy = settled(sizes.filter(F.col("_n") * HEAVY_PARTS > F.lit(total)).select(key))
+    if heavy.isEmpty():
+        return rows.join(side(sizes.select(key)), key, "left")
+    light = sizes.select(key).join(heavy, key, "left_anti")
+    near = rows.join(heavy, key, "left_semi").join(small(side(heavy), HEAVY_PARTS, width), key, "left")
+    return near.unionByName(rows.join(heavy, key, "left_anti").join(side(light), key, "left"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows that carry much work each over all cores.
 

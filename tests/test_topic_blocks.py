@@ -111,3 +111,22 @@ def test_no_rows_and_equal_rows(spark):
     picks = starting_rows(RowBlocks(rows), 3, 0)
     assert len(picks) == 3 and all((p["indices"] == picks[0]["indices"]).all() for p in picks)
     assert starting_rows(RowBlocks(rows.filter("false")), 3, 0) == []
+
+
+def test_vocabularies_that_are_not_sent(spark, names, monkeypatch):
+    """Terms joined to their strings give the same rows, fits and codes as terms sent to the tasks."""
+    from lexiloom.operators import grams
+
+    found = []
+    for limit in (grams.LOCAL_TERMS, 50):
+        monkeypatch.setattr(grams, "LOCAL_TERMS", limit)
+        rows, _ = rows_of(names)
+        features = {r["key"]: (r["count"], r["features"]["indices"], r["features"]["values"]) for r in rows.collect()}
+        model = GammaPoissonEncoder(nTopics=3, maxIter=1, init="frequent", addWords=True, **IO).fit(names)
+        codes = {r["key"]: r["features"] for r in model.encode(names.select(F.coalesce("s", F.lit("nan")).alias("key")).distinct()).collect()}
+        found.append((features, model.weights(), codes))
+    (f1, w1, c1), (f2, w2, c2) = found
+    assert f1 == f2 and np.allclose(w1, w2, rtol=1e-8) and c1.keys() == c2.keys()
+    assert all(np.allclose(c1[k], c2[k], rtol=1e-6) for k in c1)
+    with pytest.raises(ValueError, match="joined"):
+        model.blocks()[0].lookup()
