@@ -352,7 +352,7 @@ def _squeezed(keyed: DataFrame) -> DataFrame:
 
 
 def _make_units(batch: pa.RecordBatch) -> Iterator[dict]:
-    for part in slices([batch], "text", 2 << 20):
+    for part in slices([batch], "text", 1 << 19):  # some ten numbers of 8 bytes are held for each byte
         yield units_of(texts_of(part), part.column("doc").to_numpy(), part.column("twin").to_numpy())
 
 
