@@ -52,13 +52,13 @@ def _predictions(model, points):
 
 
 def linear_classifier(spark, sf_dir):
-    points = _points(spark, sf_dir, F.col("label").cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, F.col("label").cast("double")))
     return _predictions(models.linear_model("multiclass", "features", "label", None, 0).fit(points), points)
 
 
 def linear_classifier_balanced(spark, sf_dir):
     points = _points(spark, sf_dir, (F.col("label") == 0).cast("double"))
-    weighted = models.balanced_weights(points, "label").persist()
+    weighted = checkpointed(models.balanced_weights(points, "label"))
     return _predictions(models.linear_model("binary", "features", "label", "weight", 0).fit(weighted), weighted)
 
 
@@ -82,28 +82,28 @@ def ridge_coefficients(spark, sf_dir):
 
 
 def gradient_boosting(spark, sf_dir):
-    points = _points(spark, sf_dir, (F.col("label") < 3).cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, (F.col("label") < 3).cast("double")))
     return _predictions(models.boosting("binary", "features", "label", 0)[0].fit(points), points)
 
 
 def gradient_boosting_multiclass(spark, sf_dir):
-    points = _points(spark, sf_dir, F.least(F.col("label"), F.lit(2)).cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, F.least(F.col("label"), F.lit(2)).cast("double")))
     return _predictions(models.boosting("multiclass", "features", "label", 0, 5)[0].fit(points), points)
 
 
 def boosting_grid(spark, sf_dir):
-    points = _points(spark, sf_dir, (F.col("label") < 3).cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, (F.col("label") < 3).cast("double")))
     grid = models.boosting_grid("binary", "features", "label", 0, (0.1, 0.3), (2, 3), trees=3)
     return _predictions(grid.fit(points), points)
 
 
 def mlp_classifier(spark, sf_dir):
-    points = _points(spark, sf_dir, F.col("label").cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, F.col("label").cast("double")))
     return _predictions(models.mlp("features", "label", 64, points.select("label").distinct().count()).fit(points), points)
 
 
 def grid_search(spark, sf_dir):
-    points = _points(spark, sf_dir, F.col("label").cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, F.col("label").cast("double")))
     classes = points.select("label").distinct().count()
     grid = models.mlp_grid("multiclass", "features", "label", 64, classes, 0, rates=(0.001,), shapes=((30,), (30, 30)))
     return _predictions(grid.fit(points), points)
@@ -117,7 +117,7 @@ def nystroem(spark, sf_dir):
 
 
 def nystroem_linear(spark, sf_dir):
-    points = _points(spark, sf_dir, F.col("label").cast("double")).persist()
+    points = checkpointed(_points(spark, sf_dir, F.col("label").cast("double")))
     return _predictions(models.nystroem_linear("multiclass", "features", "label", None, 0, (20,), (2,)).fit(points), points)
 
 

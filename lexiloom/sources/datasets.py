@@ -42,6 +42,8 @@ SAMPLED = (
     "wine_reviews", "firefighter_interventions",
 )
 SAMPLE_ROWS = 100_000
+# Name of a file's first column where it numbers the rows and is no feature.
+ROW_ID = "row_id"
 # Columns of the payments tables.
 COMPANY = "Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_Name"
 AMOUNT = "Total_Amount_of_Payment_USDollars"
@@ -115,12 +117,12 @@ def cacao_flavors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def house_prices(spark: SparkSession, root: str) -> DataFrame:
-    table = scan_csv(spark, f"{root}/house_prices/raw/train.csv")
+    table = scan_csv(spark, f"{root}/house_prices/raw/train.csv", index_name=ROW_ID)
     return recode(table, "MSSubClass", DWELLING_TYPES)
 
 
 def kickstarter_projects(spark: SparkSession, root: str) -> DataFrame:
-    table = scan_csv(spark, f"{root}/kickstarter_projects/raw/ks-projects-201612.csv", encoding="ISO-8859-1")
+    table = scan_csv(spark, f"{root}/kickstarter_projects/raw/ks-projects-201612.csv", encoding="ISO-8859-1", index_name=ROW_ID)
     ended = table.filter(F.col("`state `").isin("failed", "successful"))
     pledged = F.col("`usd pledged `").cast("string").try_cast("double")
     return derive_boolean(ended, "state ", "successful").withColumn("usd pledged ", safe_ln(pledged, 1e-10))
@@ -175,7 +177,7 @@ register("house_prices", house_prices)
 register("kickstarter_projects", kickstarter_projects)
 register("building_permits", building_permits)
 register("california_housing", plain("california_housing/raw/housing.csv"))
-register("house_sales", plain("house_sales/raw/kc_house_data.csv"))
+register("house_sales", plain("house_sales/raw/kc_house_data.csv", index_name=ROW_ID))
 register("vancouver_employee", vancouver_employee)
 register("firefighter_interventions", plain("firefighter_interventions/raw/interventions-hebdo-2010-2017.csv", sep=";"))
 register("criteo", plain("criteo/raw/data.txt", sep="\t", header=False))

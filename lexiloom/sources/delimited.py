@@ -21,7 +21,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encodin
 
     Give ``schema`` for production tables: without it one extra pass infers types.
     ``names`` renames a headerless file's columns (positions as text when absent);
-    ``index_name`` names a leading column that has no header of its own. Only a file with
+    ``index_name`` names the leading column where it is the row's id and not a feature, with or without a header of its own. Only a file with
     quoted line breaks needs ``multiline``, which reads it in one task.
     """
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", header)

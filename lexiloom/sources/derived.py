@@ -19,6 +19,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table this library wrote, through the file system its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the derived table, building and writing it first when it is missing."""
     if not table_exists(spark, path):

@@ -12,14 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 from lexiloom.operators.topics import (
     TINY, GammaPoissonEncoder, GammaPoissonModel, blocks_of, poisson_pass, term_rows,
 )
-from lexiloom.sources.derived import table_exists
+from lexiloom.sources.derived import remove_table, table_exists
+
+# Newest versions of the state that stay: a replayed batch needs the one before its own.
+KEPT = 3
 
 
 class IncrementalTopics:
     """State (W, A, B) as one table per micro-batch below ``state_path``.
 
     Batch ``n`` starts from the newest version below ``n`` and writes version ``n``
-    afresh, so a replayed batch gives the same state instead of counting twice.
+    afresh, so a replayed batch gives the same state instead of counting twice. Only
+    the newest ``KEPT`` versions stay. The memory per batch is ``rho``, or follows from
+    ``r`` and the first batch's rows where ``r`` is set.
     """
 
     def __init__(self, encoder: GammaPoissonEncoder, state_path: str):
@@ -43,6 +48,7 @@ class IncrementalTopics:
         earlier = [v for v in self.versions(spark) if v < batch_id]
         if earlier:
             meta, tables, w, a, b = self._load(spark, earlier[-1])
+            rho = meta["rho"]
             rows = term_rows(keys, blocks_of(meta, tables)).persist()
         else:
             meta, tables, rows, w = encoder.begin(df, keys)
@@ -50,9 +56,14 @@ class IncrementalTopics:
                 table.write.mode("overwrite").parquet(f"{self.path}-{name}")
             a = np.full(w.shape, TINY)
             b = np.full((len(w), 1), TINY)
-        rho = encoder.get("rho") if encoder.isSet("rho") else 0.99
+            rho = encoder.get("rho") if encoder.isSet("rho") else 0.99
+            if encoder.isSet("r"):
+                rho = encoder.get("r") ** min(1.0, encoder.get("batchSize") / keys.agg(F.sum("count")).first()[0])
+            meta = {**meta, "rho": rho}
         w, a, b = poisson_pass(rows, {**encoder.prior(), "W": w}, a, b, rho)
         self._save(spark, batch_id, meta, w, a, b)
+        for version in [v for v in earlier if v < batch_id][:1 - KEPT]:
+            remove_table(spark, self._version(version))
         rows.unpersist()
         keys.unpersist()
 

@@ -74,9 +74,9 @@ def test_other_loaders(spark, tmp_path):
     put(tmp_path, "cacao_flavors/raw/flavors_of_cacao.csv", 'Company,"Cocoa\nPercent"\nA,63%\n')
     assert load(spark, tmp_path, "cacao_flavors").first()[1] == 63.0
     put(tmp_path, "house_prices/raw/train.csv", "Id,MSSubClass\n1,20\n2,999\n")
-    assert [r[1] for r in load(spark, tmp_path, "house_prices").orderBy("Id").collect()] == ["1-STORY 1946 & NEWER ALL STYLES", "999"]
+    assert [r[1] for r in load(spark, tmp_path, "house_prices").orderBy("row_id").collect()] == ["1-STORY 1946 & NEWER ALL STYLES", "999"]
     put(tmp_path, "kickstarter_projects/raw/ks-projects-201612.csv", "ID,state ,usd pledged \n1,failed,0\n2,successful,10\n3,live,5\n")
-    states = load(spark, tmp_path, "kickstarter_projects").orderBy("ID").collect()
+    states = load(spark, tmp_path, "kickstarter_projects").orderBy("row_id").collect()
     assert [r[1] for r in states] == [False, True] and math.isclose(states[0][2], math.log(1e-10))
     put(tmp_path, "building_permits/raw/building-permits.csv", " ID , ESTIMATED_COST\n1,100\n")
     permits = load(spark, tmp_path, "building_permits")

@@ -45,3 +45,15 @@ def test_replayed_batch_counts_once(spark, edge):
     assert np.allclose(once, again) and topics.versions(spark) == [0, 1, 2]
     topics.partial_fit(edge.filter("false"), 3)
     assert topics.versions(spark) == [0, 1, 2]
+
+
+def test_old_versions_go_and_r_gives_the_memory(spark, edge):
+    topics = IncrementalTopics(GammaPoissonEncoder(nTopics=2, r=0.5, batchSize=4, **IO), scratch_path(spark, "state"))
+    for batch in range(5):
+        topics.partial_fit(edge, batch)
+    assert topics.versions(spark) == [2, 3, 4]
+    meta = topics._load(spark, 4)[0]
+    assert np.isclose(meta["rho"], 0.5 ** (4 / edge.count()))
+    replayed = topics.model(spark).weights()
+    topics.partial_fit(edge, 4)
+    assert np.allclose(replayed, topics.model(spark).weights()) and topics.versions(spark) == [2, 3, 4]
