@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import exploded, sparse_cells
-from lexiloom.functions.sparse import term_vector
-from lexiloom.functions.text import char_ngrams, padded_ngram_set, word_tokens
+from lexiloom.functions.sparse import gram_vector
+from lexiloom.functions.text import collapsed, padded_ngram_set, word_tokens
 from lexiloom.operators import counts
 from lexiloom.plans.catalog.common import grams_sql, murmur_sql, padded_grams_sql, rounded, table, texts
 
 
 def char_ngrams_query(spark, sf_dir):
-    """Occurrences of every n-gram over the whole texts."""
+    """Occurrences of every n-gram over the whole texts, added up in each task before they are dealt by n-gram."""
     docs = texts(spark, sf_dir, "documents")
-    return exploded(docs, [], char_ngrams(F.col("text")), "term").groupBy("term").agg(
-        F.count(F.lit(1)).alias("count"))
+    return counts.gram_totals(docs, F.col("text"))
 
 
 def padded_ngram_set_query(spark, sf_dir):
@@ -47,13 +46,13 @@ def word_vocabulary(spark, sf_dir):
 
 def hashed_ngrams(spark, sf_dir):
     keys = counts.distinct_keys(table(spark, sf_dir, "customer"), "c_name")
-    return _cells(keys.select("key", term_vector(char_ngrams(F.col("key")), 128).alias("features")))
+    return _cells(keys.select("key", gram_vector(collapsed(F.col("key")), 128).alias("features")))
 
 
 def hashed_ngrams_texts(spark, sf_dir):
     """Hashed n-grams of whole texts; checked against brute force in the tests."""
     docs = texts(spark, sf_dir, "documents")
-    vectors = docs.select(F.col("doc_id").alias("key"), term_vector(char_ngrams(F.col("text")), 4096).alias("features"))
+    vectors = docs.select(F.col("doc_id").alias("key"), gram_vector(collapsed(F.col("text")), 4096).alias("features"))
     return _cells(vectors).groupBy("component").agg(
         F.sum("value").cast("bigint").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
 

@@ -49,3 +49,48 @@ def test_projected_kernels_pair_no_string_with_all_categories(spark, words, monk
     assert set(found) == set(plain)
     for key, code in plain.items():
         np.testing.assert_allclose(found[key], code @ w, atol=1e-9)
+
+
+GRAM_TEXTS = ["", None, "a", "ab", "abc", "ÉLAN  vital", "日本語 テキスト", "emoji 😀😁x", "line\n\nbreak", "hello world " * 40]
+
+
+def test_hashed_grams_are_cut_from_bytes(spark, monkeypatch):
+    """The same codes as lists of n-grams give, in parts of any size."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.functions import murmur
+    from lexiloom.functions.sparse import gram_vector, term_vector
+    from lexiloom.functions.text import char_ngrams, collapsed, padded, padded_ngram_set
+
+    spare = [" na", "na"]
+    rows = spark.createDataFrame([(t,) for t in GRAM_TEXTS], "t string").coalesce(1)
+    full = rows.filter("t is not null").select(
+        murmur.minhash_signature(padded_ngram_set(F.col("t")), 5, spare).eqNullSafe(murmur.minhash_text(padded(F.col("t")), 2, 4, 5, spare)))
+    assert all(r[0] for r in full.collect())
+    for width in (16, 100_000):
+        same = rows.select(term_vector(char_ngrams(F.col("t")), width).eqNullSafe(gram_vector(collapsed(F.col("t")), width)))
+        assert all(r[0] for r in same.collect())
+    monkeypatch.setattr(murmur, "TEXT_BYTES", 16)
+    import pyarrow as pa
+
+    found = {}
+    for first, _, groups in murmur.text_grams(pa.array(GRAM_TEXTS), 2, 4):
+        for row, words, size in groups:
+            for r, w in zip(row, words):
+                found.setdefault(first + int(r), []).append(w.tobytes()[:size].decode())
+    for i, text in enumerate(t or "" for t in GRAM_TEXTS):
+        assert sorted(found.get(i, [])) == sorted(text[j:j + n] for n in (2, 3, 4) for j in range(len(text) - n + 1))
+
+
+def test_gram_totals(spark):
+    """Every n-gram of every row is counted, rows of equal text too."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators.counts import gram_totals
+
+    rows = spark.createDataFrame([(t,) for t in [*GRAM_TEXTS, "abc", "日本語"]], "t string").repartition(3)
+    texts = [" ".join(t.lower().replace("\n\n", " ").split("  ")) for t in [*GRAM_TEXTS, "abc", "日本語"] if t]
+    plain = Counter(t[j:j + n] for t in texts for n in (2, 3, 4) for j in range(len(t) - n + 1))
+    assert {r["term"]: r["count"] for r in gram_totals(rows, F.col("t")).collect()} == plain
