@@ -51,6 +51,22 @@ def term_vector(terms: Column, width: int, offset: int = 0, lookup: Broadcast |
     return count(terms)
 
 
+def term_totals(terms: Column) -> Column:
+    """A row's list of terms as (term, count), each term once, in no certain order."""
+
+    @F.arrow_udf("array<struct<term:string,count:bigint>>")
+    def total(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        width = max(len(coded.dictionary), 1)
+        cells, counts = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        offsets = pa.array(np.searchsorted(cells // width, np.arange(len(lists) + 1)).astype(np.int32))
+        pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(cells % width)), pa.array(counts)], names=["term", "count"])
+        return pa.ListArray.from_arrays(offsets, pairs)
+
+    return total(terms)
+
+
 def gram_vector(text: Column, width: int, lo: int = 2, hi: int = 4, offset: int = 0) -> Column:
     """:func:`term_vector` of the hashed n-grams of a string that is cut up here, part by part of a batch."""
 

@@ -94,3 +94,24 @@ def test_gram_totals(spark):
     texts = [" ".join(t.lower().replace("\n\n", " ").split("  ")) for t in [*GRAM_TEXTS, "abc", "日本語"] if t]
     plain = Counter(t[j:j + n] for t in texts for n in (2, 3, 4) for j in range(len(t) - n + 1))
     assert {r["term"]: r["count"] for r in gram_totals(rows, F.col("t")).collect()} == plain
+
+
+def test_words_are_added_up_in_their_row(spark):
+    """Counting words shuffles nothing, and words of one text only take that text's count as their df."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators import counts
+
+    rows = [("a", "red red blue", 3), ("b", "blue green", 1), ("c", "", 2), ("d", None, 1), ("e", "x y", 1)]
+    keys = spark.createDataFrame(rows, "key string, text string, count long")
+    counted = counts.term_counts(keys, "word", 1, 1)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in counted.collect()) == [("a", "blue", 1), ("a", "red", 2), ("b", "blue", 1), ("b", "green", 1)]
+    idf = {"red": np.log(8 / 3) + 1, "blue": np.log(8 / 4) + 1, "green": np.log(8 / 1) + 1}
+    found = {(r["key"], r["term"]): r["value"] for r in counts.tfidf(keys, "word", 1, 1).collect()}
+    plain = {}
+    for key, tf in (("a", {"red": 2, "blue": 1}), ("b", {"blue": 1, "green": 1})):
+        norm = np.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+        plain |= {(key, t): n * idf[t] / norm for t, n in tf.items()}
+    assert found.keys() == plain.keys()
+    assert all(abs(found[k] - plain[k]) < 1e-12 for k in plain)
