@@ -23,7 +23,7 @@ from lexiloom.operators import topic_blocks, topic_tables
 from lexiloom.operators.base import EncoderEstimator, EncoderModel, param, sparse
 from lexiloom.operators.grams import Terms, digest_counts, digest_of, fitted_vocabulary
 from lexiloom.operators.topic_blocks import RowBlocks, starting_rows
-from lexiloom.session import checkpointed, spread
+from lexiloom.session import checkpointed, portions, spread
 
 # K x V up to which the weights are broadcast (64 MB of doubles); beyond it they are joined by term. Either way
 # gives the same numbers.
@@ -765,6 +765,10 @@ class MixtureEncoder(_TopicEncoder):
 # --- latent Dirichlet allocation -------------------------------------------------------
 
 
+# Bytes of a row of counts, and for each character, that a fit keeps.
+ROW_BYTES, CHAR_BYTES = 100, 40
+
+
 class LdaEncoderModel(EncoderModel):
     """Topic mixture of a built-in LDA model over term counts."""
 
@@ -794,7 +798,13 @@ class LdaEncoder(_TopicEncoder):
 
         counts = TermCountEncoder(inputCol=self.getInputCol(), outputCol="_counts", analyzer=self.get("analyzer"),
                                   ngramMin=self.get("ngramMin"), ngramMax=self.get("ngramMax")).fit(df)
-        vectors = counts.transform(df.select(self.getInputCol())).select("_counts").persist()
+        # Every pass reads all rows: large tables are dealt into bounded partitions, before they are coded and, as codes
+        # may come from a join, after it.
+        rows = df.select(self.getInputCol())
+        length = F.char_length(F.coalesce(F.col(self.getInputCol()).cast("string"), F.lit("")))
+        parts = portions(rows, F.lit(ROW_BYTES) + F.lit(CHAR_BYTES) * length)
+        vectors = counts.transform(rows.repartition(parts) if parts else rows).select("_counts")
+        vectors = (vectors.repartition(parts) if parts else vectors).persist()
         lda = LDA(k=self.get("nTopics"), maxIter=self.get("maxIter"), seed=self.get("seed"),
                   optimizer=self.get("optimizer"), featuresCol="_counts").fit(vectors)
         vectors.unpersist()

@@ -58,3 +58,20 @@ def test_codes_times_directions_by_block(spark, monkeypatch, sparse):
     assert len(found) == len(rows)
     for i, row in enumerate(rows):
         assert np.allclose(found[str(i) if i else None], row @ w)
+
+
+def test_lda_passes_over_bounded_partitions(spark, monkeypatch):
+    """A pass of the fit reads cached rows; one file's rows were one partition whatever their number."""
+    from pyspark.ml.clustering import LDA
+
+    from lexiloom import session
+    from lexiloom.operators.topics import LdaEncoder
+
+    seen, fit = [], LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    names = spark.createDataFrame([(f"part {i % 7}",) for i in range(600)], "name string").coalesce(1)
+    LdaEncoder(inputCol="name", outputCol="code", nTopics=2, maxIter=1).fit(names)
+    monkeypatch.setattr(session, "PORTION", 20_000)
+    LdaEncoder(inputCol="name", outputCol="code", nTopics=2, maxIter=1).fit(names)
+    assert seen[0] == (1, 600)
+    assert seen[1][0] >= 10 and seen[1][1] == 600
