@@ -75,3 +75,22 @@ def test_lda_passes_over_bounded_partitions(spark, monkeypatch):
     LdaEncoder(inputCol="name", outputCol="code", nTopics=2, maxIter=1).fit(names)
     assert seen[0] == (1, 600)
     assert seen[1][0] >= 10 and seen[1][1] == 600
+
+
+def test_tuned_models_compute_features_once(spark):
+    """A search over penalties computed its rows' features again for every fold's parts and for the last fit."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators.models import linear_model
+
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def features(i):
+        rows.add(1)
+        return [float(i % 7), float(i % 3)]
+
+    points = spark.range(0, 60, 1, 2).select(array_to_vector(features("id")).alias("features"), (F.col("id") % 2).cast("double").alias("label"))
+    linear_model("binary", "features", "label", None, 0).fit(points)
+    assert rows.value <= 120
