@@ -18,7 +18,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ PAIRS_PER_COPY = 256
 NO_ID = -(1 << 63)
 GOLD = 0x9E3779B97F4A7C15
 SHORT = 32  # bytes of a word whose digest is a sum of powers
+MARK_BITS = 1 << 26  # places of the broadcast marks of wanted documents: 8 MB at most
+MARKS_PER_ID = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -155,23 +156,37 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(bands, "band long, rep long")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc may be wanted: all that are, and few others.
+
+    Each wanted id marks one of many places, and bitmaps of the marked places are broadcast. They take 8 MB at most;
+    with more ids more other rows pass, but a wanted one always does.
+    """
+    places = MARKS_PER_ID * wanted.count()
+    places = min(MARK_BITS, 1 << max(0, places - 1).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
+    marks = wanted.groupBy(F.bitmap_bucket_number(place("rep")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("rep"))).alias("_marks"))
+    at = F.bitmap_bit_position(place("doc"))
+    byte = F.conv(F.hex(F.substring("_marks", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(place("doc"))).join(F.broadcast(marks), "_bucket")
+            .filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns))
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, items): the sorted shingle digests of the wanted documents."""
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([press.compress(x) for x in texts_of(batch)], pa.binary())],
-                                             ["rep", "squeezed"])
+    """(rep, items): the sorted shingle digests of the wanted documents, dealt by document; of repeated rows, one.
 
+    Texts stay where they are. Sets of the few documents that only seemed to be wanted go once they are dealt.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "squeezed", 1 << 19):
-            values, edges = shingles_of([spread.decompress(x) for x in batch.column("squeezed").to_pylist()], words)
+        for batch in slices(batches, "text", 1 << 19):
+            values, edges = shingles_of(texts_of(batch), words)
             items = [values[a:b].astype("<u8").tobytes() for a, b in zip(edges, edges[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(items, pa.binary())], ["rep", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(items, pa.binary())], ["rep", "items"])
 
-    return (_rows_of(docs).mapInArrow(squeeze, "rep long, squeezed binary").join(wanted, "rep", "left_semi")
-            .mapInArrow(cut, "rep long, items binary"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (_likely(_rows_of(docs), wanted).mapInArrow(cut, "rep long, items binary").repartition(parts, "rep")
+            .join(wanted, "rep", "left_semi").distinct())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,15 +309,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = written(marked.filter("n > 0").groupBy("n", "a", "b").agg(
         F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("signature", "doc").alias("signature")), "classes")
     keys = band_keys(classes)
-    shared = keys.groupBy("band").agg(F.count_distinct("rep").alias("members")).filter("members > 1").select("band")
+    shared = keys.groupBy("band").agg(F.min("rep").alias("l"), F.max("rep").alias("h")).filter("l <> h").select("band")
     members = written(keys.join(shared, "band").distinct(), "bands")
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("met"))
     met = members.join(sizes, "band").groupBy("rep").agg(F.sum("met").alias("met"))
     groups = written(members.join(met.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "rep"), "members")
-    # Dealt by document once and kept so: neither side of a verification moves them all again.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = (shingle_sets(docs, groups.select("rep").distinct(), words).repartition(parts, "rep").distinct()
-            .persist(StorageLevel.DISK_ONLY))
+    # Kept as dealt: neither side of a verification moves them all again.
+    sets = shingle_sets(docs, groups.select("rep").distinct(), words).persist(StorageLevel.DISK_ONLY)
     found, tested, place = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         named = groups.withColumn("component", F.col("rep")) if place is None else (

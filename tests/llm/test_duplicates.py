@@ -265,3 +265,17 @@ def test_long_words_of_two_letters_differ(spark):
     rows = [(i, f"one two three {w} four five") for i, w in enumerate((word, twin, word[:64], twin[:64]))]
     found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
     assert all(r.kept and r.component_id == r.doc_id for r in found)
+
+
+@pytest.mark.parametrize("places", [1 << 26, 1 << 10])
+def test_only_wanted_texts_are_cut(spark, monkeypatch, places):
+    """Marks let all wanted documents pass and few others; with too many for their places the result is the same."""
+    monkeypatch.setattr(near_duplicates, "MARK_BITS", places)
+    docs = spark.createDataFrame([(7 * i - 500, f"one two three {i}") for i in range(2000)] * 2, "doc_id long, text string")
+    wanted = docs.filter("doc_id % 5 = 0").select(docs.doc_id.alias("rep")).distinct()
+    want = {r.rep for r in wanted.collect()}
+    rows = near_duplicates._likely(near_duplicates._rows_of(docs), wanted).collect()
+    assert want <= {r.doc for r in rows} and len(rows) <= (4000 if places < 1 << 20 else 1100)
+    got = near_duplicates.shingle_sets(docs, wanted, 4).collect()
+    assert sorted(r.rep for r in got) == sorted(want)
+    assert near_duplicates.shingle_sets(docs, wanted.filter("false"), 4).count() == 0
