@@ -351,6 +351,15 @@ def _squeezed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(squeeze, StructType(fields))
 
 
+def _dealt(by_text: DataFrame) -> DataFrame:
+    """A side that squeezed texts are joined with by shuffle, however small it is.
+
+    A broadcast would leave the squeezing and the Python step behind the join in one stage, where each task needs two
+    Python workers, and an executor keeps all that it ever started.
+    """
+    return by_text.hint("merge")
+
+
 def _make_units(batch: pa.RecordBatch) -> Iterator[dict]:
     for part in slices([batch], "text", 1 << 19):  # some ten numbers of 8 bytes are held for each byte
         yield units_of(texts_of(part), part.column("doc").to_numpy(), part.column("twin").to_numpy())
@@ -411,9 +420,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                .select("doc", "twin", *(F.col(f"units.{c}").alias(f"{c}s") for c in ("start", "stop", "ahead"))))
     keys = ["lead", "core", *place]
     many, into = ranges(n_pending * (REACH / 2 / TILE + 1))
-    some = _squeezed(keyed.filter(chosen)).join(by_text.filter(chosen), ["doc", "twin"])
+    some = _squeezed(keyed.filter(chosen)).join(_dealt(by_text.filter(chosen)), ["doc", "twin"])
     cuts = splitters_from(_sample(some, _make_tiles, TILES), TILES, keys, many)
-    both = _squeezed(keyed).join(by_text, ["doc", "twin"])
+    both = _squeezed(keyed).join(_dealt(by_text), ["doc", "twin"])
     tiles = written(sort_ranges(both, _make_tiles, TILES, keys, cuts, judge_tiles, into), "tiles")
     spans.append(tiles.filter(F.col("kind") == SPAN).select("doc", "twin", "start", "stop"))
 
@@ -436,7 +445,7 @@ def _cut(docs: DataFrame, carry: bool) -> DataFrame:
     spans = repeated_spans(docs)
     by_text = (spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
                .select("doc", "twin", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")))
-    both = _squeezed(_keyed(docs, carry)).join(by_text, ["doc", "twin"], "left").drop("twin")
+    both = _squeezed(_keyed(docs, carry)).join(_dealt(by_text), ["doc", "twin"], "left").drop("twin")
     counts = [StructField(c, LongType()) for c in ("doc", "n_bytes", "n_removed", "n_spans")]
     fields = [*counts, StructField("kept", BinaryType()), *(f for f in both.schema.fields if f.name == "row")]
 

@@ -23,7 +23,7 @@ from lexiloom.llm.common import in_use, left_over
 
 END_ID = 1
 MARK = "\x01"
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 800_000  # in two generations
 PIECES_PER_TEXT = 256
 MARKS = ".,;:!?"
 
@@ -59,6 +59,7 @@ class PieceEncoder:
         self.tokenizer = loaded(path)
         self.words: dict[bytes, bytes] = {}  # letters alone
         self.others: dict[bytes, bytes] = {}  # sentence marks, and pieces of other kinds
+        self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}  # both as they were when they got full
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(1 + max(vocabulary.values()), bool)
@@ -77,15 +78,21 @@ class PieceEncoder:
                 others.add(piece[len(core):])
             else:
                 others.add(piece)
-        ask = [x for x in words if x not in self.words]
+        ask = self._unknown(self.words, self.older[0], words)
         self._learn_groups(self.words, ask, b" ", lambda ids: np.flatnonzero(self.ends_word[ids])[:-1] + 1, 0)
         self.others[b""] = b""
-        ask = [x for x in others if x not in self.others]
+        ask = self._unknown(self.others, self.older[1], others)
         for piece, ids in zip(odd := [x for x in ask if b"\x01" in x], self._ids([x.decode() for x in odd])):
             self.others[piece] = ids.tobytes()
         plain = [x for x in ask if b"\x01" not in x]
         self._learn_groups(self.others, plain, f" {MARK} ".encode(), lambda ids: np.flatnonzero(ids == self.mark), 1)
 
+    @staticmethod
+    def _unknown(known: dict[bytes, bytes], older: dict[bytes, bytes], pieces: set[bytes]) -> list[bytes]:
+        """Those of the pieces that are new. What was known before the last change of generation is known again."""
+        known.update((x, older[x]) for x in pieces if x in older)
+        return [x for x in pieces if x not in known]
+
     def _learn_groups(self, known: dict[bytes, bytes], pieces: list[bytes], between: bytes, cuts_of, skip: int) -> None:
         """Ids of pieces that are encoded many at a time; at each cut, ``skip`` ids belong to no piece."""
         groups = [pieces[i:i + PIECES_PER_TEXT] for i in range(0, len(pieces), PIECES_PER_TEXT)]
@@ -116,7 +123,8 @@ class PieceEncoder:
         words, found = self.words.get, self._found
         out = [word if (word := words(piece)) is not None else found(piece, core) for piece, core in zip(pieces, cores)]
         missing = [i for i, x in enumerate(out) if x is None]
-        if len(self.words) + len(self.others) + len(missing) > CACHED_PIECES:
+        if len(self.words) + len(self.others) + len(missing) > CACHED_PIECES // 2:
+            self.older = self.words, self.others
             self.words, self.others, missing = {}, {}, range(len(out))
         if missing:
             self._learn([(pieces[i], cores[i]) for i in missing])

@@ -279,3 +279,11 @@ def test_only_wanted_texts_are_cut(spark, monkeypatch, places):
     got = near_duplicates.shingle_sets(docs, wanted, 4).collect()
     assert sorted(r.rep for r in got) == sorted(want)
     assert near_duplicates.shingle_sets(docs, wanted.filter("false"), 4).count() == 0
+
+
+def test_texts_meet_their_spans_in_a_stage_of_their_own(spark):
+    """However small the other side is: a Python step on either side of a broadcast would take two workers a task."""
+    texts = suffixes._squeezed(suffixes._keyed(spark.createDataFrame([(1, "a b")], "doc_id long, text string")))
+    spans = spark.range(1).selectExpr("id doc", "id twin", "array(1) starts")
+    plan = texts.join(suffixes._dealt(spans), ["doc", "twin"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -26,7 +26,7 @@ def odd_texts():
 @pytest.mark.parametrize("path, maker", [(WORDS, tokens.PieceEncoder), (BYTES, pair_bpe.PairBpe)])
 def test_ids_equal_the_library(path, maker):
     texts = odd_texts()
-    want = [x.ids for x in tokens.loaded(path).encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in tokens.loaded(WORDS).encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(x, "<u4").tolist() for x in maker(path).encode([t.encode() for t in texts])]
     assert got == want
 
@@ -119,3 +119,16 @@ def test_files(spark, edge, nothing, monkeypatch):
     empty = scratch_path(spark, "corpus-test")
     token_files.write_corpus(nothing, WORDS, empty)
     assert token_files.read_corpus(spark, empty).count() == 0
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    """Full caches make room by generations, and ids stay those of the library."""
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 400)
+    encoder = tokens.PieceEncoder(WORDS)
+    for k in range(20):
+        texts = [f"the common word {' '.join(f'word{i}x, q{i}' for i in range(30 * k, 30 * k + 30))}."]
+        got = encoder.encode([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [
+            x.ids for x in tokens.loaded(WORDS).encode_batch(texts, add_special_tokens=False)]
+        assert len(encoder.words) + len(encoder.others) + sum(map(len, encoder.older)) <= 500
+    assert any(encoder.older)
