@@ -14,8 +14,8 @@ import zlib
 import numpy as np
 
 SCALE_BITS = 20
-LANES = 512
-CHECKPOINT_ROWS = 256
+LANES = 1024
+CHECKPOINT_ROWS = 128
 LOW = np.uint64(1 << 31)
 HEADER = struct.Struct("<4sIQIIII")
 MAGIC = b"RNS1"
@@ -45,8 +45,7 @@ class Model:
         self.frequency = frequencies.astype(np.uint64)
         ends = np.cumsum(frequencies)
         self.start = (ends - frequencies).astype(np.uint64)
-        self.limit = self.frequency << np.uint64(63 - SCALE_BITS)
-        self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies)
+        self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.int32), frequencies)
         self.filler = int(np.argmax(frequencies)) if len(frequencies) else 0
 
     def encode(self, ids: np.ndarray) -> bytes:
@@ -56,18 +55,20 @@ class Model:
         grid[:len(ids)] = ids
         grid = grid.reshape(rows, LANES)
         state, words, marks, given = np.full(LANES, LOW, np.uint64), [], [], 0
-        bits, low32 = np.uint64(SCALE_BITS), np.uint64(0xFFFFFFFF)
+        bits, low32, half, one = np.uint64(SCALE_BITS), np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(1)
+        shares, starts = self.frequency.take(grid), self.start.take(grid)
+        limits = shares << np.uint64(63 - SCALE_BITS)
         for row in range(rows - 1, -1, -1):
-            symbols = grid[row]
-            f = self.frequency[symbols]
-            full = state >= self.limit[symbols]
-            if full.any():
-                out = state[full]
+            f = shares[row]
+            full = np.flatnonzero(state >= limits[row])
+            if len(full):
+                out = state.take(full)
                 words.append((out & low32).astype("<u4"))
                 given += len(out)
-                state[full] = out >> np.uint64(32)
+                state[full] = out >> half
             whole = state // f
-            state = (whole << bits) + (state - whole * f) + self.start[symbols]
+            # The state is whole * f and a rest, and becomes (whole << bits) + rest + start.
+            state += whole * ((one << bits) - f) + starts[row]
             if row % CHECKPOINT_ROWS == 0:
                 marks.append((given, state.copy()))
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
@@ -93,16 +94,16 @@ class Model:
         word, = struct.unpack_from("<I", block, at)
         state = np.frombuffer(block, "<u8", lanes, at + 4).astype(np.uint64)
         stream = np.frombuffer(block, "<u4", n_words, HEADER.size + marks * size).astype(np.uint64)
-        out = np.empty((end - begin, lanes), np.uint32)
-        bits, mask = np.uint64(SCALE_BITS), np.uint64((1 << SCALE_BITS) - 1)
+        out = np.empty((end - begin, lanes), np.int32)
+        bits, mask, half = np.uint64(SCALE_BITS), np.uint64((1 << SCALE_BITS) - 1), np.uint64(32)
         for row in range(end - begin):
             slot = state & mask
-            symbols = self.symbol[slot]
-            out[row] = symbols
-            state = self.frequency[symbols] * (state >> bits) + slot - self.start[symbols]
-            short = state < LOW
-            need = int(short.sum())
-            if need:
-                state[short] = (state[short] << np.uint64(32)) | stream[word:word + need]
+            symbols = self.symbol.take(slot.view(np.int64), out=out[row], mode="wrap")
+            state >>= bits
+            state *= self.frequency.take(symbols)
+            state += slot - self.start.take(symbols)
+            short = np.flatnonzero(state < LOW)
+            if need := len(short):
+                state[short] = (state.take(short) << half) | stream[word:word + need]
                 word += need
-        return out.reshape(-1)[:min(count, end * lanes) - begin * lanes]
+        return out.reshape(-1)[:min(count, end * lanes) - begin * lanes].view(np.uint32)

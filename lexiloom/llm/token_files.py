@@ -32,18 +32,32 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with piece_encoder(vocabulary) as encoder:
             kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-            end = np.array([end_id], kind).tobytes()
             for batch in slices(batches, "text"):
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encoder.encode(texts_of(batch))]
+                ids, bounds = encoder.flat(texts_of(batch))
+                ids = np.insert(ids.astype(kind), bounds[1:], end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([int(kind[-1])] * len(ids), pa.int32())],
-                    ["doc_id", "ids", "width"])
+                    [batch.column("doc_id"), _binary(ids, bounds + np.arange(len(bounds))),
+                     pa.array(np.full(batch.num_rows, int(kind[-1]), np.int32))], ["doc_id", "ids", "width"])
 
     return documents_of(docs).mapInArrow(encode, "doc_id long, ids binary, width int")
 
 
-def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, f"<u{w}") for x, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
+def _binary(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The ids between each two bounds as a binary value."""
+    offsets = pa.py_buffer(ids.itemsize * bounds.astype(np.int64))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(ids)]) \
+        .cast(pa.binary())
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch, and where each row's start there (plus the end). A table's ids have one width."""
+    ids = batch.column("ids").cast(pa.large_binary())
+    if not len(ids):
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    width = batch.column("width")[0].as_py()
+    bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1]
+    data = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
+    return data.view(f"<u{width}"), (bounds - bounds[0]) // width
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -51,13 +65,9 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in _arrays(batch):
-                seen = np.bincount(ids)
-                if len(seen) > len(total):
-                    seen[:len(total)] += total
-                    total = seen
-                else:
-                    total[:len(seen)] += seen
+            seen = np.bincount(_flat(batch)[0], minlength=len(total))
+            seen[:len(total)] += total
+            total = seen
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], ["id", "n"])
 
@@ -98,9 +108,11 @@ def write_corpus(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
 
         held = 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), _arrays(batch)):
-                waiting.append((doc_id, ids))
-                held += len(ids)
+            flat, bounds = _flat(batch)
+            bounds = bounds.tolist()
+            for doc_id, start, stop in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:]):
+                waiting.append((doc_id, flat[start:stop]))
+                held += stop - start
                 if held >= BLOCK_TOKENS:
                     yield block()
                     held = 0
@@ -134,14 +146,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         coder = _model(table)
         for batch in slices(batches, "payload", 1 << 20):
             for row in batch.to_pylist():
-                ids = coder.decode(row["payload"]).astype("<u4")
-                ends = np.cumsum(row["lengths"], dtype=np.int64)
-                if len(ids) != row["n_tokens"] or ends[-1] != len(ids):
+                ids = coder.decode(row["payload"]).astype("<u4", copy=False)
+                bounds = np.append(0, np.cumsum(row["lengths"], dtype=np.int64))
+                if len(ids) != row["n_tokens"] or bounds[-1] != len(ids):
                     raise ValueError("block does not hold its documents")
-                starts = ends - np.array(row["lengths"], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + before[row["file_range"]] + row["first"]),
-                     pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
-                    ["doc_id", "start", "ids"])
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(bounds[:-1] + before[row["file_range"]] + row["first"]),
+                     _binary(ids, bounds)], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(decode, "doc_id long, start long, ids binary")

@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from conftest import EDGE, SMALL
@@ -48,6 +49,30 @@ def test_marks_behind_combining_marks():
     assert got == want
 
 
+def test_case_before_combining_marks():
+    """T and a diaeresis have no common letter, but t and a diaeresis have: case goes after the normal form."""
+    texts = ["T\u0308 H\u0331 W\u030a Y\u030a J\u030c A\u0301", "WORD T\u0308. WORD", "XT\u0344", "t\u0308 Word"]
+    want = [x.ids for x in tokens.loaded(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.PieceEncoder(WORDS).encode([t.encode() for t in texts])] == want
+
+
+def test_signs_behind_letters():
+    """Signs are parted from the letters before them, so that a word is learnt once whatever stands behind it."""
+    rng = random.Random(11)
+    parts = [*map(chr, range(128)), *"éİßﬁ\u0301\u0338\u0308½²日😀\u00a0\u2003", *["a", "s", "T", "'"] * 8, "<|endoftext|>",
+             "<|startoftext|>", "<|", "|>", "don't", "we'LL", "x's", "'re", "$$$", "%%%"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(6000)]
+    want = [x.ids for x in tokens.loaded(WORDS).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.PieceEncoder(WORDS).encode([t.encode() for t in texts])]
+    assert got == want
+    encoder, signs = tokens.PieceEncoder(WORDS), ["", ".", "$$$", "%%%", ",!!", "***"]
+    words = [a + b + c for a in "abcdef" for b in "ghijklé" for c in "mnopé"]
+    texts = [f"{w}{x} {w.upper()}{x}" for w in words for x in signs]
+    want = [x.ids for x in tokens.loaded(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == want
+    assert len(encoder.words) <= 2 * len(words) and len(encoder.others) <= len(signs)
+
+
 def test_small_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 5)
     monkeypatch.setattr(pair_bpe, "CACHED_UNITS", 5)
@@ -102,6 +127,31 @@ def test_one_id_only():
     assert (model.decode(model.encode(ids)) == ids).all()
 
 
+def test_frequencies_are_counted_by_batch(spark, edge, monkeypatch):
+    """One count for each batch of rows, not for each document, whose array would be as long as the vocabulary."""
+    stored = token_files.tokenized(edge, WORDS).collect()
+    assert {r.width for r in stored} == {2}
+    batch = pa.RecordBatch.from_pydict({"ids": [bytes(r.ids) for r in stored], "width": [r.width for r in stored]})
+    calls, plain = [], np.bincount
+
+    class Tokens:
+        """Holds what the counting task is given."""
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, count, schema):
+            monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+            (self.counted,) = count(iter([batch, batch.slice(2, 3), batch.slice(0, 0)]))
+            monkeypatch.setattr(np, "bincount", plain)
+            return spark.createDataFrame([], "id long, n long")
+    held = Tokens()
+    token_files.frequencies(held)
+    want = plain(np.concatenate([np.frombuffer(r.ids, "<u2") for r in [*stored, *stored[2:5]]]))
+    assert len(calls) <= 3
+    assert dict(zip(held.counted["id"].to_pylist(), held.counted["n"].to_pylist())) == {
+        i: n for i, n in enumerate(want.tolist()) if n}
+
+
 def test_files(spark, edge, nothing, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_TOKENS", 5000)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
