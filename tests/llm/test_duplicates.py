@@ -256,6 +256,56 @@ def test_short_vectors(spark):
     assert 0.995 * want <= got <= want
 
 
+def test_vectors_travel_as_sketches_of_their_groups(spark):
+    """A task deals one row of bytes to a group; before, each vector was written whole for every first half it passes."""
+    rows = np.random.default_rng(9).normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id long, vector array<double>").coalesce(1)
+    classes = df.mapInArrow(cap_filters.coded, "id long, vector binary").selectExpr("id AS class", "id AS rep", "64 AS length", "vector")
+    shapes = cap_filters.shapes_for(classes, 0.9)
+    dealt = cap_filters.filtered(classes, shapes, {}).collect()
+    assert len(dealt) <= shapes[64].words
+    assert sum(len(r["sketch"]) for r in dealt) <= 12 * rows.size  # a quarter of a copy of the doubles, twelve times
+    assert sum(np.frombuffer(r["sizes"], "<u4").sum() for r in dealt) == 3000 * shapes[64].filters
+
+
+def test_sketches_bound_cosines():
+    rng = np.random.default_rng(10)
+    for length in (1, 2, 7, 64, 1000):
+        x = rng.normal(size=(400, length)) * rng.choice([1e-9, 1e-3, 1.0, 50.0], (400, length))
+        unit = cap_filters._unit(x)
+        bytes_, scale, missed = cap_filters.sketches(unit)
+        near = bytes_ * scale[:, None].astype(float)
+        off = missed[:, None].astype(float) + missed + missed[:, None].astype(float) * missed
+        assert (np.abs(unit @ unit.T - near @ near.T) <= off + 1e-12).all()
+
+
+def test_crowds_and_cosines_at_the_edge(spark, monkeypatch):
+    """More vectors of one filter than are compared at once, and pairs whose sketches cannot tell."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=64)
+    crowd = centre + 0.02 * rng.normal(size=(400, 64))
+    x, _ = cap_filters.pairs_at(0.5, 64, 60, seed=1)
+    y = np.concatenate([cap_filters.pairs_at(c, 64, 60, seed=1)[1][i:i + 1] for i, c in enumerate([0.9 + 1e-9, 0.9 - 1e-9] * 30)])
+    rows = np.concatenate([crowd, x, y])
+    unit = cap_filters._unit(rows)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    for members in (1 << 18, 100):
+        monkeypatch.setattr(cap_filters, "MEMBERS", members)
+        got = np.array([r.n_links for r in cap_filters.near_vectors(df).orderBy("vec_id").collect()])
+        assert (got[:400] == want[:400]).all() and (got <= want).all() and (got[400:] != want[400:]).sum() <= 2
+
+
+def test_vectors_with_the_same_id(spark):
+    """An id may stand for several vectors and rows; components and single precision tell vectors apart."""
+    x = np.random.default_rng(4).normal(size=(3, 8))
+    rows = [(1, x[0]), (1, x[0]), (1, -x[0]), (2, x[0] * (1 + 1e-12)), (3, x[1].astype(np.float32)), (None, x[2]), (None, x[2])]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in cap_filters.near_vectors(df).collect())
+    assert got[(3, 0, 3)] == 1 and got[(None, 1, None)] == 2 and sum(got.values()) == 7
+    assert {i: n for i, n, _ in got if i == 2} == {2: 3}
+
+
 def test_long_words_of_two_letters_differ(spark):
     """A word over two letters and its letter-swapped twin, in the order that cancels sums of powers modulo 2^64."""
     word = "a"
