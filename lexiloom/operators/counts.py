@@ -9,6 +9,7 @@ from lexiloom.functions import murmur
 from lexiloom.functions.arrays import exploded
 from lexiloom.functions.sparse import term_totals
 from lexiloom.functions.text import collapsed, tokens
+from lexiloom.operators import word_blocks
 from lexiloom.session import settled
 
 
@@ -64,16 +65,12 @@ def term_counts(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int =
     the partitioning by key that ``distinct_keys`` left.
     """
     if analyzer == "word":
-        return _word_counts(keys, ["key"], lo, hi)
+        pairs = exploded(keys, ["key"], term_totals(tokens(_text(keys), "word", lo, hi)), "_t")
+        return pairs.select("key", F.col("_t.term").alias("term"), F.col("_t.count").alias("count"))
     terms = exploded(keys, ["key"], tokens(_text(keys), analyzer, lo, hi), "term")
     return terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _word_counts(keys: DataFrame, keep: list, lo: int, hi: int) -> DataFrame:
-    pairs = exploded(keys, keep, term_totals(tokens(_text(keys), "word", lo, hi)), "_t")
-    return pairs.select(*[c if isinstance(c, str) else "_own" for c in keep], F.col("_t.term").alias("term"), F.col("_t.count").alias("count"))
-
-
 def gram_totals(rows: DataFrame, text: Column, lo: int = 2, hi: int = 4) -> DataFrame:
     """(term, count): occurrences of every character n-gram over all rows, whose n-grams never become rows of their own."""
     def add(batches):
@@ -101,10 +98,11 @@ def tfidf(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4,
 
     ``keys`` holds (key, count): n and df count rows, as a fit on the column does. Pass
     ``weights`` from :func:`idf_weights` to encode other strings with a fitted table.
-    Weights small enough to broadcast leave the terms where their key put them.
+    Weights small enough to broadcast leave the terms where their key put them; words weighed by their own strings
+    never become rows before they are weighed.
     """
     if weights is None and analyzer == "word":
-        return _normalised(_own_weights(keys, lo, hi))
+        return word_blocks.own_weights(keys, tokens(_text(keys), "word", lo, hi))
     if weights is None:
         weights = settled(idf_weights(keys, analyzer, lo, hi))
     return _normalised(term_counts(keys, analyzer, lo, hi).join(weights.select("term", "idf"), "term"))
@@ -116,21 +114,6 @@ def _normalised(weighted: DataFrame) -> DataFrame:
     return weighted.select("key", "term", (F.col("_w") / norm).alias("value"))
 
 
-def _own_weights(keys: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(key, term, count, idf) of the words the weights are fitted on.
-
-    A word of one text only has that text's count as its df, so that only words of several texts are joined. Texts are
-    dealt by key before their words become rows, and stay there while the joined table is small enough to broadcast.
-    """
-    total = keys.agg(F.sum("count")).scalar()
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = _word_counts(keys.repartition(parts, "key"), ["key", F.col("count").alias("_own")], lo, hi)
-    held = _word_counts(keys, ["key", F.col("count").alias("_own")], lo, hi)
-    several = held.groupBy("term").agg(F.sum("_own").alias("_df"), F.count(F.lit(1)).alias("_texts")).filter("_texts > 1")
-    joined = counts.join(settled(several.select("term", "_df")), "term", "left")
-    return joined.withColumn("idf", F.ln(total / F.coalesce("_df", "_own")) + 1)
-
-
 def idf_weights(keys: DataFrame, analyzer: str = "char", lo: int = 2, hi: int = 4) -> DataFrame:
     """(term, df, idf) fitted on rows: every distinct string weighs its count."""
     total = keys.agg(F.sum("count")).scalar()

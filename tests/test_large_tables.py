@@ -1,9 +1,13 @@
 """Steps that were mended for larger tables."""
 
+import hashlib
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from lexiloom.operators import subspace
+from lexiloom.operators import counts, subspace, word_blocks
 
 from test_subspace import coded, sample, whole
 
@@ -60,6 +64,31 @@ def test_codes_times_directions_by_block(spark, monkeypatch, sparse):
         assert np.allclose(found[str(i) if i else None], row @ w)
 
 
+@pytest.mark.parametrize("entries, together", [(1 << 20, 1 << 19), (7, 3)])
+def test_words_are_weighed_in_blocks(spark, monkeypatch, entries, together):
+    """No row of a word is shuffled or sorted by its string, and blocks of any size give the same weights."""
+    monkeypatch.setattr(word_blocks, "BLOCK_ENTRIES", entries)
+    monkeypatch.setattr(word_blocks, "WORDS_PER_TASK", together)
+    texts = [None, "", "a b", "one two two", "ONE two three three", "one", "one", "été 日本語 x_1 été", "again again"] + [
+        " ".join(f"word{i * j % 23}" for j in range(i % 9)) for i in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    for keys in (counts.distinct_texts(rows, "text"), counts.distinct_keys(rows, "text")):
+        found = counts.tfidf(keys, "word", 1, 1)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["key"], r["term"]): r["value"] for r in found.collect()}
+        want = {}
+        words = {t: Counter(re.findall(r"\b\w\w+\b", (t or "").lower())) for t in set(texts)}
+        df = Counter(w for t in texts for w in words[t])
+        for text, own in words.items():
+            weights = {w: n * (np.log(len(texts) / df[w]) + 1) for w, n in own.items()}
+            size = np.sqrt(sum(x * x for x in weights.values()))
+            name = hashlib.md5(text.encode()).hexdigest() if text is not None and "text" in keys.columns else text
+            want |= {(name, w): x / size for w, x in weights.items()}
+        assert got.keys() == want.keys() and len(want) > 150
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert counts.tfidf(counts.distinct_texts(rows.filter("false"), "text"), "word", 1, 1).count() == 0
+
+
 def test_lda_passes_over_bounded_partitions(spark, monkeypatch):
     """A pass of the fit reads cached rows; one file's rows were one partition whatever their number."""
     from pyspark.ml.clustering import LDA
