@@ -130,3 +130,44 @@ def test_vocabularies_that_are_not_sent(spark, names, monkeypatch):
     assert all(np.allclose(c1[k], c2[k], rtol=1e-6) for k in c1)
     with pytest.raises(ValueError, match="joined"):
         model.blocks()[0].lookup()
+
+
+def test_hashed_texts_are_counted_where_they_are_packed(spark, monkeypatch):
+    """No step hands all features of a batch of rows to another one; blocks and codes are those of whole features."""
+    import pyarrow as pa
+
+    from lexiloom.functions import sparse
+
+    texts = [f"text {i} " + "abc défg " * (i % 7) for i in range(300)] + ["", "x"]
+    keys = spark.createDataFrame([(t, 1 + len(t) % 3) for t in texts], "key string, count long")
+    encoder = GammaPoissonEncoder(nTopics=3, hashing=True, nFeatures=64, dedupe=False, maxIter=1, **IO)
+    meta, tables = encoder.columns(keys, 64)
+    terms = blocks_of(meta, tables)
+    rows = term_rows(keys, terms)
+    held = []
+    for blocks in (RowBlocks(rows, 2, 5), topics.row_blocks(keys, rows, terms, 2, 5)):
+        found = []
+        for block in blocks.whole.collect():
+            ends = np.cumsum(block["sizes"])
+            for mark, count, size, end in zip(block["marks"], block["weights"], block["sizes"], ends):
+                places = block["places"][end - size:end]
+                found.append((block["batch"], mark, count, tuple(block["terms"][p] for p in places), tuple(block["values"][end - size:end])))
+        held.append(sorted(found))
+    assert held[0] == held[1] and len(held[0]) == 302
+
+    monkeypatch.setattr(sparse, "COUNTED_BYTES", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302)), pa.array(range(302)), pa.array(range(302)), pa.array(texts)],
+                                       ["batch", "mark", "count", "text"])
+    parts = list(topic_blocks._counted([batch], (64, 2, 4)))
+    assert len(parts) > 10 and sum(p.num_rows for p in parts) == 302
+    monkeypatch.undo()
+
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "s string")
+    model = encoder.fit(df)
+    plan = model.transform(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("encode(") == 1 and "count(" not in plan  # one step from texts to codes
+    rows = df.select(F.coalesce("s", F.lit("nan")).alias("key"))
+    vectors = term_rows(rows, terms)
+    want = {r["key"]: r["c"] for r in vectors.select("key", topics.topic_codes(F.col("features"), spark, 3, model.state(), model.step()).alias("c")).collect()}
+    got = {r["key"]: r["features"] for r in model.encode(rows).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
