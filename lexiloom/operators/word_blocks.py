@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.packing import pressed, unpressed, unzipped, zipped
 from lexiloom.session import checked_in
 
 BLOCK_ENTRIES = 1 << 20  # words of a block, counted with repeats
@@ -26,28 +27,14 @@ BLOCK = ("block long, keys array<string>, terms binary, lengths binary, owns bin
 FIELDS = [x.split()[0] for x in BLOCK.split(", ")]
 
 
-def _zipped(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes as the largest needs, and these compressed."""
-    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    return bytes([x.itemsize]) + _pressed(x.tobytes())
-
-
 def _unzipped(cell: bytes) -> np.ndarray:
-    return np.frombuffer(_unpressed(cell[1:]), f"<u{cell[0]}").astype(np.int64)
-
-
-def _pressed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpressed(cell: bytes) -> bytes:
-    return pa.decompress(cell[8:], int.from_bytes(cell[:8], "little"), codec="zstd", asbytes=True)
+    return unzipped(cell).astype(np.int64)
 
 
 def _strings(terms: bytes, lengths: bytes) -> pa.StringArray:
     """The words of a block from their bytes and lengths."""
     ends = np.append(0, np.cumsum(_unzipped(lengths))).astype(np.int32)
-    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(_unpressed(terms)))
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(unpressed(terms)))
 
 
 def _block(number: int, keys: pa.Array, owns: np.ndarray, words: pa.ListArray) -> pa.RecordBatch:
@@ -69,8 +56,8 @@ def _block(number: int, keys: pa.Array, owns: np.ndarray, words: pa.ListArray) -
     np.add.at(held, places, owns[rows])
     lengths = pc.binary_length(terms).to_numpy(zero_copy_only=False)
     raw = terms.buffers()[2]
-    cells = [_pressed(raw.to_pybytes()[:int(lengths.sum())] if raw else b"")] + [
-        _zipped(x) for x in (lengths, owns, np.bincount(rows, minlength=len(sizes)), steps, counts, held[:len(terms)])]
+    cells = [pressed(raw.to_pybytes()[:int(lengths.sum())] if raw else b"")] + [
+        zipped(x) for x in (lengths, owns, np.bincount(rows, minlength=len(sizes)), steps, counts, held[:len(terms)])]
     names = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys.cast(pa.string()))
     return pa.RecordBatch.from_arrays([pa.array([number]), names, *(pa.array([x], pa.binary()) for x in cells),
                                        pa.array([len(terms)]), pa.array([int(owns.sum())])], FIELDS)
@@ -133,7 +120,7 @@ def _told(blocks: DataFrame, parts: int) -> DataFrame:
         edges = np.flatnonzero(np.diff(block[several], prepend=-1, append=-1))
         for begin, end in zip(edges, edges[1:]):
             some = several[begin:end]
-            yield pa.RecordBatch.from_arrays([pa.array([block[some[0]]]), *(pa.array([_zipped(x)], pa.binary()) for x in (place[some], total[codes[some]]))],
+            yield pa.RecordBatch.from_arrays([pa.array([block[some[0]]]), *(pa.array([zipped(x)], pa.binary()) for x in (place[some], total[codes[some]]))],
                                              ["slice", "places", "totals"])
 
     rows = blocks.select("block", "terms", "lengths", "held").mapInArrow(tell, "term string, block long, place int, own long")

@@ -37,6 +37,49 @@ def test_directions_travel_in_tiles(spark, monkeypatch, tile):
     blocks.close()
 
 
+def test_blocks_meet_their_directions_in_groups(spark):
+    """Components that blocks have in common travel once for a group of them, and entries take few bytes."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 300, (400, 40)) * (rng.random((400, 40)) < 0.7)
+    matrix = subspace.packed(coded(spark, rows, rng.integers(1, 4, 400)).repartition(40)).cache()
+    n = matrix.count()
+    blocks = subspace.Blocks(matrix, 6, n, 40)
+    groups = blocks.wanted.select("group").distinct().count()
+    assert n == 40 and groups <= spark.sparkContext.defaultParallelism < n
+    blocks.close()
+    (one,) = subspace.packed(coded(spark, rows, np.ones(400)).coalesce(1)).collect()
+    assert one["whole"] and len(one["steps"]) + len(one["values"]) < 4 * one["entries"]
+
+
+@pytest.mark.parametrize("values", ["whole", "fractions", "negative", "large"])
+def test_entries_come_back_as_they_were(spark, monkeypatch, values):
+    monkeypatch.setattr(subspace, "PART_ENTRIES", 50)
+    rows, counts = sample(5)
+    rows = {"whole": np.rint(np.abs(rows)), "fractions": rows, "negative": np.rint(rows), "large": np.rint(np.abs(rows)) * 100_000}[values]
+    table = subspace.packed(coded(spark, rows, counts).coalesce(1)).toArrow().combine_chunks()
+    out = np.zeros((len(rows), 40))
+    (block,) = subspace._blocks_of(table)
+    for span, sizes, places, found in subspace._parts_of(block):
+        own = np.repeat(np.arange(span.start, span.stop), sizes)
+        out[own, block["terms"][places]] = found
+    order = np.lexsort(out.T)
+    want = rows * np.sqrt(counts)[:, None]
+    assert (out[order] == want[np.lexsort(want.T)]).all()
+
+
+def test_codes_are_not_joined_to_their_counts(spark, monkeypatch):
+    """Codes of texts are far larger than the texts, and a join sorted them."""
+    from lexiloom.operators import reduce
+    from lexiloom.operators.grams import TermCountEncoder
+
+    plans, fit = [], reduce.svd_directions
+    monkeypatch.setattr(reduce, "svd_directions", lambda weighted, *a: plans.append(
+        (weighted._jdf.queryExecution().optimizedPlan().toString(), weighted.count())) or fit(weighted, *a))
+    df = spark.createDataFrame([(f"name {i % 20} of {i % 7}",) for i in range(200)] + [(None,)], "s string")
+    reduce.ReducedEncoder(TermCountEncoder(inputCol="s", outputCol="code"), "TruncatedSVD", 3).fit(df)
+    assert plans[0][1] == 141 and "Join" not in plans[0][0]
+
+
 def test_blocks_end_by_components(spark, monkeypatch):
     monkeypatch.setattr(subspace, "BLOCK_TERMS", 10)
     monkeypatch.setattr(subspace, "BLOCK_ENTRIES", 400)
